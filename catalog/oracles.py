@@ -395,21 +395,21 @@ ORACLES = {
     "detect_language": _language(),
     "vector_norms": """SELECT vec_id, len(embedding)::INT AS dims,
         round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings""",
-    "knn_single": _retrieval("SELECT question_id, query_no, review_id, round(score, 6) AS score, rank FROM nearest"),
-    "knn_multi": _retrieval("SELECT question_id, review_id, round(score, 6) AS score, position FROM found"),
+    "knn_single": _retrieval("SELECT question_id, query_no, review_id, score, rank FROM nearest"),
+    "knn_multi": _retrieval("SELECT question_id, review_id, score, position FROM found"),
     "filter_sentiment": _retrieval(
-        f"SELECT {FACTS}, round(score, 6) AS score FROM by_sentiment", BY_SENTIMENT
+        f"SELECT {FACTS}, score FROM by_sentiment", BY_SENTIMENT
     ),
     "filter_title_hint": _retrieval(
-        f"""SELECT {FACTS}, product_hint, round(score, 6) AS score FROM hits JOIN asked USING (question_id)
+        f"""SELECT {FACTS}, product_hint, score FROM hits JOIN asked USING (question_id)
         WHERE regexp_matches(product_title, product_hint, 'i')"""
     ),
     "soft_filter_3": _retrieval(
-        f"SELECT {FACTS}, round(score, 6) AS score FROM soft", BY_SENTIMENT, SOFT_3
+        f"SELECT {FACTS}, score FROM soft", BY_SENTIMENT, SOFT_3
     ),
-    "soft_filter_20": _retrieval(f"SELECT {FACTS}, round(score, 6) AS score FROM soft", SOFT_20, k=200),
+    "soft_filter_20": _retrieval(f"SELECT {FACTS}, score FROM soft", SOFT_20, k=200),
     "rag_hits": _retrieval(
-        f"SELECT {FACTS}, number, round(score, 6) AS score, text FROM answer", BY_SENTIMENT, SOFT_3, ANSWER
+        f"SELECT {FACTS}, number, score, text FROM answer", BY_SENTIMENT, SOFT_3, ANSWER
     ),
     "rag_sources": _retrieval(
         "SELECT question_id, number, product_title, rating, text FROM answer WHERE number <= 3",
@@ -428,7 +428,7 @@ ORACLES = {
         BY_SENTIMENT, SOFT_3, ANSWER,
     ),
     "proscons_candidates": _retrieval(
-        f"SELECT {FACTS}, number, round(score, 6) AS score, text FROM topic", SOFT_20, TOPIC, k=200
+        f"SELECT {FACTS}, number, score, text FROM topic", SOFT_20, TOPIC, k=200
     ),
     "proscons_gate": _retrieval(
         "SELECT question_id, sentiment, number, review_id FROM gated", SOFT_20, TOPIC, k=200

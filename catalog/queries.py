@@ -290,10 +290,6 @@ def _candidates(spark, sf, k=V.ANSWER_CANDIDATES):
     return retrieval.with_facts(hits, corpus, queries.count() * k), questions
 
 
-def _shown_score(df: DataFrame) -> DataFrame:
-    return df.withColumn("score", F.round("score", 6))
-
-
 @query
 def vector_norms(spark, sf):
     norms = op.vector_norms(load(spark, sf, "embeddings"), id_column="vec_id")
@@ -303,19 +299,19 @@ def vector_norms(spark, sf):
 @query
 def knn_single(spark, sf):
     corpus, queries, _ = _inputs(spark, sf)
-    return _shown_score(op.nearest(corpus, queries))
+    return op.nearest(corpus, queries)
 
 
 @query
 def knn_multi(spark, sf):
     corpus, queries, _ = _inputs(spark, sf)
-    return _shown_score(op.retrieve(corpus, queries))
+    return op.retrieve(corpus, queries)
 
 
 @query
 def filter_sentiment(spark, sf):
     hits, questions = _candidates(spark, sf)
-    return _shown_score(retrieval.filter_sentiment(hits, questions))
+    return retrieval.filter_sentiment(hits, questions)
 
 
 @query
@@ -323,26 +319,24 @@ def filter_title_hint(spark, sf):
     hits, questions = _candidates(spark, sf)
     hinted = questions.filter(given(F.col("product_hint"))).select("question_id", "product_hint")
     matched = title_matches(F.col("product_title"), F.col("product_hint"))
-    return _shown_score(hits.join(hinted, "question_id").filter(matched))
+    return hits.join(hinted, "question_id").filter(matched)
 
 
 @query
 def soft_filter_3(spark, sf):
     hits, questions = _candidates(spark, sf)
-    return _shown_score(retrieval.filter_title(retrieval.filter_sentiment(hits, questions), questions))
+    return retrieval.filter_title(retrieval.filter_sentiment(hits, questions), questions)
 
 
 @query
 def soft_filter_20(spark, sf):
     hits, questions = _candidates(spark, sf, V.TOPIC_CANDIDATES)
-    return _shown_score(
-        retrieval.filter_title(hits, questions, V.TOPIC_MIN_MATCHES, fall_back_on="question")
-    )
+    return retrieval.filter_title(hits, questions, V.TOPIC_MIN_MATCHES, fall_back_on="question")
 
 
 @query
 def rag_hits(spark, sf):
-    return _shown_score(op.answer_hits(*_inputs(spark, sf)))
+    return op.answer_hits(*_inputs(spark, sf))
 
 
 @query
@@ -363,7 +357,7 @@ def rag_prompt(spark, sf):
 
 @query
 def proscons_candidates(spark, sf):
-    return _shown_score(op.topic_candidates(*_inputs(spark, sf)))
+    return op.topic_candidates(*_inputs(spark, sf))
 
 
 @query

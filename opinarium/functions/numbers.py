@@ -2,43 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BITS = 52  # fraction bits of a double
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed(value: Column, decimals: int) -> Column:
     """Text of a double with ``decimals`` places (0 to 3).
 
     ``format_string`` and ``bround`` round the shortest decimal form of a double, so
     0.15 becomes 0.2 although the stored number is below 0.15. Here the fraction is
-    taken as a 52-bit integer, on which halves are decided exactly. All steps are
-    64-bit integer operations inside code generation.
+    taken as two 52-bit integers, which hold every bit of it, and halves are decided
+    exactly. For reports of few rows.
     """
     if not 0 <= decimals <= 3:
         raise ValueError("decimals must be 0 to 3")
+    ten = F.lit(10**decimals).cast("bigint")
+    half, mask = F.lit(2 ** (_BITS - 1)).cast("bigint"), F.lit(2**_BITS - 1).cast("bigint")
+
+    def shifted(x: Column) -> Column:
+        return x * F.lit(2.0**_BITS)
+
+    def text(units: Column) -> Column:
+        tail = F.lpad((units % ten).cast("string"), max(decimals, 1), "0")
+        head = ((units - units % ten) / ten).cast("bigint").cast("string")
+        return F.concat(head, F.lit("."), tail) if decimals else units.cast("string")
+
+    def rounded_up(whole: Column, scaled: Column, low: Column) -> Column:
+        units = whole * ten + F.shiftright(scaled, _BITS)
+        rest = scaled.bitwiseAND(mask)
+        beyond = low.bitwiseAND(mask) > 0
+        up = (rest > half) | ((rest == half) & (beyond | (units % 2 == 1)))
+        return _bind(units + F.when(up, 1).otherwise(0), text)
+
+    def split(whole: Column, fraction: Column) -> Column:
+        high = F.floor(fraction)
+        low = F.floor(shifted(fraction - high.cast("double"))) * ten
+        return _bind(low, lambda lo: _bind(
+            high * ten + F.shiftright(lo, _BITS), lambda scaled: rounded_up(whole, scaled, lo)
+        ))
+
+    def digits(size: Column) -> Column:
+        return _bind(F.floor(size), lambda whole: _bind(
+            shifted(size - whole.cast("double")), lambda fraction: split(whole, fraction)
+        ))
+
     x = value.cast("double")
-    size = F.abs(x)
-    whole = F.floor(size)
-    fraction = size - whole.cast("double")
-    bits = F.floor(fraction * F.lit(2.0**_BITS))
-    lost = fraction * F.lit(2.0**_BITS) > bits.cast("double")
-    scaled = bits * F.lit(10**decimals).cast("bigint")
-    kept = F.shiftright(scaled, _BITS)
-    rest = scaled.bitwiseAND(F.lit(2**_BITS - 1).cast("bigint"))
-    units = whole * F.lit(10**decimals).cast("bigint") + kept
-    half = F.lit(2 ** (_BITS - 1)).cast("bigint")
-    up = (rest > half) | ((rest == half) & (lost | (units % 2 == 1)))
-    units = units + F.when(up, 1).otherwise(0)
     sign = F.when(x < 0, "-").otherwise("")
-    if decimals == 0:
-        text = F.concat(sign, units.cast("string"))
-    else:
-        tail = units % F.lit(10**decimals).cast("bigint")
-        head = ((units - tail) / F.lit(10**decimals)).cast("bigint")
-        text = F.concat(sign, head.cast("string"), F.lit("."), F.lpad(tail.cast("string"), decimals, "0"))
-    return F.when(F.isnan(x), "nan").otherwise(text)
+    return F.when(F.isnan(x), "nan").otherwise(F.concat(sign, _bind(F.abs(x), digits)))
 
 
 def rounded(value: Column, decimals: int) -> Column:

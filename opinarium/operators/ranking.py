@@ -42,9 +42,9 @@ def key_cutoff(df: DataFrame, key: str, n: int, surplus: int = 0) -> int | None:
     """A bound ``c`` such that at least ``n`` and at most ``n + surplus`` rows have ``key <= c``.
 
     The bound is narrowed by counting rows in at most 4,096 equal key ranges per pass,
-    so only counts reach the driver, and later passes read less. With ``surplus=0`` it
-    is the exact n-th smallest key (rows repeating that key come on top). None means
-    the table has no more than ``n`` rows. ``key`` must be a non-null whole number.
+    so only counts reach the driver, and later passes read less. Rows that repeat the
+    n-th smallest key come on top of ``surplus``. None means the table has no more than
+    ``n`` rows. ``key`` must be a non-null whole number.
     """
     low, high, total = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     if total <= n:

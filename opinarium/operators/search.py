@@ -25,6 +25,7 @@ _SCORES = "question_id bigint, query_no int, review_id bigint, score double, lan
 
 def query_blocks(queries: DataFrame, k: int) -> list[DataFrame]:
     """Split the queries, whole questions together, into blocks of a checked size."""
+    queries = queries.filter(F.col("query_vec").isNotNull())
     rows, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("query_vec"))).first()
     if not rows:
         return []
@@ -34,11 +35,11 @@ def query_blocks(queries: DataFrame, k: int) -> list[DataFrame]:
     pieces = -(-rows * 2 // limit)
     while True:
         numbered = queries.withColumn("_piece", F.pmod(F.xxhash64("question_id"), F.lit(pieces)))
-        largest = numbered.groupBy("_piece").count().agg(F.max("count")).first()[0]
-        if largest <= limit:
+        sizes = dict(numbered.groupBy("_piece").count().collect())  # one number per block
+        if max(sizes.values()) <= limit:
             break
         pieces *= 2
-    return [numbered.filter(F.col("_piece") == i).drop("_piece") for i in range(pieces)]
+    return [numbered.filter(F.col("_piece") == i).drop("_piece") for i in sorted(sizes)]
 
 
 def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decimals: int):
@@ -103,11 +104,8 @@ def _block_scores(corpus: DataFrame, block: DataFrame, k: int, lanes: int) -> Da
     import numpy as np
 
     table = block.select("question_id", "query_no", "query_vec").toArrow()
-    vectors = table.column("query_vec").combine_chunks()
-    if table.num_rows:
-        matrix = vectors.flatten().to_numpy().reshape(table.num_rows, -1).astype(np.float64)
-    else:
-        matrix = np.empty((0, 1))
+    flat = table.column("query_vec").combine_chunks().flatten().to_numpy()
+    matrix = flat.reshape(table.num_rows, -1).astype(np.float64)
     shared = corpus.sparkSession.sparkContext.broadcast(
         (table.column("question_id").to_numpy(), table.column("query_no").to_numpy(), matrix)
     )
