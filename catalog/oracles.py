@@ -438,6 +438,13 @@ ORACLES = {
     ),
     "product_prompt": with_views(f"SELECT * FROM ({PRODUCT_PROMPT})", "corpus"),
     "compare_prompt": with_views(f"SELECT * FROM ({COMPARE_PROMPT})", "corpus"),
+    "rewrite_prompt": with_views(
+        f"""SELECT question_id, 'question' AS kind, {_render(V.REWRITE_PROMPT, question="question")} AS prompt
+        FROM questions UNION ALL
+        SELECT question_id, 'topic', {_render(V.REWRITE_PROMPT, question="concat('pros and cons of ', question)")}
+        FROM questions""",
+        "questions",
+    ),
     "parse_query_plan": f"SELECT * REPLACE (array_to_string(search_queries, '|') AS search_queries) FROM ({PLANS})",
     "plan_variants": f"""SELECT plan_id AS question_id, (n - 1)::INT AS query_no, search_queries[n] AS query
         FROM ({PLANS}) p, range(1, 4) r(n) WHERE n <= len(search_queries)""",

@@ -228,7 +228,7 @@ def ingest_dedupe(spark, sf):
 
 @query
 def docs_dedupe(spark, sf):
-    return op.dedupe(load(spark, sf, "documents"), key=("text",), order=("doc_id",))
+    return op.dedupe(load(spark, sf, "documents"), key=("text",), id_column="doc_id")
 
 
 @query
@@ -325,7 +325,7 @@ def filter_title_hint(spark, sf):
 @query
 def soft_filter_3(spark, sf):
     hits, questions = _candidates(spark, sf)
-    return retrieval.filter_title(retrieval.filter_sentiment(hits, questions), questions)
+    return retrieval.filter_answers(hits, questions)
 
 
 @query
@@ -375,7 +375,7 @@ def proscons_prompt(spark, sf):
 
 @query
 def product_prompt(spark, sf):
-    return op.product_prompts(op.product_samples(load(spark, sf, "corpus")))
+    return op.product_prompts(load(spark, sf, "corpus"))
 
 
 @query
@@ -391,6 +391,16 @@ def compare_prompt(spark, sf):
 # --- texts in and out ---------------------------------------------------------------------
 
 
+@query
+def rewrite_prompt(spark, sf):
+    questions = load(spark, sf, "questions")
+    kinds = [("question", False), ("topic", True)]
+    asked, topics = [
+        prompts.rewrite_prompts(questions, topics=flag).withColumn("kind", F.lit(kind)) for kind, flag in kinds
+    ]
+    return asked.unionByName(topics)
+
+
 @query
 def parse_query_plan(spark, sf):
     plans = op.parse_query_plans(load(spark, sf, "raw_plans"))

@@ -24,6 +24,7 @@ from opinarium.plans.prompts import (
     compare_prompts,
     compare_sides,
     product_prompts,
+    rewrite_prompts,
     topic_prompts,
 )
 from opinarium.plans.retrieval import (

@@ -45,6 +45,17 @@ COMPARE_LINE = "- [{rating}/5] {text}"
 NOTHING_FOUND = "No relevant reviews found for that question."
 NOT_ENOUGH_TO_COMPARE = "Not enough reviews to compare."
 
+REWRITE_PROMPT = """User question: "{question}"
+
+Extract:
+- search_queries: 1-3 short phrases optimized for semantic search over review text
+- sentiment: "pos", "neg", or "any"
+- product_hint: a keyword to filter product titles, or null
+
+Return JSON only:
+{"search_queries":["..."],"sentiment":"...","product_hint":"..."}"""
+TOPIC_QUESTION = "pros and cons of {topic}"
+
 ANSWER_PROMPT = "Question: {question}\n\nReviews:\n{context}"
 
 PROS_CONS_PROMPT = """Analyze reviews for "{topic}". Extract TOP 3 PROS and TOP 3 CONS.

@@ -22,10 +22,12 @@ def _votes(words: list[str]) -> Column:
 def detect(df: DataFrame, text: str, output: str = "detected") -> DataFrame:
     """Add ``output``: the language with most votes, null without any.
 
-    Words are split once and counted per language in the row: no exploded words, no
-    exchange.
+    Words are split once, cut to the known ones and counted per language in the row: no
+    exploded words, no exchange.
     """
-    worded = df.withColumn("_words", F.split(F.lower(text), WORD_BREAK))
+    known = sorted({word for words in FREQUENT_WORDS.values() for word in words.split()})
+    words = F.filter(F.split(F.lower(text), WORD_BREAK), lambda word: word.isin(known))
+    worded = df.withColumn("_words", words)
     votes = F.array(
         *[
             F.struct(

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 # Whitespace and line ends as Unicode-aware text tools understand them; the SQL
 # ``trim`` removes spaces only.
-WHITESPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WHITESPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Decimal digits of any script, superscripts and subscripts.
 LEADING_DIGIT = r"^[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WHITESPACE}+|{WHITESPACE}+\z", "")
+    """Remove white space of any kind from both ends."""
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def split_lines(text: Column) -> Column:

@@ -1,0 +1,16 @@
+"""Joins against a side whose number of rows is known beforehand."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(side: DataFrame, at_most: int) -> DataFrame:
+    """Mark a side with at most ``at_most`` narrow rows for broadcast, if that is few enough.
+
+    Beyond the limit the side is left as it is and Spark chooses the join.
+    """
+    return F.broadcast(side) if at_most <= BROADCAST_ROWS else side

@@ -38,35 +38,37 @@ def first_n_per_group(
     return df.withColumn(rank, F.row_number().over(by_group)).filter(F.col(rank) <= n)
 
 
-def key_cutoff(df: DataFrame, key: str, n: int, surplus: int = 0) -> int | None:
+def key_cutoff(
+    df: DataFrame, key: str, n: int, surplus: int = 0, bounds: tuple[int, int] | None = None
+) -> int | None:
     """A bound ``c`` such that at least ``n`` and at most ``n + surplus`` rows have ``key <= c``.
 
     The bound is narrowed by counting rows in at most 4,096 equal key ranges per pass,
-    so only counts reach the driver, and later passes read less. Rows that repeat the
-    n-th smallest key come on top of ``surplus``. None means the table has no more than
-    ``n`` rows. ``key`` must be a non-null whole number.
+    so only counts reach the driver, and later passes read less. ``bounds`` saves the
+    pass that finds the smallest and largest key. Rows that repeat the n-th smallest key
+    come on top of ``surplus``. None means the table has no more than ``n`` rows.
+    ``key`` must be a non-null whole number.
     """
-    low, high, total = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    if total <= n:
+    low, high = bounds or df.agg(F.min(key), F.max(key)).first()
+    if low is None:
         return None
-    below = 0
+    below, part = 0, df
     while True:
         width = max(1, -(-(high - low + 1) // _BUCKETS))
-        counts = (
-            df.filter(F.col(key).between(low, high))
-            .groupBy(F.expr(f"(`{key}` - {low}L) div {width}L").alias("bucket"))
-            .count()
-            .collect()
-        )
+        bucket_no = F.expr(f"(`{key}` - {low}L) div {width}L").alias("bucket")
+        counts = part.groupBy(bucket_no).count().collect()
         passed = below
         for bucket, count in sorted((r["bucket"], r["count"]) for r in counts):
             if passed + count >= n:
                 break
             passed += count
+        else:
+            return None
         end = min(high, low + (bucket + 1) * width - 1)
         if width == 1 or passed + count - n <= surplus:
             return end
         below, low, high = passed, low + bucket * width, end
+        part = df.filter(F.col(key).between(low, high))
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -87,7 +89,7 @@ def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
     hashed = df.withColumn("_hash", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))
-    cutoff = key_cutoff(hashed.select("_hash"), "_hash", n, surplus=max(1_000, n // 10))
+    cutoff = key_cutoff(hashed, "_hash", n, surplus=max(1_000, n // 10), bounds=(0, 2**60 - 1))
     if cutoff is None:
         return df
     kept = hashed.filter(F.col("_hash") <= cutoff)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.fixed import MAX_VARIANTS
+from opinarium.operators.joins import BROADCAST_ROWS, bounded
 from opinarium.operators.ranking import LANES
 from opinarium.session import fresh_path
 
-# Largest query matrix (as float64) and longest hit list handed to every executor.
+# Largest query matrix, as float64, handed to every executor.
 MATRIX_BYTES = 64 * 1024 * 1024
-BROADCAST_ROWS = 1_000_000
 # Corpus rows and queries scored at once in a task: 4,096 x 512 float64 cells are 16 MB.
 TILE_ROWS, TILE_QUERIES = 4096, 512
 # Blocks beyond this are written out one by one instead of growing one plan.
@@ -171,8 +171,6 @@ def merge_variants(ranked: DataFrame) -> DataFrame:
 def attach(hits: DataFrame, corpus: DataFrame, columns: Sequence[str], at_most: int) -> DataFrame:
     """Fetch corpus columns for hits. ``at_most`` is a proven bound on the number of hits.
 
-    Within the bound the hits are broadcast and the corpus is only scanned; beyond it
-    Spark chooses the join itself.
+    Few enough hits are broadcast, and the corpus is only scanned.
     """
-    side = F.broadcast(hits) if at_most <= BROADCAST_ROWS else hits
-    return corpus.select("review_id", *columns).join(side, "review_id")
+    return corpus.select("review_id", *columns).join(bounded(hits, at_most), "review_id")

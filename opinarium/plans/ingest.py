@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinarium.fixed import SOURCE_ROWS
 from opinarium.functions.reviews import instant_of, sentiment_of
 from opinarium.functions.text import strip
-from opinarium.operators.ranking import first_n, first_n_per_group
+from opinarium.operators.ranking import first_n
 
 DEDUPE_KEY = ("user_id", "parent_asin", "text")
 MIN_CHARS = 20
@@ -39,13 +39,18 @@ def with_metadata(reviews: DataFrame, products: DataFrame, key: str = "parent_as
     return reviews.join(products, key, how)
 
 
-def dedupe(df: DataFrame, key: Sequence[str] = DEDUPE_KEY, order: Sequence[str] = ("review_id",)) -> DataFrame:
-    """The first row, in the given order, of every set of copies.
+def dedupe(df: DataFrame, key: Sequence[str] = DEDUPE_KEY, id_column: str = "review_id") -> DataFrame:
+    """Of every set of copies the row with the smallest id. ``id_column`` is unique.
 
-    Copies are dropped inside each map task before shuffling, then per lane, so any
-    number of copies of one review costs one row per task.
+    The survivors are found on digests: long texts are neither sorted nor used as a
+    shuffle key, and any number of copies shrinks to one short row per map task in a
+    hash aggregate. The rows are then fetched by their unique id, which spreads evenly
+    however many copies there are.
     """
-    return first_n_per_group(df, key, [F.col(c) for c in order], 1, rank="_copy").drop("_copy")
+    types = dict(df.dtypes)
+    narrow = [F.sha2(c, 256).alias(c) if types[c] == "string" else F.col(c) for c in key]
+    kept = df.select(*narrow, F.col(id_column).alias("_id")).groupBy(*key).agg(F.min("_id").alias(id_column))
+    return df.join(kept.select(id_column), id_column, "left_semi")
 
 
 def with_instant(df: DataFrame, epoch_ms: str = "ts_ms") -> DataFrame:

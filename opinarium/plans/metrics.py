@@ -11,17 +11,19 @@ from opinarium import fixed as V
 from opinarium.functions.numbers import fixed, rounded, thousands
 from opinarium.functions.reviews import bracket_order, price_bracket, share
 from opinarium.functions.text import render
+from opinarium.operators.joins import bounded
 
 PRICE_EDGES = (0, 25, 50, 100, 200)
 
 
-def kpi_overview(reviews: DataFrame, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
+def kpi_overview(reviews: DataFrame, approximate: bool = False) -> DataFrame:
     """Review count, mean rating, positive and negative share in percent, distinct titles.
 
     One pass. The exact distinct count first reduces to one row per title in every map
-    task; ``approximate`` replaces it by a sketch of fixed size.
+    task; ``approximate`` replaces it by a sketch of fixed size (error about 1 %).
     """
-    titles = F.approx_count_distinct("product_title", rsd) if approximate else F.countDistinct("product_title")
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("product_title", F.lit(14)))
+    titles = sketch if approximate else F.countDistinct("product_title")
     sentiment = F.col("sentiment")
     return reviews.agg(
         F.count(F.lit(1)).alias("total_reviews"),
@@ -74,7 +76,7 @@ def leaderboard(reviews: DataFrame, n: int = V.LEADERBOARD_ROWS, key: Sequence[s
 
     The counts use fixed-size buffers, hence a hash aggregate with map-side combine.
     Images would force a sort of all reviews, so they are looked up afterwards for the
-    ``n`` winners only, whose number bounds the broadcast.
+    ``n`` winners only.
     """
     sentiment = F.col("sentiment")
     figures = ["product_title", "review_count", "avg_rating", "pos_pct", "neg_pct"]
@@ -92,7 +94,7 @@ def leaderboard(reviews: DataFrame, n: int = V.LEADERBOARD_ROWS, key: Sequence[s
     )
     return (
         reviews.select("product_title", "image_url", *key)
-        .join(F.broadcast(ranked), "product_title")
+        .join(bounded(ranked, n), "product_title")
         .groupBy(*figures)
         .agg(F.min_by("image_url", F.struct(*key)).alias("image_url"))
         .withColumn("neu_pct", 1 - F.col("pos_pct") - F.col("neg_pct"))

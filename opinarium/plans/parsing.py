@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from opinarium import fixed as V
 from opinarium.functions.text import LEADING_DIGIT, split_lines, strip
-from opinarium.operators.sections import section_items, with_sections
+from opinarium.operators.sections import section_lines, with_sections
 from opinarium.schema import PLAN
 
 _BAD = "_bad"
@@ -66,46 +66,44 @@ def parse_pros_cons(texts: DataFrame, id_column: str = "text_id", text: str = "t
     Everything happens within the row: no explode of raw lines and no exchange.
     """
 
-    def is_kind(header: str):
-        return lambda line: F.startswith(F.upper(line), F.lit(header))
+    def kind_of(line: Column) -> Column:
+        upper = F.upper(line)
+        return F.when(F.startswith(upper, F.lit(V.PROS_HEADER)), "pros").when(
+            F.startswith(upper, F.lit(V.CONS_HEADER)), "cons"
+        )
 
-    pros, cons = is_kind(V.PROS_HEADER), is_kind(V.CONS_HEADER)
     lined = texts.withColumn("_lines", split_lines(F.col(text)))
-    cut = with_sections(lined, "_lines", lambda line: pros(line) | cons(line), "_sections")
+    cut = with_sections(lined, "_lines", kind_of, "_sections")
 
-    def points(kind) -> Column:
-        lines = section_items(F.col("_sections"), kind)
-        numbered = F.filter(lines, lambda line: F.regexp_like(line, F.lit(LEADING_DIGIT)))
+    def points(kind: str) -> Column:
+        numbered = F.filter(
+            section_lines(F.col("_sections"), kind), lambda line: F.regexp_like(line, F.lit(LEADING_DIGIT))
+        )
         return F.transform(numbered, lambda line: strip(F.regexp_replace(line, r"^[^.]*\.", "")))
 
-    return _items(cut, id_column, {"pros": points(pros), "cons": points(cons)})
+    return _items(cut, id_column, {kind: points(kind) for kind in ("pros", "cons")})
 
 
 def parse_compare(texts: DataFrame, id_column: str = "text_id", text: str = "txt") -> DataFrame:
     """Points won by each product and the verdict, from a comparison text."""
 
-    def bare(line: Column) -> Column:
-        return F.lower(strip(F.regexp_replace(line, V.HEADER_DECORATION, "")))
-
-    def is_a(line: Column) -> Column:
-        return F.contains(bare(line), F.lit(V.A_WINS_HEADER))
-
-    def is_b(line: Column) -> Column:
-        return ~is_a(line) & F.contains(bare(line), F.lit(V.B_WINS_HEADER))
-
-    def is_verdict(line: Column) -> Column:
-        return ~is_a(line) & ~is_b(line) & F.startswith(bare(line), F.lit(V.VERDICT_HEADER))
+    def kind_of(line: Column) -> Column:
+        bare = F.lower(strip(F.regexp_replace(line, V.HEADER_DECORATION, "")))
+        return (
+            F.when(F.contains(bare, F.lit(V.A_WINS_HEADER)), "a_wins")
+            .when(F.contains(bare, F.lit(V.B_WINS_HEADER)), "b_wins")
+            .when(F.startswith(bare, F.lit(V.VERDICT_HEADER)), "verdict")
+        )
 
     def cleaned(line: Column) -> Column:
         return strip(F.regexp_replace(line, V.BULLET_LEAD, ""))
 
     lined = texts.withColumn("_lines", split_lines(F.col(text)))
-    cut = with_sections(lined, "_lines", lambda line: is_a(line) | is_b(line) | is_verdict(line), "_sections")
+    cut = with_sections(lined, "_lines", kind_of, "_sections")
     sections = F.col("_sections")
 
-    def wins(kind) -> Column:
-        lines = section_items(sections, kind)
-        return F.filter(F.transform(lines, cleaned), lambda item: item != "")
+    def wins(kind: str) -> Column:
+        return F.filter(F.transform(section_lines(sections, kind), cleaned), lambda item: item != "")
 
     def appended(so_far: Column, line: Column) -> Column:
         return F.concat(so_far, F.when(so_far == "", "").otherwise(" "), cleaned(line))
@@ -114,13 +112,13 @@ def parse_compare(texts: DataFrame, id_column: str = "text_id", text: str = "txt
         inline = strip(F.regexp_replace(section["head"], V.VERDICT_LEAD, ""))
         return F.aggregate(section["body"], F.when(inline == "", so_far).otherwise(inline), appended)
 
-    verdict = F.aggregate(F.filter(sections, lambda s: is_verdict(s["head"])), F.lit(""), with_verdict)
+    verdict = F.aggregate(F.filter(sections, lambda s: s["kind"] == "verdict"), F.lit(""), with_verdict)
     return _items(
         cut,
         id_column,
         {
-            "a_wins": wins(is_a),
-            "b_wins": wins(is_b),
+            "a_wins": wins("a_wins"),
+            "b_wins": wins("b_wins"),
             "verdict": F.filter(F.array(verdict), lambda v: v != ""),
         },
     )

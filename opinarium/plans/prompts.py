@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from opinarium import fixed as V
 from opinarium.functions.text import clip, render
 from opinarium.operators.ranking import first_n_per_group
+from opinarium.plans.products import product_samples
 
 
 def joined_lines(rank: Column, line: Column, separator: str = "\n") -> Column:
@@ -22,6 +23,14 @@ def rating_text(rating: Column) -> Column:
     return F.coalesce(rating.cast("string"), F.lit("nan"))
 
 
+def rewrite_prompts(questions: DataFrame, topics: bool = False) -> DataFrame:
+    """The prompt that asks for a query plan; a topic is first put as a question."""
+    question = F.col("question")
+    if topics:
+        question = render(V.TOPIC_QUESTION, topic=question)
+    return questions.select("question_id", render(V.REWRITE_PROMPT, question=question).alias("prompt"))
+
+
 def context_lines(hits: DataFrame) -> DataFrame:
     """Each hit as a numbered line of context."""
     line = render(
@@ -76,8 +85,12 @@ def topic_prompts(gated: DataFrame, questions: DataFrame) -> DataFrame:
     return pros_cons_prompts(named, "question_id", F.col("question"), "number")
 
 
-def product_prompts(samples: DataFrame) -> DataFrame:
-    return pros_cons_prompts(samples, "product_title", F.col("product_title"), "rank")
+def product_prompts(reviews: DataFrame, key: Sequence[str] = ("review_id",)) -> DataFrame:
+    """One prompt per title with enough positive and negative reviews. Texts are cut before ranking."""
+    short = reviews.select("product_title", "sentiment", *key, clip(F.col("text"), V.TOPIC_CHARS).alias("text"))
+    return pros_cons_prompts(
+        product_samples(short, key=key), "product_title", F.col("product_title"), "rank"
+    )
 
 
 def valid_pairs(pairs: DataFrame) -> DataFrame:
@@ -147,10 +160,12 @@ def compare_prompts(
     line = render(
         V.COMPARE_LINE, rating=rating_text(F.col("rating")), text=clip(F.col("text"), V.COMPARE_CHARS)
     )
+    # Lines are cut to size before the ranking moves them.
+    lines = reviews.select("product_title", *key, line.alias("line"))
     blocks = (
-        first_reviews(reviews, key=key)
+        first_reviews(lines, key=key)
         .groupBy("product_title")
-        .agg(F.count(F.lit(1)).alias("n"), joined_lines(F.col("rank"), line).alias("reviews"))
+        .agg(F.count(F.lit(1)).alias("n"), joined_lines(F.col("rank"), F.col("line")).alias("reviews"))
     )
     paired = _join_sides(valid_pairs(pairs), blocks)
     fields = {name: F.col(name) for name in ("product_a", "product_b", "reviews_a", "reviews_b")}

@@ -55,10 +55,27 @@ def by_position(hits: DataFrame, n: int, group: tuple[str, ...] = ("question_id"
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= n)
 
 
+def _planned(hits: DataFrame, questions: DataFrame, fall_back_on: str | None = None) -> DataFrame:
+    """Hits with the sentiment and the title hint their question asks for."""
+    hint = F.col("product_hint")
+    if fall_back_on:
+        hint = F.coalesce(F.nullif(hint, F.lit("")), F.col(fall_back_on))
+    plan = questions.select("question_id", F.col("sentiment").alias("_asked"), hint.alias("_hint"))
+    return hits.join(plan, "question_id")
+
+
+def _of_sentiment(planned: DataFrame) -> DataFrame:
+    return planned.filter(sentiment_allowed(F.col("sentiment"), F.col("_asked")))
+
+
+def _of_title(planned: DataFrame, min_matches: int, mode: str) -> DataFrame:
+    matched = title_matches(F.col("product_title"), F.col("_hint"), mode)
+    return soft_filter(planned, matched, given(F.col("_hint")), min_matches, ["question_id"])
+
+
 def filter_sentiment(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """Drop hits whose sentiment differs from the one asked for; there is no way back."""
-    planned = hits.join(questions.select("question_id", F.col("sentiment").alias("_asked")), "question_id")
-    return planned.filter(sentiment_allowed(F.col("sentiment"), F.col("_asked"))).drop("_asked")
+    return _of_sentiment(_planned(hits, questions)).drop("_asked", "_hint")
 
 
 def filter_title(
@@ -72,18 +89,14 @@ def filter_title(
 
     ``fall_back_on`` names the question column that stands in for a missing hint.
     """
-    hint = F.col("product_hint")
-    if fall_back_on:
-        hint = F.coalesce(F.nullif(hint, F.lit("")), F.col(fall_back_on))
-    planned = hits.join(questions.select("question_id", hint.alias("_hint")), "question_id")
-    matched = title_matches(F.col("product_title"), F.col("_hint"), mode)
-    return soft_filter(planned, matched, given(F.col("_hint")), min_matches, ["question_id"]).drop("_hint")
+    planned = _planned(hits, questions, fall_back_on)
+    return _of_title(planned, min_matches, mode).drop("_asked", "_hint")
 
 
-def _counted(queries: DataFrame, k: int, corpus: DataFrame) -> tuple[DataFrame, int]:
-    """Hits with facts, and a bound on their number."""
-    at_most = queries.count() * k
-    return with_facts(retrieve(corpus, queries, k), corpus, at_most), at_most
+def filter_answers(hits: DataFrame, questions: DataFrame, mode: str = "regex") -> DataFrame:
+    """Both filters of an answer, the title one counting what the sentiment one left."""
+    kept = _of_sentiment(_planned(hits, questions))
+    return _of_title(kept, V.ANSWER_MIN_MATCHES, mode).drop("_asked", "_hint")
 
 
 def answer_hits(
@@ -98,9 +111,10 @@ def answer_hits(
 
     Titles and labels are fetched for all candidates, the wide text for the last ``n`` only.
     """
-    found, at_most = _counted(queries, k, corpus)
-    kept = filter_title(filter_sentiment(found, questions), questions, mode=mode)
-    return attach(by_position(kept, n), corpus, ["text"], at_most)
+    asked = queries.count()
+    found = with_facts(retrieve(corpus, queries, k), corpus, asked * k)
+    best = by_position(filter_answers(found, questions, mode), n)
+    return attach(best, corpus, ["text"], asked * n)
 
 
 def answer_sources(hits: DataFrame, n: int = V.ANSWER_SOURCES) -> DataFrame:
@@ -123,11 +137,12 @@ def topic_candidates(
     The topic itself is the title hint where the plan has none; the plan's sentiment
     plays no part.
     """
-    found, at_most = _counted(queries, k, corpus)
+    asked = queries.count()
+    found = with_facts(retrieve(corpus, queries, k), corpus, asked * k)
     kept = filter_title(found, questions, V.TOPIC_MIN_MATCHES, mode, fall_back_on="question")
     two_sided = kept.filter(F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE))
     best = by_position(two_sided, per_side, ("question_id", "sentiment"))
-    return attach(best, corpus, ["text"], at_most)
+    return attach(best, corpus, ["text"], asked * min(k, 2 * per_side))
 
 
 def gated_candidates(candidates: DataFrame, min_side: int = V.MIN_PER_SIDE) -> DataFrame:
