@@ -43,7 +43,8 @@ def first_by_sentiment(reviews: DataFrame, n: int, key: Sequence[str] = KEY) ->
     two_sided = reviews.filter(
         F.col("product_title").isNotNull() & F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE)
     )
-    return first_n_per_group(two_sided, ["product_title", "sentiment"], [F.col(c) for c in key], n)
+    group = ["product_title", "sentiment"]
+    return first_n_per_group(two_sided, group, [F.col(c) for c in key], n, cluster_by=["product_title"])
 
 
 def product_top(reviews: DataFrame, n: int = V.PRODUCT_SHOWN, key: Sequence[str] = KEY) -> DataFrame:
