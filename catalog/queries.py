@@ -286,8 +286,7 @@ def _inputs(spark, sf):
 def _candidates(spark, sf, k=V.ANSWER_CANDIDATES):
     """Retrieved hits with title, rating and label, and the questions they belong to."""
     corpus, queries, questions = _inputs(spark, sf)
-    hits = op.retrieve(corpus, queries, k)
-    return retrieval.with_facts(hits, corpus, queries.count() * k), questions
+    return op.retrieve(corpus, queries, k, facts=True), questions
 
 
 @query

@@ -29,7 +29,9 @@ def has_image(image_url: Column) -> Column:
 
 
 def instant_of(epoch_ms: Column) -> Column:
-    return F.timestamp_millis(epoch_ms)
+    """UTC time of a Unix time in milliseconds, whatever the session's time zone."""
+    seconds = (epoch_ms.cast("decimal(18, 0)") / 1000).cast("decimal(18, 6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def day_of(value: Column) -> Column:

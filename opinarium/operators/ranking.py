@@ -89,7 +89,8 @@ def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
 def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """A reproducible sample: the ``n`` rows with the smallest hash of their key.
 
-    The hash is the first 60 bits of an MD5, which other engines can compute too.
+    The hash is the first 60 bits of an MD5, which other engines can compute too. The
+    sample itself is ordered in one task; it is meant for display.
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
     hashed = df.withColumn("_hash", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,15 +23,18 @@ SCORE_DECIMALS = 9
 _SCORES = "question_id bigint, query_no int, review_id bigint, score double, lane int"
 
 
-def query_blocks(queries: DataFrame, k: int) -> list[DataFrame]:
-    """Split the queries, whole questions together, into blocks of a checked size."""
+def query_blocks(queries: DataFrame, k: int) -> list[tuple[DataFrame, int]]:
+    """Split the queries, whole questions together, into blocks of a checked number of rows.
+
+    A block's matrix stays within ``MATRIX_BYTES`` and its hits within ``BROADCAST_ROWS``.
+    """
     queries = queries.filter(F.col("query_vec").isNotNull())
     rows, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("query_vec"))).first()
     if not rows:
-        return []
+        return [(queries, 0)]
     limit = max(MAX_VARIANTS, min(MATRIX_BYTES // (8 * dims), BROADCAST_ROWS // k))
     if rows <= limit:
-        return [queries]
+        return [(queries, rows)]
     pieces = -(-rows * 2 // limit)
     while True:
         numbered = queries.withColumn("_piece", F.pmod(F.xxhash64("question_id"), F.lit(pieces)))
@@ -39,7 +42,27 @@ def query_blocks(queries: DataFrame, k: int) -> list[DataFrame]:
         if max(sizes.values()) <= limit:
             break
         pieces *= 2
-    return [numbered.filter(F.col("_piece") == i).drop("_piece") for i in sorted(sizes)]
+    return [(numbered.filter(F.col("_piece") == i).drop("_piece"), n) for i, n in sorted(sizes.items())]
+
+
+def in_blocks(queries: DataFrame, k: int, job: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Run a per-question job on every block of queries and put the results together.
+
+    The job gets a block and its number of rows. Few blocks form one plan. Many are
+    written out one after the other and read back, so that no plan grows with the
+    questions. Every block scans the corpus once more, which its arithmetic, one product
+    per vector and query, outweighs.
+    """
+    results = [job(block, rows) for block, rows in query_blocks(queries, k)]
+    if len(results) > UNION_BLOCKS:
+        path = fresh_path(queries.sparkSession, "blocks")
+        for result in results:
+            result.write.mode("append").parquet(path)
+        return queries.sparkSession.read.parquet(path)
+    merged = results[0]
+    for result in results[1:]:
+        merged = merged.unionByName(result)
+    return merged
 
 
 def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decimals: int):
@@ -52,6 +75,8 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
 
         question_ids, query_nos, matrix = shared.value
         total, dims = matrix.shape
+        if not total:
+            return
         lane = TaskContext.get().partitionId() % lanes
         none = np.empty(0, np.int64)
         tiles = {
@@ -100,28 +125,37 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
     return score
 
 
-def _block_scores(corpus: DataFrame, block: DataFrame, k: int, lanes: int) -> DataFrame:
+def _broadcast_queries(block: DataFrame):
+    """A block as arrays on every executor: question ids, variant numbers, float64 matrix."""
     import numpy as np
 
     table = block.select("question_id", "query_no", "query_vec").toArrow()
     flat = table.column("query_vec").combine_chunks().flatten().to_numpy()
-    matrix = flat.reshape(table.num_rows, -1).astype(np.float64)
-    shared = corpus.sparkSession.sparkContext.broadcast(
+    matrix = flat.reshape(table.num_rows, -1 if table.num_rows else 0).astype(np.float64)
+    return block.sparkSession.sparkContext.broadcast(
         (table.column("question_id").to_numpy(), table.column("query_no").to_numpy(), matrix)
     )
+
+
+def top_k_of_block(corpus: DataFrame, block: DataFrame, k: int, lanes: int = LANES) -> DataFrame:
+    """``top_k`` for a block of queries, partitioned by ``question_id``."""
+    scorer = _scorer(_broadcast_queries(block), k, lanes, TILE_ROWS, TILE_QUERIES, SCORE_DECIMALS)
     vectors = corpus.select("review_id", "embedding").filter(F.col("embedding").isNotNull())
-    scorer = _scorer(shared, k, lanes, TILE_ROWS, TILE_QUERIES, SCORE_DECIMALS)
-    scored = vectors.mapInArrow(scorer, _SCORES)
     best_first = [F.col("score").desc(), F.col("review_id")]
     by_lane = Window.partitionBy("question_id", "query_no", "lane").orderBy(*best_first)
+    by_query = Window.partitionBy("question_id", "query_no").orderBy(*best_first)
     return (
-        scored.withColumn("_place", F.row_number().over(by_lane))
+        vectors.mapInArrow(scorer, _SCORES)
+        .withColumn("_place", F.row_number().over(by_lane))
         .filter(F.col("_place") <= k)
         .drop("_place", "lane")
+        .repartition("question_id")
+        .withColumn("rank", F.row_number().over(by_query))
+        .filter(F.col("rank") <= k)
     )
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, lanes: int = LANES) -> DataFrame:
+def top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best reviews of every query: ``question_id, query_no, review_id, score, rank``.
 
     corpus: ``review_id bigint, embedding array<float>``; queries: ``question_id bigint,
@@ -130,29 +164,9 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, lanes: int = LANES) ->
     A query block of checked size goes to every executor; the corpus is scanned in place
     and never shuffled. Each task scores Arrow batches by matrix product and passes on
     only its own ``k`` best per query, so no table of all pairs exists. These are
-    merged per lane, then per question. More queries mean more blocks, that is more
-    scans, and arithmetic still outweighs scanning by then. Ties go to the smaller id.
-    The result is partitioned by ``question_id``.
+    merged per lane, then per question. Ties go to the smaller id.
     """
-    blocks = query_blocks(queries, k)
-    spark = corpus.sparkSession
-    if not blocks:
-        return spark.createDataFrame([], "question_id bigint, query_no int, review_id bigint, score double, rank int")
-    if len(blocks) <= UNION_BLOCKS:
-        scored = _block_scores(corpus, blocks[0], k, lanes)
-        for block in blocks[1:]:
-            scored = scored.unionByName(_block_scores(corpus, block, k, lanes))
-    else:
-        path = fresh_path(spark, "scores")
-        for block in blocks:
-            _block_scores(corpus, block, k, lanes).write.mode("append").parquet(path)
-        scored = spark.read.parquet(path)
-    by_query = Window.partitionBy("question_id", "query_no").orderBy(F.col("score").desc(), "review_id")
-    return (
-        scored.repartition("question_id")
-        .withColumn("rank", F.row_number().over(by_query))
-        .filter(F.col("rank") <= k)
-    )
+    return in_blocks(queries, k, lambda block, rows: top_k_of_block(corpus, block, k))
 
 
 def merge_variants(ranked: DataFrame) -> DataFrame:
@@ -171,6 +185,7 @@ def merge_variants(ranked: DataFrame) -> DataFrame:
 def attach(hits: DataFrame, corpus: DataFrame, columns: Sequence[str], at_most: int) -> DataFrame:
     """Fetch corpus columns for hits. ``at_most`` is a proven bound on the number of hits.
 
-    Few enough hits are broadcast, and the corpus is only scanned.
+    Few enough hits, which those of a query block always are, are broadcast, and the
+    corpus is only scanned.
     """
     return corpus.select("review_id", *columns).join(bounded(hits, at_most), "review_id")

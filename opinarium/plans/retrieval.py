@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from opinarium import fixed as V
 from opinarium.functions.text import is_blank, strip
 from opinarium.operators.filters import given, sentiment_allowed, soft_filter, title_matches
-from opinarium.operators.search import attach, merge_variants, top_k
+from opinarium.operators.search import attach, in_blocks, merge_variants, top_k, top_k_of_block
 from opinarium.plans.products import both_sides
 
 FACTS = ("product_title", "rating", "sentiment")
@@ -31,22 +31,29 @@ def variants(plans: DataFrame, limit: int = V.MAX_VARIANTS) -> DataFrame:
     return plans.select("question_id", F.posexplode(first).alias("query_no", "query"))
 
 
+def _used(queries: DataFrame) -> DataFrame:
+    return queries.filter(F.col("query_no") < V.MAX_VARIANTS)
+
+
 def nearest(corpus: DataFrame, queries: DataFrame, k: int = V.ANSWER_CANDIDATES) -> DataFrame:
     """The ``k`` best reviews of each variant, unmerged."""
-    return top_k(corpus, queries.filter(F.col("query_no") < V.MAX_VARIANTS), k)
+    return top_k(corpus, _used(queries), k)
 
 
-def retrieve(corpus: DataFrame, queries: DataFrame, k: int = V.ANSWER_CANDIDATES) -> DataFrame:
+def retrieve(
+    corpus: DataFrame, queries: DataFrame, k: int = V.ANSWER_CANDIDATES, facts: bool = False
+) -> DataFrame:
     """Reviews found by any variant, with the best score and a ``position`` per question.
 
     A review counts for a variant only if it is among that variant's ``k`` best, so up
-    to three times ``k`` reviews come back.
+    to three times ``k`` reviews come back. ``facts`` adds title, rating and label.
     """
-    return merge_variants(nearest(corpus, queries, k))
 
+    def job(block: DataFrame, rows: int) -> DataFrame:
+        hits = merge_variants(top_k_of_block(corpus, block, k))
+        return attach(hits, corpus, FACTS, rows * k) if facts else hits
 
-def with_facts(hits: DataFrame, corpus: DataFrame, at_most: int) -> DataFrame:
-    return attach(hits, corpus, FACTS, at_most)
+    return in_blocks(_used(queries), k, job)
 
 
 def by_position(hits: DataFrame, n: int, group: tuple[str, ...] = ("question_id",), rank: str = "number") -> DataFrame:
@@ -111,10 +118,13 @@ def answer_hits(
 
     Titles and labels are fetched for all candidates, the wide text for the last ``n`` only.
     """
-    asked = queries.count()
-    found = with_facts(retrieve(corpus, queries, k), corpus, asked * k)
-    best = by_position(filter_answers(found, questions, mode), n)
-    return attach(best, corpus, ["text"], asked * n)
+
+    def job(block: DataFrame, rows: int) -> DataFrame:
+        found = attach(merge_variants(top_k_of_block(corpus, block, k)), corpus, FACTS, rows * k)
+        best = by_position(filter_answers(found, questions, mode), n)
+        return attach(best, corpus, ["text"], rows * n)
+
+    return in_blocks(_used(queries), k, job)
 
 
 def answer_sources(hits: DataFrame, n: int = V.ANSWER_SOURCES) -> DataFrame:
@@ -137,12 +147,15 @@ def topic_candidates(
     The topic itself is the title hint where the plan has none; the plan's sentiment
     plays no part.
     """
-    asked = queries.count()
-    found = with_facts(retrieve(corpus, queries, k), corpus, asked * k)
-    kept = filter_title(found, questions, V.TOPIC_MIN_MATCHES, mode, fall_back_on="question")
-    two_sided = kept.filter(F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE))
-    best = by_position(two_sided, per_side, ("question_id", "sentiment"))
-    return attach(best, corpus, ["text"], asked * min(k, 2 * per_side))
+
+    def job(block: DataFrame, rows: int) -> DataFrame:
+        found = attach(merge_variants(top_k_of_block(corpus, block, k)), corpus, FACTS, rows * k)
+        kept = filter_title(found, questions, V.TOPIC_MIN_MATCHES, mode, fall_back_on="question")
+        two_sided = kept.filter(F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE))
+        best = by_position(two_sided, per_side, ("question_id", "sentiment"))
+        return attach(best, corpus, ["text"], rows * min(k, 2 * per_side))
+
+    return in_blocks(_used(queries), k, job)
 
 
 def gated_candidates(candidates: DataFrame, min_side: int = V.MIN_PER_SIDE) -> DataFrame:

@@ -82,3 +82,17 @@ def test_scan_is_pruned(spark):
     plan = ingest.english_only(load(spark, SF, "raw_reviews")).select("review_id")
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,en)" in text and "ReadSchema: struct<doc_id:bigint,lang:string>" in text
+
+
+def test_instants_ignore_the_session_zone(spark):
+    df = spark.createDataFrame([(1262304000123,), (-1,), (None,)], "ts_ms bigint")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        got = [(r.review_ts, r.review_date) for r in ingest.with_instant(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [
+        (datetime.datetime(2010, 1, 1, 0, 0, 0, 123000), datetime.date(2010, 1, 1)),
+        (datetime.datetime(1969, 12, 31, 23, 59, 59, 999000), datetime.date(1969, 12, 31)),
+        (None, None),
+    ]

@@ -220,7 +220,8 @@ def test_corpus_is_not_shuffled_by_search(spark):
     rng = np.random.default_rng(2)
     corpus = _vectors(spark, rng, 10, 4)
     c, q = _frames(spark, corpus, list(range(10)), corpus[:2], [(0, 0), (0, 1)], 2)
-    hits = search.attach(search.merge_variants(search.top_k(c, q, 3)), c.withColumn("text", F.lit("t")), ["text"], 6)
+    found = search.merge_variants(search.top_k_of_block(c, q, 3))
+    hits = search.attach(found, c.withColumn("text", F.lit("t")), ["text"], 6)
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
