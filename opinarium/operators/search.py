@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,16 +54,13 @@ def in_blocks(queries: DataFrame, k: int, job: Callable[[DataFrame, int], DataFr
     questions. Every block scans the corpus once more, which its arithmetic, one product
     per vector and query, outweighs.
     """
-    results = [job(block, rows) for block, rows in query_blocks(queries, k)]
-    if len(results) > UNION_BLOCKS:
+    blocks = query_blocks(queries, k)
+    if len(blocks) > UNION_BLOCKS:
         path = fresh_path(queries.sparkSession, "blocks")
-        for result in results:
-            result.write.mode("append").parquet(path)
+        for block, rows in blocks:  # one at a time: a matrix is only held while its block runs
+            job(block, rows).write.mode("append").parquet(path)
         return queries.sparkSession.read.parquet(path)
-    merged = results[0]
-    for result in results[1:]:
-        merged = merged.unionByName(result)
-    return merged
+    return reduce(DataFrame.unionByName, [job(block, rows) for block, rows in blocks])
 
 
 def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decimals: int):
