@@ -42,6 +42,8 @@ def query_blocks(queries: DataFrame, k: int) -> list[tuple[DataFrame, int]]:
         sizes = dict(numbered.groupBy("_piece").count().collect())  # one number per block
         if max(sizes.values()) <= limit:
             break
+        if pieces > rows:
+            raise ValueError(f"a question has more than {limit} query vectors")
         pieces *= 2
     return [(numbered.filter(F.col("_piece") == i).drop("_piece"), n) for i, n in sorted(sizes.items())]
 
@@ -75,6 +77,8 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
         total, dims = matrix.shape
         if not total:
             return
+        # Scores are rounded, so that equal vectors tie whatever their place in a batch.
+        step = 10.0**-decimals
         lane = TaskContext.get().partitionId() % lanes
         none = np.empty(0, np.int64)
         tiles = {
@@ -92,13 +96,14 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
             vectors = flat.reshape(rows, dims).astype(np.float64)
             for start, (col, val, rid, bar) in tiles.items():
                 width = len(bar)
-                # Rounding makes equal vectors tie whatever their place in the batch.
-                scores = np.round(vectors @ matrix[start : start + width].T, decimals)
-                if rows > k:
-                    bar = np.maximum(bar, np.partition(scores, rows - k, axis=0)[rows - k])
-                row, new = np.nonzero(scores >= bar)
+                # Candidates are taken with a margin of one rounding step, then rounded.
+                scores = matrix[start : start + width] @ vectors.T
+                found = scores >= (bar - step)[:, None]
+                if rows > k and np.count_nonzero(found) > 4 * k * width:
+                    found &= scores >= np.partition(scores, rows - k, axis=1)[:, rows - k, None] - step
+                new, row = np.nonzero(found)
                 col = np.concatenate([col, new])
-                val = np.concatenate([val, scores[row, new]])
+                val = np.concatenate([val, np.round(scores[new, row], decimals)])
                 rid = np.concatenate([rid, ids[row]])
                 order = np.lexsort((rid, -val, col))
                 col, val, rid = col[order], val[order], rid[order]
