@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bpe, mixing
+from opinarium.llm import bpe, mixing, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -31,8 +35,31 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.secret_spans(docs, secrets.train_field(docs), F.struct("doc_id"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    def line(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "model")
+    return found.select(
+        "_row.doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(line(base), 256).alias("base_sha256"),
+        line(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
+    "op4_simhash_groups": op4_simhash_groups,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mix_sources": op7_mix_sources,
+    "op10_secret_spans": op10_secret_spans,
 }
 ORACLES: dict[str, str] = {}
