@@ -7,12 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from opinarium.llm import bpe, mixing
-from opinarium.llm.tables import written
+from opinarium.llm import bpe, mixing, secrets, simhash, toxicity
+from opinarium.llm.tables import crc_mod, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the machine, trained on four fifths of the labels, does not call toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_mod("doc_id", 5) != 0)
+    return toxicity.without_toxic(docs, toxicity.train_machine(docs, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: 3-word shingles, at most 3 bits apart."""
+    return simhash.without_near_copies(docs)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secrets.redacted(docs, secrets.train_field(docs))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixing.mixed_documents(docs)
@@ -25,6 +41,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_copies),
+    ("secret_scans", hide_secrets),
     ("mix_sources", mix),
     ("byte_bpe", encode),
 ]

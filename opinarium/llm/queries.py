@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bpe, mixing, secrets, simhash
+from opinarium.llm import bpe, mixing, secrets, simhash, toxicity
+from opinarium.llm.tables import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
+    scored = toxicity.toxicity(docs, toxicity.train_machine(docs, labels), F.struct("doc_id"))
+    return scored.select(
+        "_row.doc_id",
+        F.coalesce(crc_mod("_row.doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -57,6 +70,7 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_toxicity": op2_toxicity,
     "op4_simhash_groups": op4_simhash_groups,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mix_sources": op7_mix_sources,
