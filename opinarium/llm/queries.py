@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bpe, chat, mixing, quality, secrets, simhash, toxicity
+from opinarium.llm import bpe, chat, mixing, quality, secrets, simhash, substrings, toxicity
 from opinarium.llm.tables import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(substrings.cut_documents(table(spark, sf_dir, "documents")))
+
+
 def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.secret_spans(docs, secrets.train_field(docs), F.struct("doc_id"))
@@ -96,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_groups": op4_simhash_groups,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mix_sources": op7_mix_sources,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_spans": op10_secret_spans,
 }
 
