@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bpe, chat, mixing, quality, secrets, simhash, substrings, toxicity
+from opinarium.llm import bpe, chat, lm, mixing, quality, secrets, simhash, substrings, toxicity
 from opinarium.llm.tables import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    return lm.score_documents(table(spark, sf_dir, "documents"), held_out)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(substrings.cut_documents(table(spark, sf_dir, "documents")))
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_groups": op4_simhash_groups,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mix_sources": op7_mix_sources,
+    "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_spans": op10_secret_spans,
 }
