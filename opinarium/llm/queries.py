@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bpe, chat, lm, mixing, quality, secrets, simhash, substrings, toxicity
+from opinarium.llm import bm25, bpe, chat, lm, mixing, quality, secrets, simhash, substrings, toxicity
 from opinarium.llm.tables import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,13 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20 is a query against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    queries = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.top_k(docs, queries)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANKS))
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -103,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
     "op4_simhash_groups": op4_simhash_groups,
+    "op5_bm25_top_k": op5_bm25_top_k,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mix_sources": op7_mix_sources,
     "op8_lm_scores": op8_lm_scores,
