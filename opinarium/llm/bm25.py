@@ -28,6 +28,8 @@ K1, B = 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 8_000_000, 64
 #: A term is frequent in a shard if one document in so many has it.
 FREQUENT = 24
+#: Scores are rounded, so that equal documents tie wherever they lie.
+DECIMALS = 9
 #: Bytes of queries that are broadcast at once.
 QUERY_BYTES = 48 << 20
 #: One shard in so many is searched first, for the bars.
@@ -169,22 +171,22 @@ class Shard:
         base = np.bincount(self.postings[pick], self.gains[pick] * np.repeat(own_weights, size), len(self.docs))
         wide = np.zeros(len(self.common))
         wide[column[~rare]] = weights[~rare]
-        bound = (np.maximum.reduceat(base, self.starts) + self.bounds @ wide) * (1 + 1e-9)
+        bound = (np.maximum.reduceat(base, self.starts) + self.bounds @ wide) * (1 + 1e-9) + 10.0**-DECIMALS
         order = np.argsort(-bound)
         docs, scores = np.zeros(0, np.int64), np.zeros(0)
         done, step = 0, 4
         while done < len(order):
             blocks = order[done : done + step]
-            blocks = blocks[(bound[blocks] >= bar) & (bound[blocks] > 0)]
+            blocks = blocks[(bound[blocks] >= bar) & (bound[blocks] > 10.0**-DECIMALS)]
             if not len(blocks):
                 break
             rows = (self.starts[blocks][:, None] + np.arange(BLOCK)).ravel()
             rows = rows[rows < len(self.docs)]
-            exact = base[rows] + self.dense[rows] @ wide
+            exact = np.round(base[rows] + self.dense[rows] @ wide, DECIMALS)
             good = (exact >= bar) & (exact > 0)
             docs, scores = np.r_[docs, rows[good]], np.r_[scores, exact[good]]
             if len(scores) > k:
-                bar = max(bar, np.partition(scores, -k)[-k] * (1 - 1e-12))
+                bar = max(bar, np.partition(scores, -k)[-k])
                 good = scores >= bar
                 docs, scores = docs[good], scores[good]
             done += step
