@@ -8,7 +8,7 @@ from catalog.views import with_views
 from opinarium import fixed as V
 from opinarium.functions.language import FREQUENT_WORDS
 
-ORDER = "k1, k2, k3, k4, k5"
+ORDER = "review_id"
 
 
 def _text(value: str) -> str:
@@ -50,13 +50,13 @@ TOP = f"""
 SELECT *, 1 - pos_pct - neg_pct AS neu_pct
 FROM (SELECT product_title, count(*) AS review_count, avg(rating) AS avg_rating, {POS} AS pos_pct,
              {NEG} AS neg_pct,
-             arg_min_null(image_url, struct_pack(a := k1, b := k2, c := k3, d := k4, e := k5)) AS image_url
+             arg_min_null(image_url, review_id) AS image_url
       FROM rv GROUP BY 1) t
 ORDER BY review_count DESC, product_title LIMIT {{limit}}"""
 
 SAMPLE = f"""
 SELECT * FROM rv
-ORDER BY substr(md5(concat_ws('|', {ORDER})), 1, 15), {ORDER} LIMIT 5000"""
+ORDER BY substr(md5(review_id::VARCHAR), 1, 15), {ORDER} LIMIT 5000"""
 
 MONTHLY = """
 SELECT product_title, month, pos, neu, neg
@@ -145,7 +145,7 @@ DAY = "epoch_ms(ts_ms)::DATE"
 CLEAN = f"""
 SELECT {RAW}, product_title, price, brand, {DAY} AS review_date,
        CASE WHEN rating <= 2 THEN 'neg' WHEN rating = 3 THEN 'neu' WHEN rating >= 4 THEN 'pos' END AS sentiment
-FROM (SELECT * FROM (SELECT * FROM raw_reviews ORDER BY review_id LIMIT 100000) f
+FROM (SELECT * FROM raw_reviews
       QUALIFY row_number() OVER (PARTITION BY user_id, parent_asin, text ORDER BY review_id) = 1) u
 JOIN products USING (parent_asin)
 WHERE length({STRIP.format("text")}) >= 20 AND lang = 'en'"""
@@ -166,6 +166,14 @@ FROM (SELECT doc_id, lang, {votes}
       FROM (SELECT doc_id, lang, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS words FROM documents) d) v"""
 
 
+# Copies differ in rating and time only, so what they share is compared.
+RAW_JSON = f"""
+SELECT DISTINCT user_id::VARCHAR AS user_id, parent_asin, text, product_title
+FROM raw_reviews JOIN products USING (parent_asin)
+JOIN (SELECT doc_id AS review_id, detected FROM ({_language()}) l) d USING (review_id)
+WHERE length({STRIP.format("text")}) >= 20 AND detected = 'en'"""
+
+
 # --- retrieval -------------------------------------------------------------------------
 
 
@@ -228,9 +236,10 @@ CONTEXT_LINE = _render(
 )
 
 
-def _retrieval(select: str, *steps: str, k: int = 40) -> str:
-    views = with_views("", "corpus", "queries", "questions").strip()
-    return f"{views}, {', '.join([_search(k).strip(), *[s.strip() for s in steps]])} {select}"
+def _retrieval(select: str, *steps: str, k: int = 40, corpus: str = "corpus") -> str:
+    views = with_views("", corpus, "queries", "questions").strip()
+    body = f"{', '.join([_search(k).strip(), *[s.strip() for s in steps]])} {select}"
+    return f"{views}, {re.sub('(?<=[ ,])corpus(?=[ )])', corpus, body)}"
 
 
 def _pros_cons(source: str, group: str, topic: str, rank: str) -> str:
@@ -247,7 +256,7 @@ FROM (SELECT {group}, any_value({topic}) AS topic, {block("pos")} AS positive, {
 
 PRODUCT_PROMPT = f"""
 WITH first AS (SELECT *, row_number() OVER (PARTITION BY product_title, sentiment ORDER BY review_id) AS rank
-               FROM corpus WHERE sentiment IN ('pos', 'neg') QUALIFY rank <= 15),
+               FROM text_reviews WHERE sentiment IN ('pos', 'neg') QUALIFY rank <= 15),
      full_titles AS (SELECT product_title FROM first GROUP BY 1
               HAVING count(*) FILTER (sentiment = 'pos') >= 3 AND count(*) FILTER (sentiment = 'neg') >= 3),
      samples AS (SELECT * FROM first WHERE product_title IN (SELECT product_title FROM full_titles))
@@ -255,13 +264,13 @@ WITH first AS (SELECT *, row_number() OVER (PARTITION BY product_title, sentimen
 
 COMPARE_PROMPT = f"""
 WITH first AS (SELECT *, row_number() OVER (PARTITION BY product_title ORDER BY review_id) AS rank
-               FROM corpus QUALIFY rank <= 15),
+               FROM text_reviews QUALIFY rank <= 15),
      blocks AS (SELECT product_title, count(*) AS n,
                        string_agg({_render(V.COMPARE_LINE, rating="rating", text="substr(text, 1, 250)")},
                                   chr(10) ORDER BY rank) AS reviews
                 FROM first GROUP BY 1),
      titles AS (SELECT DISTINCT product_title AS product_a,
-                       concat('src', substr(product_title, 4)::INT + 1) AS product_b FROM corpus),
+                       concat('src', substr(product_title, 4)::INT + 1) AS product_b FROM text_reviews),
      sides AS (SELECT product_a, product_b, a.reviews AS reviews_a, b.reviews AS reviews_b,
                       coalesce(a.n >= 3 AND b.n >= 3, false) AS enough
                FROM titles LEFT JOIN blocks a ON a.product_title = product_a
@@ -300,9 +309,17 @@ ORACLES = {
         f"""SELECT 'daily' AS mart, count(*) AS n_rows, sum(pos)::BIGINT AS total FROM ({DAILY})
         UNION ALL SELECT 'brackets', count(*), sum(review_count)::BIGINT FROM ({BRACKETS})
         UNION ALL SELECT 'top_products', count(*), sum(review_count)::BIGINT FROM ({TOP.format(limit=100)})
-        UNION ALL SELECT 'sample', count(*), sum(k5)::BIGINT FROM ({SAMPLE})""",
+        UNION ALL SELECT 'sample', count(*), sum(product_id)::BIGINT FROM ({SAMPLE})""",
         "rv",
     ),
+    "mart_daily": with_views(DAILY, "rv"),
+    "mart_brackets": with_views(BRACKETS, "rv"),
+    "mart_top_products": with_views(TOP.format(limit=100), "rv"),
+    "mart_sample": with_views(SAMPLE, "rv"),
+    "reader_brackets": with_views(BRACKETS, "rv"),
+    "kpi_distinct_approx": with_views(
+        "SELECT count(DISTINCT product_title) AS unique_products, true AS within_3_pct FROM rv", "rv"
+    ),
     "kpi_overview": with_views(KPI, "rv"),
     "kpi_display": with_views(
         f"""SELECT format('{{:,}}', total_reviews) AS total_reviews,
@@ -355,7 +372,7 @@ ORACLES = {
     ),
     "product_drilldown": with_views(DRILLDOWN, "rv"),
     "compare_pairs": with_views(f"SELECT * FROM ({COMPARE_SIDES})", "rv", "pairs"),
-    "ingest_limit": with_views("SELECT * FROM raw_reviews ORDER BY review_id LIMIT 100000", "raw_reviews"),
+    "ingest_limit": with_views("SELECT * FROM raw_reviews ORDER BY review_id LIMIT 150", "raw_reviews"),
     "ingest_semi_meta": with_views(
         "SELECT * FROM products WHERE parent_asin IN (SELECT parent_asin FROM raw_reviews)",
         "products", "raw_reviews",
@@ -380,6 +397,7 @@ ORACLES = {
     "ingest_english": with_views("SELECT * FROM raw_reviews WHERE lang = 'en'", "raw_reviews"),
     "ingest_sentiment": with_views(f"SELECT {ORDER}, rating, sentiment FROM rv", "rv"),
     "ingest_clean": with_views(CLEAN, "raw_reviews", "products"),
+    "ingest_raw_json": with_views(RAW_JSON, "raw_reviews", "products"),
     "review_cards": with_views(
         f"""SELECT review_id, rating, strftime({DAY}, '%Y-%m-%d') AS day,
         CASE WHEN length(text) > 400 THEN concat(substr(text, 1, 400), '...') ELSE text END AS body
@@ -425,7 +443,7 @@ ORACLES = {
         FROM asked LEFT JOIN (SELECT question_id, count(*) AS n_hits,
           string_agg({CONTEXT_LINE}, {_text(V.CONTEXT_SEPARATOR)} ORDER BY number) AS context
           FROM answer GROUP BY 1) c USING (question_id)""",
-        BY_SENTIMENT, SOFT_3, ANSWER,
+        BY_SENTIMENT, SOFT_3, ANSWER, corpus="mild_corpus",
     ),
     "proscons_candidates": _retrieval(
         f"SELECT {FACTS}, number, score, text FROM topic", SOFT_20, TOPIC, k=200
@@ -436,8 +454,8 @@ ORACLES = {
     "proscons_prompt": _retrieval(
         _pros_cons("gated", "question_id", "question", "number"), SOFT_20, TOPIC, k=200
     ),
-    "product_prompt": with_views(f"SELECT * FROM ({PRODUCT_PROMPT})", "corpus"),
-    "compare_prompt": with_views(f"SELECT * FROM ({COMPARE_PROMPT})", "corpus"),
+    "product_prompt": with_views(f"SELECT * FROM ({PRODUCT_PROMPT})", "text_reviews"),
+    "compare_prompt": with_views(f"SELECT * FROM ({COMPARE_PROMPT})", "text_reviews"),
     "rewrite_prompt": with_views(
         f"""SELECT question_id, 'question' AS kind, {_render(V.REWRITE_PROMPT, question="question")} AS prompt
         FROM questions UNION ALL

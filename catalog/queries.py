@@ -52,8 +52,8 @@ def sink_roundtrip(spark, sf):
 
 @query
 def marts_roundtrip(spark, sf):
-    marts = op.build_marts(load(spark, sf, "rv"), fresh_path(spark, "marts"), key=KEY)
-    total = {"daily": "pos", "brackets": "review_count", "top_products": "review_count", "sample": "k5"}
+    marts = op.build_marts(load(spark, sf, "rv"), fresh_path(spark, "marts"))
+    total = {"daily": "pos", "brackets": "review_count", "top_products": "review_count", "sample": "product_id"}
     parts = [
         table.agg(
             F.lit(name).alias("mart"), F.count(F.lit(1)).alias("n_rows"), F.sum(total[name]).alias("total")
@@ -66,6 +66,27 @@ def marts_roundtrip(spark, sf):
     return merged
 
 
+def _mart(name: str) -> Query:
+    def mart(spark, sf):
+        return op.build_marts(load(spark, sf, "rv"), fresh_path(spark, "marts"), names=[name])[name]
+
+    return mart
+
+
+QUERIES["mart_daily"] = _mart("daily")
+QUERIES["mart_brackets"] = _mart("brackets")
+QUERIES["mart_top_products"] = _mart("top_products")
+QUERIES["mart_sample"] = _mart("sample")
+
+
+@query
+def reader_brackets(spark, sf):
+    """Written, read through the declared schema, and aggregated."""
+    path = fresh_path(spark, "reviews")
+    op.write_parquet(load(spark, sf, "rv").withColumn("text", F.lit("")), path)
+    return op.price_brackets(op.read_reviews(spark, path))
+
+
 # --- overview, mix, brackets, leaderboard ---------------------------------------
 
 
@@ -76,7 +97,14 @@ def kpi_overview(spark, sf):
 
 @query
 def kpi_distinct_approx(spark, sf):
-    return op.kpi_overview(load(spark, sf, "rv"), approximate=True).select("unique_products")
+    """Whether the sketch comes within three percent of the exact number."""
+    reviews = load(spark, sf, "rv")
+    exact = op.kpi_overview(reviews).select("unique_products")
+    sketch = op.kpi_overview(reviews, approximate=True).select(F.col("unique_products").alias("sketch"))
+    near = F.abs(F.col("sketch") - F.col("unique_products")) <= 0.03 * F.col("unique_products")
+    # Two tables of one row each.
+    both = exact.withColumn("one", F.lit(1)).join(sketch.withColumn("one", F.lit(1)), "one")
+    return both.select("unique_products", near.alias("within_3_pct"))
 
 
 @query
@@ -96,12 +124,12 @@ def price_brackets(spark, sf):
 
 @query
 def top_products(spark, sf):
-    return op.leaderboard(load(spark, sf, "rv"), key=KEY)
+    return op.leaderboard(load(spark, sf, "rv"))
 
 
 @query
 def top_products_40(spark, sf):
-    return metrics.top_of(op.leaderboard(load(spark, sf, "rv"), key=KEY))
+    return metrics.top_of(op.leaderboard(load(spark, sf, "rv")))
 
 
 @query
@@ -155,7 +183,7 @@ def product_stats(spark, sf):
 @query
 def leaderboard_stats(spark, sf):
     reviews = load(spark, sf, "rv")
-    return products.stats_of(metrics.top_of(op.leaderboard(reviews, key=KEY)), reviews)
+    return products.stats_of(metrics.top_of(op.leaderboard(reviews)), reviews)
 
 
 @query
@@ -174,7 +202,7 @@ def product_top3(spark, sf):
 
 @query
 def product_image(spark, sf):
-    return op.product_images(load(spark, sf, "rv"), key=KEY)
+    return op.product_images(load(spark, sf, "rv"))
 
 
 @query
@@ -208,7 +236,7 @@ def compare_pairs(spark, sf):
 
 @query
 def ingest_limit(spark, sf):
-    return ingest.first_rows(load(spark, sf, "raw_reviews"))
+    return ingest.first_rows(load(spark, sf, "raw_reviews"), 150)
 
 
 @query
@@ -259,6 +287,16 @@ def ingest_clean(spark, sf):
     return op.write_parquet(cleaned.drop("review_ts"), fresh_path(spark, "cleaned"))
 
 
+@query
+def ingest_raw_json(spark, sf):
+    """Raw reviews as they are found: JSON lines without ids and labels, ratings as ``5.0``."""
+    path = fresh_path(spark, "raw-json")
+    found = load(spark, sf, "raw_reviews").drop("review_id", "lang").withColumn("rating", F.col("rating").cast("double"))
+    found.withColumns({c: F.col(c).cast("string") for c in ("user_id", "parent_asin")}).write.json(path)
+    raw = op.read_raw_reviews(spark, path).withColumn("parent_asin", F.col("parent_asin").cast("bigint"))
+    return op.clean_reviews(raw, load(spark, sf, "products")).select("user_id", "parent_asin", "text", "product_title")
+
+
 @query
 def review_cards(spark, sf):
     return products.review_cards(ingest.with_instant(load(spark, sf, "raw_reviews")))
@@ -350,7 +388,9 @@ def rag_context(spark, sf):
 
 @query
 def rag_prompt(spark, sf):
-    corpus, queries, questions = _inputs(spark, sf)
+    """Few reviews are negative here, so some questions find nothing."""
+    _, queries, questions = _inputs(spark, sf)
+    corpus = load(spark, sf, "mild_corpus")
     return op.answer_prompts(op.answer_hits(corpus, queries, questions), questions)
 
 
@@ -374,17 +414,17 @@ def proscons_prompt(spark, sf):
 
 @query
 def product_prompt(spark, sf):
-    return op.product_prompts(load(spark, sf, "corpus"))
+    return op.product_prompts(load(spark, sf, "text_reviews"))
 
 
 @query
 def compare_prompt(spark, sf):
-    corpus = load(spark, sf, "corpus")
-    titles = corpus.select("product_title").distinct()
+    reviews = load(spark, sf, "text_reviews")
+    titles = reviews.select("product_title").distinct()
     pairs = titles.select(F.col("product_title").alias("product_a")).withColumn(
         "product_b", F.concat(F.lit("src"), (F.substring("product_a", 4, 9).cast("int") + 1).cast("string"))
     )
-    return op.compare_prompts(corpus, pairs)
+    return op.compare_prompts(reviews, pairs)
 
 
 # --- texts in and out ---------------------------------------------------------------------

@@ -9,13 +9,14 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
-KEY = ("k1", "k2", "k3", "k4", "k5")
+KEY = ("review_id",)
 
 # Reviews with ratings, prices, images and days; some of each are null and many products
-# share a title. k1..k5 order the rows.
+# share a title. The id orders the rows by order, line, part, supplier and quantity, which together are unique.
 REVIEWS = """
-SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
-       CAST(l_quantity AS INT) AS k5, l_partkey AS product_id, p_name AS product_title,
+SELECT (((l_orderkey * 8 + l_linenumber) * 131072 + l_partkey) * 4096 + l_suppkey) * 64
+           + CAST(l_quantity AS BIGINT) AS review_id,
+       l_orderkey AS order_id, l_partkey AS product_id, p_name AS product_title,
        CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE CAST(p_size * 10 AS DOUBLE) END AS price,
        CASE WHEN l_partkey % 7 = 0 THEN NULL
             ELSE concat('img/', CAST(l_partkey AS STRING)) END AS image_url,
@@ -30,7 +31,7 @@ JOIN {part} ON l_partkey = p_partkey
 """
 
 REVIEWS_WITH_USERS = """
-SELECT r.*, o_custkey AS user_id FROM {rv} r JOIN {orders} ON k1 = o_orderkey
+SELECT r.*, o_custkey AS user_id FROM {rv} r JOIN {orders} ON order_id = o_orderkey
 """
 
 CORPUS = """
@@ -41,6 +42,20 @@ SELECT doc_id AS review_id, embedding, source AS product_title, lang, text,
 FROM {documents} JOIN {embeddings} ON doc_id = vec_id
 """
 
+# All documents as reviews, rated by their length, so that a title has every rating.
+TEXT_REVIEWS = """
+SELECT doc_id AS review_id, source AS product_title, text, CAST(1 + n_chars % 5 AS INT) AS rating,
+       CASE WHEN n_chars % 5 <= 1 THEN 'neg' WHEN n_chars % 5 = 2 THEN 'neu' ELSE 'pos' END AS sentiment
+FROM {documents}
+"""
+
+# The corpus with so few negative reviews that some questions find none.
+MILD_CORPUS = """
+SELECT review_id, embedding, product_title, lang, text, rating,
+       CASE WHEN review_id % 97 = 0 THEN 'neg' ELSE 'pos' END AS sentiment
+FROM {corpus}
+"""
+
 # Every stored vector serves as a query; three in a row are the variants of one question.
 QUERIES = """
 SELECT CAST(floor(vec_id / 3.0) AS BIGINT) AS question_id, CAST(vec_id % 3 AS INT) AS query_no,
@@ -104,6 +119,8 @@ VIEWS = {
     "rv": REVIEWS,
     "rv_users": REVIEWS_WITH_USERS,
     "corpus": CORPUS,
+    "text_reviews": TEXT_REVIEWS,
+    "mild_corpus": MILD_CORPUS,
     "queries": QUERIES,
     "questions": QUESTIONS,
     "raw_plans": RAW_PLANS,

@@ -27,7 +27,6 @@ HISTORY_TURNS = 5
 LEADERBOARD_ROWS = 100
 LEADERBOARD_SHOWN = 40
 DISPLAY_SAMPLE = 5_000
-SOURCE_ROWS = 100_000
 
 # --- Fixed values: text widths and markers -----------------------------------
 CONTEXT_CHARS = 500

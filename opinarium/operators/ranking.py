@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Lanes of a group that is cut before it is brought together by some of its columns only.
 LANES = 16
 _BUCKETS = 4096
 
@@ -17,18 +18,14 @@ def first_n_per_group(
     order: Sequence[Column],
     n: int,
     rank: str = "rank",
-    lanes: int = LANES,
+    lanes: int = 1,
     cluster_by: Sequence[str] = (),
 ) -> DataFrame:
     """The first ``n`` rows of every group in a total order, numbered from 1.
 
-    Spark cuts each map task to ``n`` rows per group before shuffling
-    (``WindowGroupLimit``), yet a group found in every task still sends ``n`` rows
-    from each of them to one reducer. The rows of a group are therefore first spread
-    over ``lanes`` by map task, cut to ``n`` per lane, and only then brought together:
-    one task holds at most ``n * lanes`` rows of a group. The lane of a row does not
-    affect which rows win. ``lanes=1`` saves the extra exchange where groups are
-    known to be small. ``cluster_by``, some of the group columns, brings together rows
+    Spark cuts each map task to ``n`` rows per group before the one shuffle (``WindowGroupLimit``), so a
+    group reaches its reducer with ``n`` rows per map task. For large ``n``, more ``lanes`` add a shuffle
+    in which a group is spread by map task and cut to ``n`` per lane. ``cluster_by``, some of the group columns, brings together rows
     that a later step needs side by side, so that it needs no exchange of its own.
     """
     if lanes > 1:
@@ -59,7 +56,8 @@ def key_cutoff(
     below, part = 0, df
     while True:
         width = max(1, -(-(high - low + 1) // _BUCKETS))
-        bucket_no = F.expr(f"(`{key}` - {low}L) div {width}L").alias("bucket")
+        # In decimals: keys may span the whole range of bigint.
+        bucket_no = F.expr(f"CAST((CAST(`{key}` AS DECIMAL(20, 0)) - {low}BD) div {width}BD AS INT)").alias("bucket")
         counts = part.groupBy(bucket_no).count().collect()
         passed = below
         for bucket, count in sorted((r["bucket"], r["count"]) for r in counts):
@@ -76,14 +74,14 @@ def key_cutoff(
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows with the ``n`` smallest values of a unique whole-number key.
+    """The rows with the ``n`` smallest values of a unique whole-number key; rows without one are left out.
 
     ``orderBy(key).limit(n)`` sends ``n`` rows of every input partition to one task,
     which for a large ``n`` is most of the table. A cutoff on the key is a plain
     filter instead: no sort, no exchange, and it reaches the Parquet scan.
     """
     cutoff = key_cutoff(df, key, n)
-    return df if cutoff is None else df.filter(F.col(key) <= cutoff)
+    return df.filter(F.col(key).isNotNull() if cutoff is None else F.col(key) <= cutoff)
 
 
 def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
@@ -94,8 +92,12 @@ def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
     hashed = df.withColumn("_hash", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))
-    cutoff = key_cutoff(hashed, "_hash", n, surplus=max(1_000, n // 10), bounds=(0, 2**60 - 1))
-    if cutoff is None:
+    rows = df.count()
+    if rows <= n:
         return df
+    # Hashes are even: the n smallest lie below their share of the range, with a wide margin.
+    cutoff = int(2**60 * min(1.0, (n + 8 * n**0.5 + 100) / rows))
+    if hashed.filter(F.col("_hash") <= cutoff).limit(n).count() < n:
+        cutoff = key_cutoff(hashed, "_hash", n, surplus=max(1_000, n // 10), bounds=(0, 2**60 - 1))
     kept = hashed.filter(F.col("_hash") <= cutoff)
     return kept.orderBy("_hash", *key).limit(n).drop("_hash")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinarium.fixed import SOURCE_ROWS
+from opinarium.functions.language import detect
 from opinarium.functions.reviews import instant_of, sentiment_of
 from opinarium.functions.text import strip
 from opinarium.operators.ranking import first_n
@@ -16,8 +17,8 @@ DEDUPE_KEY = ("user_id", "parent_asin", "text")
 MIN_CHARS = 20
 
 
-def first_rows(raw: DataFrame, n: int = SOURCE_ROWS, key: str = "review_id") -> DataFrame:
-    """The first ``n`` rows of the source in key order."""
+def first_rows(raw: DataFrame, n: int, key: str = "review_id") -> DataFrame:
+    """The first ``n`` rows of the source in key order; rows without a key are left out."""
     return first_n(raw, key, n)
 
 
@@ -39,18 +40,48 @@ def with_metadata(reviews: DataFrame, products: DataFrame, key: str = "parent_as
     return reviews.join(products, key, how)
 
 
+def with_ids(raw: DataFrame, id_column: str = "review_id") -> DataFrame:
+    """Every row with an id; one that has none gets a hash of all its columns.
+
+    Rows that repeat in every column share that hash and are the same review; one of them stays. Only such repeats
+    are moved, cut to one per map task first.
+    """
+    columns = [c for c in raw.columns if c != id_column]
+    given = F.col(id_column).isNotNull() if id_column in raw.columns else F.lit(False)
+    made = F.xxhash64(*[F.col(c).cast("string") for c in sorted(columns)])
+    tagged = raw.withColumn("_given", given).withColumn(
+        id_column, F.coalesce(F.col(id_column), made) if id_column in raw.columns else made
+    )
+    repeated = tagged.filter("NOT _given").groupBy(id_column).count().filter("count > 1").select(
+        F.col(id_column).alias("_repeated")
+    )
+    same = (F.col(id_column) == F.col("_repeated")) & ~F.col("_given")
+    once = tagged.join(repeated, same, "left_semi").dropDuplicates([id_column])
+    return tagged.join(repeated, same, "left_anti").unionByName(once).drop("_given")
+
+
 def dedupe(df: DataFrame, key: Sequence[str] = DEDUPE_KEY, id_column: str = "review_id") -> DataFrame:
-    """Of every set of copies the row with the smallest id. ``id_column`` is unique.
+    """Of every set of copies the row with the smallest id. ``id_column`` is unique; rows without an id stay.
 
-    The survivors are found on digests: long texts are neither sorted nor used as a
-    shuffle key, and any number of copies shrinks to one short row per map task in a
-    hash aggregate. The rows are then fetched by their unique id, which spreads evenly
-    however many copies there are.
+    Copies are found on digests: keys that occur once leave in a hash aggregate, and only ids of rows to be
+    dropped, which are few, meet the table again. Texts are neither sorted nor used as a shuffle key,
+    and stay in place where the ids can be broadcast.
     """
     types = dict(df.dtypes)
-    narrow = [F.sha2(c, 256).alias(c) if types[c] == "string" else F.col(c) for c in key]
-    kept = df.select(*narrow, F.col(id_column).alias("_id")).groupBy(*key).agg(F.min("_id").alias(id_column))
-    return df.join(kept.select(id_column), id_column, "left_semi")
+    narrow = df.select(
+        *[(F.sha2(c, 256) if types[c] == "string" else F.col(c)).alias(f"_key{i}") for i, c in enumerate(key)],
+        F.col(id_column).alias("_id"),
+    )
+    names = [f"_key{i}" for i in range(len(key))]
+    copied = (
+        narrow.groupBy(*names)
+        .agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies"))
+        .filter("_copies > 1")
+        .select(*[F.col(n).alias(f"{n}_of") for n in names], "_first")
+    )
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in names])
+    dropped = narrow.join(copied, same & (F.col("_id") > F.col("_first"))).select("_id")
+    return df.join(dropped, F.col(id_column) == F.col("_id"), "left_anti")
 
 
 def with_instant(df: DataFrame, epoch_ms: str = "ts_ms") -> DataFrame:
@@ -72,13 +103,21 @@ def with_sentiment(df: DataFrame) -> DataFrame:
     return df.withColumn("sentiment", sentiment_of(F.col("rating")))
 
 
-def clean_reviews(raw: DataFrame, products: DataFrame, n: int | None = SOURCE_ROWS) -> DataFrame:
-    """The whole chain: limit, drop short, dedupe, English, metadata, time, sentiment.
+def with_language(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """A language for every row: the label if there is one, else the detector's vote."""
+    detected = detect(df, text, "_detected")
+    label = F.coalesce(F.col(lang), F.col("_detected")) if lang in df.columns else F.col("_detected")
+    return detected.withColumn(lang, label).drop("_detected")
+
+
+def clean_reviews(raw: DataFrame, products: DataFrame, n: int | None = None) -> DataFrame:
+    """The whole chain: ids, drop short, dedupe, English, metadata, time, sentiment.
 
-    Short texts go before the dedupe: copies share their text, so this cannot change
-    which copy survives. The language label may differ between copies and is applied
-    afterwards. An inner join with the metadata keeps needed products only.
+    ``n`` takes the first ``n`` rows by id beforehand; all rows are cleaned without it. Short texts go before the dedupe: copies
+    share their text, so this cannot change which copy survives. The language may differ between labelled
+    copies and is applied afterwards. An inner join with the metadata keeps needed products only.
     """
-    taken = first_rows(raw, n) if n else raw
+    known = with_ids(raw)
+    taken = known if n is None else first_rows(known, n)
     unique = dedupe(drop_short(taken))
-    return with_sentiment(with_instant(with_metadata(english_only(unique), products)))
+    return with_sentiment(with_instant(with_metadata(english_only(with_language(unique)), products)))

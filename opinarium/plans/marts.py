@@ -19,17 +19,18 @@ def build_marts(
     reviews: DataFrame,
     path: str,
     edges: Sequence[float] = PRICE_EDGES,
-    key: Sequence[str] = ("review_id",),
+    key: str = "review_id",
     sample: int = V.DISPLAY_SAMPLE,
+    names: Sequence[str] = MARTS,
 ) -> dict[str, DataFrame]:
-    """Write the four tables below ``path`` and return them as stored."""
-    tables = {
-        "daily": daily_sentiment(reviews),
-        "brackets": price_brackets(reviews, edges),
-        "top_products": leaderboard(reviews, key=key),
-        "sample": hash_sample(reviews, key, sample),
+    """Write the named tables below ``path`` and return them as stored."""
+    jobs = {
+        "daily": lambda: daily_sentiment(reviews),
+        "brackets": lambda: price_brackets(reviews, edges),
+        "top_products": lambda: leaderboard(reviews, key=key),
+        "sample": lambda: hash_sample(reviews, [key], sample),
     }
-    return {name: write_parquet(table, f"{path}/{name}") for name, table in tables.items()}
+    return {name: write_parquet(jobs[name](), f"{path}/{name}") for name in names}
 
 
 def read_marts(spark: SparkSession, path: str) -> dict[str, DataFrame]:

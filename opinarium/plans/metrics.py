@@ -71,15 +71,14 @@ def price_brackets(reviews: DataFrame, edges: Sequence[float] = PRICE_EDGES) ->
     )
 
 
-def leaderboard(reviews: DataFrame, n: int = V.LEADERBOARD_ROWS, key: Sequence[str] = ("review_id",)) -> DataFrame:
+def leaderboard(reviews: DataFrame, n: int = V.LEADERBOARD_ROWS, key: str = "review_id") -> DataFrame:
     """The ``n`` most reviewed titles with shares as fractions and the image of their first review.
 
-    The counts use fixed-size buffers, hence a hash aggregate with map-side combine.
-    Images would force a sort of all reviews, so they are looked up afterwards for the
-    ``n`` winners only.
+    All buffers have a fixed size, hence a hash aggregate with map-side combine. It also finds the first
+    review of each title by its ``key``, one unique whole number; the images are fetched afterwards by the
+    ids of the ``n`` winners.
     """
     sentiment = F.col("sentiment")
-    figures = ["product_title", "review_count", "avg_rating", "pos_pct", "neg_pct"]
     ranked = (
         reviews.filter(F.col("product_title").isNotNull())
         .groupBy("product_title")
@@ -88,15 +87,15 @@ def leaderboard(reviews: DataFrame, n: int = V.LEADERBOARD_ROWS, key: Sequence[s
             F.avg("rating").alias("avg_rating"),
             share(sentiment, V.POSITIVE).alias("pos_pct"),
             share(sentiment, V.NEGATIVE).alias("neg_pct"),
+            F.min(key).alias("_first"),
         )
         .orderBy(F.col("review_count").desc(), "product_title")
         .limit(n)
     )
+    images = reviews.select(F.col(key).alias("_first"), "image_url")
     return (
-        reviews.select("product_title", "image_url", *key)
-        .join(bounded(ranked, n), "product_title")
-        .groupBy(*figures)
-        .agg(F.min_by("image_url", F.struct(*key)).alias("image_url"))
+        images.join(bounded(ranked, n), "_first")
+        .drop("_first")
         .withColumn("neu_pct", 1 - F.col("pos_pct") - F.col("neg_pct"))
     )
 
@@ -105,11 +104,14 @@ def top_of(board: DataFrame, n: int = V.LEADERBOARD_SHOWN) -> DataFrame:
     return board.orderBy(F.col("review_count").desc(), "product_title").limit(n)
 
 
-def first_images(reviews: DataFrame, key: Sequence[str] = ("review_id",)) -> DataFrame:
-    """The image of each title's first review, null if that review has none."""
-    return reviews.groupBy("product_title").agg(
-        F.min_by("image_url", F.struct(*key)).alias("image_url")
-    )
+def first_images(reviews: DataFrame, key: str = "review_id") -> DataFrame:
+    """The image of each title's first review, null if that review has none.
+
+    ``key`` is unique. Its minimum is found in a hash aggregate; the image is then fetched by it, one row per title.
+    """
+    first = reviews.groupBy("product_title").agg(F.min(key).alias("_first"))
+    images = reviews.select(F.col(key).alias("_first"), "image_url")
+    return first.join(images, "_first").drop("_first")
 
 
 def chart_contexts(reviews: DataFrame, edges: Sequence[float] = PRICE_EDGES) -> DataFrame:

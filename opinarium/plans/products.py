@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinarium import fixed as V
 from opinarium.functions.reviews import day_text, has_image, matches, share
 from opinarium.functions.text import clip, clip_marked
-from opinarium.operators.ranking import first_n_per_group
+from opinarium.operators.ranking import LANES, first_n_per_group
 from opinarium.plans.metrics import first_images
 from opinarium.plans.series import monthly_totals
 
@@ -44,7 +44,7 @@ def first_by_sentiment(reviews: DataFrame, n: int, key: Sequence[str] = KEY) ->
         F.col("product_title").isNotNull() & F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE)
     )
     group = ["product_title", "sentiment"]
-    return first_n_per_group(two_sided, group, [F.col(c) for c in key], n, cluster_by=["product_title"])
+    return first_n_per_group(two_sided, group, [F.col(c) for c in key], n, lanes=LANES, cluster_by=["product_title"])
 
 
 def product_top(reviews: DataFrame, n: int = V.PRODUCT_SHOWN, key: Sequence[str] = KEY) -> DataFrame:
@@ -77,7 +77,7 @@ def both_sides(samples: DataFrame, group: Sequence[str], min_side: int) -> DataF
     return counted.filter((F.col("_pos") >= min_side) & (F.col("_neg") >= min_side)).drop("_pos", "_neg")
 
 
-def product_images(reviews: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+def product_images(reviews: DataFrame, key: str = "review_id") -> DataFrame:
     """The first review's image of every title and whether it can be shown."""
     titled = reviews.filter(F.col("product_title").isNotNull())
     return first_images(titled, key).withColumn(
@@ -126,7 +126,7 @@ def product_drilldown(reviews: DataFrame, key: Sequence[str] = KEY, text: Sequen
     """One row per title: statistics, image, monthly series, displayed reviews, summary flag.
 
     Statistics and series come from one pass over monthly totals. Every part has one
-    row per title before the joins, which reuse the partitioning by title. Arrays hold
+    row per title before the joins, which reuse the partitioning by title. The first column of ``key`` is unique. Arrays hold
     at most ``PRODUCT_SHOWN`` reviews per side and one entry per month.
     """
     titled = reviews.filter(F.col("product_title").isNotNull())
@@ -146,9 +146,8 @@ def product_drilldown(reviews: DataFrame, key: Sequence[str] = KEY, text: Sequen
         .otherwise(F.array())
         .alias("months"),
     )
-    samples = first_by_sentiment(
-        titled.select("product_title", "sentiment", *key, *text), V.PRODUCT_SAMPLES, key
-    )
+    needed = max(V.PRODUCT_SHOWN, V.MIN_PER_SIDE)
+    samples = first_by_sentiment(titled.select("product_title", "sentiment", *key, *text), needed, key)
     shown = F.struct("rank", *key, *text)
 
     def side(label: str, name: str) -> Column:
@@ -163,7 +162,7 @@ def product_drilldown(reviews: DataFrame, key: Sequence[str] = KEY, text: Sequen
     )
     enough = (F.col("_pos") >= V.MIN_PER_SIDE) & (F.col("_neg") >= V.MIN_PER_SIDE)
     return (
-        figures.join(product_images(titled, key), "product_title", "left")
+        figures.join(product_images(titled, key[0]), "product_title", "left")
         .join(sides, "product_title", "left")
         .withColumn("has_summary", F.coalesce(enough, F.lit(False)))
         .drop("_pos", "_neg")

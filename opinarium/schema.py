@@ -14,10 +14,14 @@ REVIEWS = T.StructType(
         T.StructField("text", T.StringType()),
         T.StructField("review_date", T.DateType()),
         T.StructField("image_url", T.StringType()),
+        T.StructField("price", T.DoubleType()),
+        T.StructField("brand", T.StringType()),
+        T.StructField("user_id", T.StringType()),
+        T.StructField("parent_asin", T.StringType()),
         T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
-OPTIONAL_REVIEW_COLUMNS = ("review_date", "image_url", "embedding")
+OPTIONAL_REVIEW_COLUMNS = ("review_date", "image_url", "price", "brand", "user_id", "parent_asin", "embedding")
 
 RAW_REVIEWS = T.StructType(
     [
@@ -31,6 +35,9 @@ RAW_REVIEWS = T.StructType(
     ]
 )
 
+# What raw reviews may come without: ids and labels are made later.
+OPTIONAL_RAW_COLUMNS = ("review_id", "lang")
+
 PRODUCTS = T.StructType(
     [
         T.StructField("parent_asin", T.StringType()),
@@ -75,6 +82,18 @@ TURNS = T.StructType(
 )
 
 
+def require(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Fail if a table with rows has a required column without any value.
+
+    Text formats give null for an absent field. Each check stops at the first value.
+    """
+    if not df.isEmpty():
+        for name in columns:
+            if df.filter(df[name].isNotNull()).isEmpty():
+                raise ValueError(f"no value in column {name}")
+    return df
+
+
 def conform(df: DataFrame, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
     """The columns of ``schema`` with its types; missing optional columns become null.
 

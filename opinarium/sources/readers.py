@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opinarium import schema
 
@@ -18,14 +20,28 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_reviews(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
-    """Raw reviews already landed as JSON lines or Parquet, with a declared schema."""
+    """Raw reviews already landed as JSON lines or Parquet, with a declared schema.
+
+    Ids and language labels may be absent and are then null. A rating may be written as ``5`` or ``5.0``;
+    one that is not whole becomes null. A required field without any value is an error.
+    """
     if format == "json":
-        return spark.read.schema(schema.RAW_REVIEWS).json(path)
-    return schema.conform(spark.read.format(format).load(path), schema.RAW_REVIEWS, ("lang",))
+        landed = T.StructType(
+            [T.StructField(f.name, T.DoubleType()) if f.name == "rating" else f for f in schema.RAW_REVIEWS]
+        )
+        raw = spark.read.schema(landed).json(path)
+    else:
+        raw = spark.read.format(format).load(path)
+    if "rating" in raw.columns:
+        whole = F.when(F.col("rating") == F.floor("rating"), F.col("rating").cast("int"))
+        raw = raw.withColumn("rating", whole)
+    raw = schema.conform(raw, schema.RAW_REVIEWS, schema.OPTIONAL_RAW_COLUMNS)
+    return schema.require(raw, tuple(n for n in raw.columns if n not in schema.OPTIONAL_RAW_COLUMNS))
 
 
 def read_products(spark: SparkSession, path: str, format: str = "json") -> DataFrame:
     """Product metadata landed as JSON lines or Parquet."""
     if format == "json":
-        return spark.read.schema(schema.PRODUCTS).json(path)
+        products = spark.read.schema(schema.PRODUCTS).json(path)
+        return schema.require(products, ("parent_asin", "product_title"))
     return schema.conform(spark.read.format(format).load(path), schema.PRODUCTS)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import opinarium as op
-from catalog.views import KEY, load
+from catalog.views import load
 from opinarium import schema
 from opinarium.plans import ingest
 
@@ -71,7 +71,7 @@ def test_readers(spark, tmp_path):
 
 
 def test_marts_are_read_back(spark, tmp_path):
-    built = op.build_marts(load(spark, SF, "rv"), str(tmp_path / "m"), key=KEY, sample=100)
+    built = op.build_marts(load(spark, SF, "rv"), str(tmp_path / "m"), sample=100)
     stored = op.read_marts(spark, str(tmp_path / "m"))
     assert {k: v.count() for k, v in stored.items()} == {k: v.count() for k, v in built.items()}
     assert stored["sample"].count() == 100

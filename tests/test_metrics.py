@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import opinarium as op
-from catalog.views import KEY, load
+from catalog.views import load
 from opinarium.plans.metrics import first_images
 from opinarium.plans.products import both_sides
 
@@ -83,7 +83,7 @@ def test_counts_agree(spark):
     labelled = rv.filter("sentiment is not null").count()
     daily = op.daily_sentiment(rv).agg(F.sum(F.expr("pos + neu + neg"))).first()[0]
     stats = op.product_stats(rv).agg(F.sum("review_count")).first()[0]
-    board = op.leaderboard(rv, key=KEY).collect()
+    board = op.leaderboard(rv).collect()
     assert daily == labelled and stats == rv.count()
     assert all(abs(r.pos_pct + r.neu_pct + r.neg_pct - 1) < 1e-9 for r in board)
 
