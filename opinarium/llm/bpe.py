@@ -20,10 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from opinarium.llm.tables import arrow_rows
+from opinarium.llm.tables import arrow_rows, small
 
 #: Entries of each memo in a worker; a full memo is emptied.
-MEMO = 800_000
+MEMO = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -198,7 +198,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             ids = [codec.encode(text or "") for _, text in arrow_rows(batch, "doc_id", "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -211,7 +211,7 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value.__getitem__
-        for batch in batches:
+        for batch in small(batches):
             out = [b"".join(map(table, ids)) for (ids,) in arrow_rows(batch, "ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], ["doc_id", "ids", "bytes"])
 
@@ -232,7 +232,7 @@ def token_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Dat
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             rows = [digest(text, codec) for _, text in arrow_rows(batch, "doc_id", "text")]
             counts, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(

@@ -9,7 +9,7 @@ recognised by a bound, so the recursion runs over the short stretches between th
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinarium.llm.tables import bounded_sample
+from opinarium.llm.tables import bounded_sample, rows_with_text, small
 
 # The patterns that always count, and the least length of what they match.
 PATTERNS = {
@@ -231,7 +231,7 @@ def train_field(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each: list[list] = [[], [], []]
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(1).to_pylist():
                 for window in _windows(text or ""):
                     each[window[3] >> 32].append(window)
@@ -335,47 +335,63 @@ def all_spans(text: str, tagger: Tagger) -> list[tuple[str, int, int]]:
     return sorted(base + added, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
+def _shared(docs: DataFrame, field: Field) -> Callable[[], Tagger]:
+    """A worker's tagger, from broadcast weights of a fixed size."""
+    sent = docs.sparkSession.sparkContext.broadcast({"weights": (field.tokens, field.file, field.moves)})
+
+    def tagger() -> Tagger:
+        cell = sent.value
+        if "tagger" not in cell:
+            cell["tagger"] = Tagger(Field(*cell["weights"]))
+        return cell["tagger"]
+
+    return tagger
+
+
 def secret_spans(docs: DataFrame, field: Field, carried: Column) -> DataFrame:
     """``_row, spans``: a struct carried along with each row, and its text's ``kind, start, end`` in code points.
 
-    Null and empty texts have no spans. The field's weights, of a fixed size, are broadcast.
+    Null and empty texts have no spans.
     """
-    shared = docs.sparkSession.sparkContext.broadcast({"weights": (field.tokens, field.file, field.moves)})
-    source = docs.select(carried.alias("_row"), F.col("text").alias("_text"))
+    tagger = _shared(docs, field)
+    source, text_of = rows_with_text(docs, carried)
     schema = source.select(
         "_row", F.expr("cast(null as array<struct<kind:string,start:bigint,end:bigint>>)").alias("spans")
     ).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell = shared.value
-        if "tagger" not in cell:
-            cell["tagger"] = Tagger(Field(*cell["weights"]))
+        own = tagger()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in small(batches):
             rows = [
-                [dict(zip(("kind", "start", "end"), span)) for span in all_spans(text or "", cell["tagger"])]
-                for text in batch.column(1).to_pylist()
+                [dict(zip(("kind", "start", "end"), span)) for span in all_spans(text or "", own)]
+                for text in text_of(batch).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["_row", "spans"])
 
     return source.mapInArrow(scan, schema)
 
 
+def redact(text: str | None, tagger: Tagger, mark: str) -> str | None:
+    if text is None:
+        return None
+    for start, end in reversed(_joined([(start, end) for _, start, end in all_spans(text, tagger)])):
+        text = text[:start] + mark + text[end:]
+    return text
+
+
 def redacted(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``, and ``n_chars`` counted anew. No row goes."""
-    columns = docs.columns
-    spanned = secret_spans(docs, field, F.struct("*"))
+    tagger = _shared(docs, field)
+    others = [c for c in docs.columns if c != "text"]
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col("text").alias("_text"))
 
     def blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for start, end in reversed(_joined([(s["start"], s["end"]) for s in spans or []])):
-                    text = text[:start] + mark + text[end:]
-                texts.append(text)
+        own = tagger()
+        for batch in small(batches):
+            texts = [redact(text, own, mark) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["_row", "_text"])
 
-    packed = spanned.select("_row", F.col("_row.text").alias("_text"), "spans")
-    clean = packed.mapInArrow(blank, packed.select("_row", "_text").schema)
+    clean = source.mapInArrow(blank, source.schema)
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
-    return clean.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns])
+    return clean.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

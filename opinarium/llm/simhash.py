@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from opinarium.llm.components import components
-from opinarium.llm.tables import written
+from opinarium.llm.tables import rows_with_text, small, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -52,12 +52,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(docs: DataFrame, carried: Column, shingle: int = SHINGLE) -> DataFrame:
     """``_row, _print``: a struct carried along with each row, and the fingerprint of its text as a signed bigint."""
-    source = docs.select(carried.alias("_row"), F.col("text").alias("_text"))
+    source, text_of = rows_with_text(docs, carried)
     schema = source.select("_row", F.lit(0).cast("bigint").alias("_print")).schema
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(text, shingle) for text in batch.column(1).to_pylist()]
+        for batch in small(batches):
+            prints = [fingerprint(text, shingle) for text in text_of(batch).to_pylist()]
             column = pa.array(np.array(prints, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), column], ["_row", "_print"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,15 +10,26 @@ from pyspark.sql import functions as F
 
 from opinarium.session import fresh_path
 
+#: Setting under which Spark removes the shuffle files of a finished job.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: it cuts the lineage and outlives executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: it cuts the lineage and outlives executors.
+
+    What was shuffled for it is not needed again, so its files are removed as soon as the table is there.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(key: str, divisor: int) -> Column:
@@ -42,6 +53,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices, so that few texts stand in Python at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def rows_with_text(docs: DataFrame, carried: Column) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """``_row``, a struct to be carried along, with the text beside it, and how to find the text in a batch.
+
+    A struct that has the text itself is not sent with a second copy of it.
+    """
+    source = docs.select(carried.alias("_row"), F.col("text").alias("_text"))
+    if "text" in source.schema["_row"].dataType.names:
+        return source.select("_row"), lambda batch: batch.column(0).field("text")
+    return source, lambda batch: batch.column(1)
+
+
 def arrow_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
     """The rows of a batch as Python tuples of the named columns."""
     return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))

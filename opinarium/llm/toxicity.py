@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinarium.llm.tables import bounded_sample
+from opinarium.llm.tables import bounded_sample, rows_with_text, small
 
 #: Kernel: letters of a subsequence, letters it may span, factor of a skipped letter, hash bits of a subsequence.
 LETTERS, SPAN, SKIP, BITS = 4, 6, 0.6, 20
@@ -277,7 +277,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS)
     sample = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("toxic", "text").persist()
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = sorted(fragments_of(text or ""))
                 yield pa.RecordBatch.from_arrays(
@@ -311,7 +311,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS)
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Machine(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             rows = [fitted.summary(text or "").tolist() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "summary"])
 
@@ -328,12 +328,12 @@ def toxicity(docs: DataFrame, machine: Machine, carried: Column) -> DataFrame:
     Null and empty texts are scored like a text without fragments. The weights, of a fixed size, are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast((machine.table, machine.bias, machine.link))
-    source = docs.select(carried.alias("_row"), F.col("text").alias("_text"))
+    source, text_of = rows_with_text(docs, carried)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Machine(*shared.value)
-        for batch in batches:
-            scores = [fitted.score(text or "") for text in batch.column(1).to_pylist()]
+        for batch in small(batches):
+            scores = [fitted.score(text or "") for text in text_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["_row", "score"])
 
     return source.mapInArrow(score, source.select("_row", F.lit(0.0).alias("score")).schema)
