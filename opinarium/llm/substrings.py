@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from opinarium.llm.filters import bits_of, build_filter, contains, mixed
-from opinarium.llm.tables import words_of, written
+from opinarium.llm.tables import small, words_of, written
 
 WINDOW = 50
 #: Bits of the filter of shared anchors, as a power of two: 32 MB for any corpus. A fuller filter lets more windows be counted.
 LOG_BITS, PROBES = 28, 2
-#: Two odd multipliers with their inverses modulo 2**64: two hashes of 64 bits make equal hashes of unequal windows negligible.
+#: Two odd multipliers with their inverses modulo 2**64: 96 bits of two hashes make equal hashes of unequal windows negligible.
 BASES = tuple((base, pow(base, -1, 1 << 64)) for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
 
@@ -66,7 +66,7 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``hash``: anchors that documents with different ids have."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) >= window:
@@ -87,7 +87,7 @@ def candidate_windows(docs: DataFrame, shared: np.ndarray, window: int = WINDOW)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) < window:
@@ -95,11 +95,12 @@ def candidate_windows(docs: DataFrame, shared: np.ndarray, window: int = WINDOW)
                 x = word_hashes(words)
                 places = np.flatnonzero(contains(packed, bits_of(anchors(x, window), log_bits, PROBES)))
                 if len(places):
-                    hashes = [_signed(rolling(x, window, base)[places]) for base in BASES]
+                    first, second = (rolling(x, window, base)[places] for base in BASES)
+                    check = pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     ids = pa.repeat(doc_id, len(places))
-                    yield pa.RecordBatch.from_arrays([*hashes, ids, pa.array(places.astype(np.int32))], names)
+                    yield pa.RecordBatch.from_arrays([_signed(first), check, ids, pa.array(places.astype(np.int32))], names)
 
-    return docs.mapInArrow(cut, "h1 bigint, h2 bigint, doc_id bigint, place int")
+    return docs.mapInArrow(cut, "h1 bigint, h2 int, doc_id bigint, place int")
 
 
 def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -108,7 +109,7 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Intervals neither touch nor overlap. Documents without one are left out, as are null ids.
     """
     narrow = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    shared = build_filter(shared_anchors(narrow, window), LOG_BITS, PROBES)
+    shared = build_filter(written(shared_anchors(narrow, window), "substring-anchors"), LOG_BITS, PROBES)
     windows = candidate_windows(narrow, shared, window)
     firsts = (
         windows.groupBy("h1", "h2")
@@ -149,7 +150,7 @@ def removal_digests(cut: DataFrame) -> DataFrame:
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = words_of(text)
