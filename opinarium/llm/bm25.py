@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from opinarium.llm.tables import written
+from opinarium.llm.tables import small, written
 from opinarium.session import fresh_path
 
 K1, B = 1.2, 0.75
@@ -75,7 +75,7 @@ def build_index(docs: DataFrame) -> DataFrame:
         ids: list[int] = []
         texts: list[Counter] = []
         size = 0
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(doc_id)
                 texts.append(terms_of(text))
@@ -117,7 +117,7 @@ def weighted_queries(queries: DataFrame, index: DataFrame) -> DataFrame:
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for query_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = terms_of(text)
                 yield pa.RecordBatch.from_arrays(
