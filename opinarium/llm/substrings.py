@@ -117,6 +117,7 @@ def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         .filter("low < high")
         .select("h1", "h2", "low")
     )
+    firsts = written(firsts, "substring-firsts").hint("merge")
     later = windows.join(firsts, ["h1", "h2"]).filter("doc_id > low").select("doc_id", "place")
     order = W.partitionBy("doc_id").orderBy("place")
     fresh = F.coalesce(F.col("place") - F.lag("place").over(order) > window, F.lit(True))
@@ -142,7 +143,8 @@ def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words nor take any. Null texts have no words.
     """
     cuts = written(removal_intervals(docs, window), "substring-cuts").withColumnRenamed("doc_id", "_cut_id")
-    return docs.select("doc_id", "text").join(cuts, F.col("doc_id") == F.col("_cut_id"), "left").drop("_cut_id")
+    met = F.col("doc_id") == F.col("_cut_id")
+    return docs.select("doc_id", "text").join(cuts.hint("merge"), met, "left").drop("_cut_id")
 
 
 def removal_digests(cut: DataFrame) -> DataFrame:
