@@ -25,7 +25,7 @@ from opinarium.session import fresh_path
 
 K1, B = 1.2, 0.75
 #: Documents of a shard at most, and postings after which it is closed; documents of a block.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 8_000_000, 64
+SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 4_000_000, 64
 #: A term is frequent in a shard if one document in so many has it.
 FREQUENT = 24
 #: Scores are rounded, so that equal documents tie wherever they lie.
@@ -44,28 +44,44 @@ def terms_of(text: str | None) -> Counter:
     return Counter(map(xxh64_intdigest, (text or "").encode().lower().split()))
 
 
+def _arrays(own: Counter) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(own, np.uint64, len(own)), np.fromiter(own.values(), np.int32, len(own))
+
+
 def _shard(ids: list[int], texts: list[Counter]) -> tuple:
+    return _shard_of(ids, [_arrays(own) for own in texts])
+
+
+def _shard_of(ids: list[int], texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple:
     """One shard's arrays; documents with the same commonest term lie together, short ones first."""
-    spread: Counter = Counter()
-    for own in texts:
-        spread.update(own.keys())
-    lead = [max(own, key=lambda t: (spread[t], t)) if own else 0 for own in texts]
-    lengths = [sum(own.values()) for own in texts]
-    order = sorted(range(len(ids)), key=lambda i: (lead[i], lengths[i], ids[i]))
-    sizes = np.array([len(texts[i]) for i in order], np.int64)
-    terms = np.fromiter((t for i in order for t in texts[i]), np.uint64, sizes.sum())
-    times = np.fromiter((n for i in order for n in texts[i].values()), np.int32, sizes.sum())
-    docs = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
-    by_term = np.argsort(terms, kind="stable")
+    own_ids = np.array(ids, np.int64)
+    sizes = np.array([len(own) for own, _ in texts], np.int64)
+    lengths = np.array([n.sum() for _, n in texts], np.int64)
+    terms = np.concatenate([own for own, _ in texts])
+    times = np.concatenate([n for _, n in texts])
+    lead = np.zeros(len(ids), np.uint64)
+    if len(terms):
+        distinct, at, spread = np.unique(terms, return_inverse=True, return_counts=True)
+        commonest = np.lexsort((distinct, spread))
+        rank = np.empty(len(distinct), np.int32)
+        rank[commonest] = np.arange(len(distinct))
+        filled = sizes > 0
+        begin = (np.cumsum(sizes) - sizes)[filled]
+        lead[filled] = distinct[commonest[np.maximum.reduceat(rank[at], begin)]]
+    order = np.lexsort((own_ids, lengths, lead))
+    place = np.empty(len(ids), np.int32)
+    place[order] = np.arange(len(ids))
+    docs = np.repeat(place, sizes)
+    by_term = np.lexsort((docs, terms))
     terms, times, docs = terms[by_term], times[by_term], docs[by_term]
     starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
-    doc_ids = np.array([ids[i] for i in order], np.int64)
+    doc_ids = own_ids[order]
     arrays = (
-        doc_ids, np.array([lengths[i] for i in order], np.int64), terms[starts],
+        doc_ids, lengths[order], terms[starts],
         np.r_[starts, len(terms)].astype(np.int64), docs, times,
     )
     name = struct.unpack("<q", struct.pack("<Q", xxh64_intdigest(doc_ids.tobytes())))[0]
-    return (name, len(ids), int(sum(lengths)), *(a.tobytes() for a in arrays))
+    return (name, len(ids), int(lengths.sum()), *(a.tobytes() for a in arrays))
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -73,18 +89,18 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        texts: list[Counter] = []
+        texts: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
         for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(doc_id)
-                texts.append(terms_of(text))
-                size += len(texts[-1])
+                texts.append(_arrays(terms_of(text)))
+                size += len(texts[-1][0])
                 if len(ids) >= SHARD_DOCS or size >= SHARD_POSTINGS:
-                    yield packed(_shard(ids, texts))
+                    yield packed(_shard_of(ids, texts))
                     ids, texts, size = [], [], 0
         if ids:
-            yield packed(_shard(ids, texts))
+            yield packed(_shard_of(ids, texts))
 
     def packed(row: tuple) -> pa.RecordBatch:
         types = [pa.int64()] * 3 + [pa.binary()] * len(SHARD_FIELDS)
