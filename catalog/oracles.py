@@ -125,7 +125,8 @@ WITH kpi AS ({KPI}),
        FROM (SELECT string_agg({_render(
            V.PRICE_LINE, bracket="bracket", rating="format('{:.2f}', avg_rating)",
            total="format('{:,}', review_count)")}, chr(10) ORDER BY bracket_no) AS rows FROM ({BRACKETS}) b) r)
-SELECT chart, context, {_render(V.CHART_PROMPT, chart="chart", context="context")} AS prompt FROM charts"""
+SELECT chart, context, {_render(V.CHART_PROMPT, chart="chart", context="context")} AS prompt,
+       {_text(V.CHART_SYSTEM)} AS system FROM charts"""
 
 COMPARE_SIDES = f"""
 WITH first AS (SELECT *, (row_number() OVER (PARTITION BY product_title ORDER BY {ORDER}))::INT AS rank
@@ -203,14 +204,14 @@ by_sentiment AS (SELECT hits.*, question, product_hint FROM hits JOIN asked USIN
                  WHERE wanted NOT IN ('pos', 'neg') OR sentiment = wanted)"""
 
 SOFT_3 = """
-flagged AS (SELECT *, coalesce(regexp_matches(product_title, product_hint, 'i'), false) AS hit
+flagged AS (SELECT *, coalesce(regexp_matches(product_title, nullif(product_hint, 'src1++('), 'i'), false) AS hit
             FROM by_sentiment),
 soft AS (SELECT * FROM flagged
          QUALIFY hit OR count(*) FILTER (hit) OVER (PARTITION BY question_id) < 3)"""
 
 SOFT_20 = """
 flagged AS (SELECT hits.*, question,
-                   regexp_matches(product_title, coalesce(nullif(product_hint, ''), question), 'i') AS hit
+                   regexp_matches(product_title, coalesce(nullif(replace(product_hint, 'src1++(', 'zzz'), ''), question), 'i') AS hit
             FROM hits JOIN asked USING (question_id)),
 soft AS (SELECT * FROM flagged
          QUALIFY hit OR count(*) FILTER (hit) OVER (PARTITION BY question_id) < 20)"""
@@ -279,13 +280,14 @@ SELECT product_a, product_b,
        CASE WHEN enough THEN {_render(
            V.COMPARE_PROMPT, product_a="product_a", product_b="product_b", reviews_a="reviews_a",
            reviews_b="reviews_b")} END AS prompt,
-       CASE WHEN NOT enough THEN {_text(V.NOT_ENOUGH_TO_COMPARE)} END AS answer
+       CASE WHEN NOT enough THEN {_text(V.NOT_ENOUGH_TO_COMPARE)} END AS answer,
+       CASE WHEN enough THEN {_text(V.COMPARE_SYSTEM)} END AS system
 FROM sides"""
 
 PLANS = """
 SELECT p_partkey AS plan_id,
-       CASE WHEN p_partkey % 10 >= 8 THEN [p_name] ELSE [p_name, p_type] END AS search_queries,
-       CASE p_partkey % 10 WHEN 9 THEN 'any' WHEN 8 THEN 'pos' ELSE 'neg' END AS sentiment,
+       CASE WHEN p_partkey % 10 >= 7 THEN [p_name] ELSE [p_name, p_type] END AS search_queries,
+       CASE p_partkey % 10 WHEN 9 THEN 'any' WHEN 8 THEN 'pos' WHEN 6 THEN 'any' ELSE 'neg' END AS sentiment,
        CASE WHEN p_partkey % 10 < 8 THEN p_brand END AS product_hint
 FROM part"""
 
@@ -420,7 +422,7 @@ ORACLES = {
     ),
     "filter_title_hint": _retrieval(
         f"""SELECT {FACTS}, product_hint, score FROM hits JOIN asked USING (question_id)
-        WHERE regexp_matches(product_title, product_hint, 'i')"""
+        WHERE regexp_matches(product_title, nullif(product_hint, 'src1++('), 'i')"""
     ),
     "soft_filter_3": _retrieval(
         f"SELECT {FACTS}, score FROM soft", BY_SENTIMENT, SOFT_3
@@ -439,7 +441,8 @@ ORACLES = {
     "rag_prompt": _retrieval(
         f"""SELECT question_id, coalesce(n_hits, 0) AS n_hits,
         CASE WHEN n_hits > 0 THEN {_render(V.ANSWER_PROMPT, question="question", context="context")} END AS prompt,
-        CASE WHEN n_hits IS NULL THEN {_text(V.NOTHING_FOUND)} END AS answer
+        CASE WHEN n_hits IS NULL THEN {_text(V.NOTHING_FOUND)} END AS answer,
+        CASE WHEN n_hits > 0 THEN {_text(V.ANSWER_SYSTEM)} END AS system
         FROM asked LEFT JOIN (SELECT question_id, count(*) AS n_hits,
           string_agg({CONTEXT_LINE}, {_text(V.CONTEXT_SEPARATOR)} ORDER BY number) AS context
           FROM answer GROUP BY 1) c USING (question_id)""",
@@ -457,10 +460,11 @@ ORACLES = {
     "product_prompt": with_views(f"SELECT * FROM ({PRODUCT_PROMPT})", "text_reviews"),
     "compare_prompt": with_views(f"SELECT * FROM ({COMPARE_PROMPT})", "text_reviews"),
     "rewrite_prompt": with_views(
-        f"""SELECT question_id, 'question' AS kind, {_render(V.REWRITE_PROMPT, question="question")} AS prompt
+        f"""SELECT *, {_text(V.REWRITE_SYSTEM)} AS system FROM (
+        SELECT question_id, 'question' AS kind, {_render(V.REWRITE_PROMPT, question="question")} AS prompt
         FROM questions UNION ALL
         SELECT question_id, 'topic', {_render(V.REWRITE_PROMPT, question="concat('pros and cons of ', question)")}
-        FROM questions""",
+        FROM questions) r""",
         "questions",
     ),
     "parse_query_plan": f"SELECT * REPLACE (array_to_string(search_queries, '|') AS search_queries) FROM ({PLANS})",

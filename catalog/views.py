@@ -67,7 +67,7 @@ FROM {embeddings}
 QUESTIONS = """
 SELECT question_id, source AS question,
        CASE question_id % 3 WHEN 0 THEN 'any' WHEN 1 THEN 'pos' ELSE 'neg' END AS sentiment,
-       CASE WHEN question_id % 8 = 5 THEN 'zzz'
+       CASE WHEN question_id % 8 = 5 THEN 'zzz' WHEN question_id % 8 = 3 THEN 'src1++('
             WHEN question_id % 2 = 0 THEN 'SRC1' END AS product_hint
 FROM (SELECT DISTINCT question_id FROM {queries}) q JOIN {documents} ON doc_id = question_id
 """
@@ -77,6 +77,10 @@ SELECT p_partkey AS plan_id, p_name AS question,
        CASE WHEN p_partkey % 10 = 9 THEN 'not json'
             WHEN p_partkey % 10 = 8 THEN concat('```json', chr(10), '{{"search_queries":[],"sentiment":"pos",',
                                                 '"product_hint":null}}', chr(10), '```')
+            WHEN p_partkey % 10 = 7 THEN concat('{{"search_queries":"', p_name, '","sentiment":"neg","product_hint":"',
+                                                p_brand, '"}}')
+            WHEN p_partkey % 10 = 6 THEN concat('{{"search_queries":["', p_name, '","', p_type, '"],"sentiment":["x"],',
+                                                '"product_hint":"', p_brand, '"}}')
             ELSE concat('{{"search_queries":["', p_name, '","', p_type, '"],"sentiment":"neg",',
                         '"product_hint":"', p_brand, '"}}') END AS raw
 FROM {part}

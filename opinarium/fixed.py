@@ -90,6 +90,31 @@ Format:
 **Where B Wins:** [2 specific points]
 **Verdict:** [one sentence on who should buy which]"""
 
+# Instructions that go before a prompt; pros and cons have none.
+REWRITE_SYSTEM = (
+    "You turn user questions about product reviews into structured search parameters. Return ONLY valid JSON."
+)
+ANSWER_SYSTEM = """You are a product review analyst. Answer using ONLY the reviews provided.
+Format:
+- Start with a bold TL;DR sentence.
+- Then 3-5 themed insights as bullet points, each with a bold label followed by the insight.
+- Cite reviews inline using the format (R3) or (R3, R5) — NEVER use brackets like [Review 3] because those break rendering.
+- Be specific: name products, mention concrete features, cite reviewer language when relevant.
+- Keep bullets tight — 1-2 sentences each, not paragraphs.
+- If reviews don't answer the question, say so plainly.
+
+Example good citation: "Users praise the glare-free screen (R4)."
+Example bad citation: "Users praise the glare-free screen [Review 4]."
+"""
+COMPARE_SYSTEM = (
+    "You compare two products based on customer reviews. Be concrete, balanced, and specific. "
+    "Output in sections: Where A wins, Where B wins, Verdict."
+)
+CHART_SYSTEM = (
+    "You are a data analyst. Given a chart description, explain the key insight in 2-3 sentences. "
+    "Be specific, concrete, actionable. No fluff."
+)
+
 TREND_CHART = "Sentiment Over Time"
 TREND_CONTEXT = (
     "Positive share: {pos}%, Negative share: {neg}%, Total reviews: {total}. "

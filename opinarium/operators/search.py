@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.fixed import MAX_VARIANTS
-from opinarium.operators.joins import BROADCAST_ROWS, bounded
-from opinarium.operators.ranking import LANES
 from opinarium.session import fresh_path
 
 # Largest query matrix, as float64, handed to every executor.
 MATRIX_BYTES = 64 * 1024 * 1024
 # Corpus rows and queries scored at once in a task: 4,096 x 512 float64 cells are 16 MB.
 TILE_ROWS, TILE_QUERIES = 4096, 512
-# Blocks beyond this are written out one by one instead of growing one plan.
-UNION_BLOCKS = 8
+# Hits of a block at most: queries times k.
+BLOCK_HITS = 1_000_000
+# A corpus of more partitions gives every query a bar first, found on one row in so many.
+BAR_PARTITIONS, BAR_SLICE = 32, 64
 SCORE_DECIMALS = 9
 
 _SCORES = "question_id bigint, query_no int, review_id bigint, score double, lane int"
@@ -27,13 +26,13 @@ _SCORES = "question_id bigint, query_no int, review_id bigint, score double, lan
 def query_blocks(queries: DataFrame, k: int) -> list[tuple[DataFrame, int]]:
     """Split the queries, whole questions together, into blocks of a checked number of rows.
 
-    A block's matrix stays within ``MATRIX_BYTES`` and its hits within ``BROADCAST_ROWS``.
+    A block's matrix stays within ``MATRIX_BYTES`` and its hits within ``BLOCK_HITS``.
     """
     queries = queries.filter(F.col("query_vec").isNotNull())
     rows, dims = queries.agg(F.count(F.lit(1)), F.max(F.size("query_vec"))).first()
     if not rows:
         return [(queries, 0)]
-    limit = max(MAX_VARIANTS, min(MATRIX_BYTES // (8 * dims), BROADCAST_ROWS // k))
+    limit = max(MAX_VARIANTS, min(MATRIX_BYTES // (8 * dims), BLOCK_HITS // k))
     if rows <= limit:
         return [(queries, rows)]
     pieces = -(-rows * 2 // limit)
@@ -48,21 +47,20 @@ def query_blocks(queries: DataFrame, k: int) -> list[tuple[DataFrame, int]]:
     return [(numbered.filter(F.col("_piece") == i).drop("_piece"), n) for i, n in sorted(sizes.items())]
 
 
-def in_blocks(queries: DataFrame, k: int, job: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+def in_blocks(queries: DataFrame, k: int, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Run a per-question job on every block of queries and put the results together.
 
-    The job gets a block and its number of rows. Few blocks form one plan. Many are
-    written out one after the other and read back, so that no plan grows with the
-    questions. Every block scans the corpus once more, which its arithmetic, one product
-    per vector and query, outweighs.
+    However many blocks there are, each one's hits are written to the shared folder, one after the other, so that a
+    matrix is only held while its block runs and no plan grows with the questions. Every block scans the
+    vectors once more, which its arithmetic, one product per vector and query, outweighs.
     """
-    blocks = query_blocks(queries, k)
-    if len(blocks) > UNION_BLOCKS:
-        path = fresh_path(queries.sparkSession, "blocks")
-        for block, rows in blocks:  # one at a time: a matrix is only held while its block runs
-            job(block, rows).write.mode("append").parquet(path)
-        return queries.sparkSession.read.parquet(path)
-    return reduce(DataFrame.unionByName, [job(block, rows) for block, rows in blocks])
+    path = fresh_path(queries.sparkSession, "hits")
+    schema = None
+    for block, _ in query_blocks(queries, k):
+        hits = job(block)
+        schema = hits.schema
+        hits.write.mode("append").parquet(path)
+    return queries.sparkSession.read.schema(schema).parquet(path)
 
 
 def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decimals: int):
@@ -73,7 +71,7 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
         import pyarrow as pa
         from pyspark import TaskContext
 
-        question_ids, query_nos, matrix = shared.value
+        question_ids, query_nos, matrix, bars = shared.value
         total, dims = matrix.shape
         if not total:
             return
@@ -82,7 +80,7 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
         lane = TaskContext.get().partitionId() % lanes
         none = np.empty(0, np.int64)
         tiles = {
-            start: (none, np.empty(0), none, np.full(min(tile_queries, total - start), -np.inf))
+            start: (none, np.empty(0), none, bars[start : start + tile_queries])
             for start in range(0, total, tile_queries)
         }
 
@@ -111,7 +109,8 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
                 col, val, rid = col[keep], val[keep], rid[keep]
                 counts = np.bincount(col, minlength=width)
                 worst = val[np.maximum(np.cumsum(counts) - 1, 0)]
-                tiles[start] = (col, val, rid, np.where(counts == k, worst, -np.inf))
+                full = np.where(counts == k, worst, -np.inf)
+                tiles[start] = (col, val, rid, np.maximum(full, bars[start : start + width]))
 
         for start, (col, val, rid, _) in tiles.items():
             yield pa.RecordBatch.from_arrays(
@@ -128,22 +127,29 @@ def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decim
     return score
 
 
-def _broadcast_queries(block: DataFrame):
-    """A block as arrays on every executor: question ids, variant numbers, float64 matrix."""
+def _as_arrays(block: DataFrame):
+    """A block as arrays: question ids, variant numbers, float64 matrix."""
     import numpy as np
 
     table = block.select("question_id", "query_no", "query_vec").toArrow()
     flat = table.column("query_vec").combine_chunks().flatten().to_numpy()
     matrix = flat.reshape(table.num_rows, -1 if table.num_rows else 0).astype(np.float64)
-    return block.sparkSession.sparkContext.broadcast(
-        (table.column("question_id").to_numpy(), table.column("query_no").to_numpy(), matrix)
-    )
+    return table.column("question_id").to_numpy(), table.column("query_no").to_numpy(), matrix
 
 
-def top_k_of_block(corpus: DataFrame, block: DataFrame, k: int, lanes: int = LANES) -> DataFrame:
-    """``top_k`` for a block of queries, partitioned by ``question_id``."""
-    scorer = _scorer(_broadcast_queries(block), k, lanes, TILE_ROWS, TILE_QUERIES, SCORE_DECIMALS)
-    vectors = corpus.select("review_id", "embedding").filter(F.col("embedding").isNotNull())
+def _bars(vectors: DataFrame, arrays, k: int):
+    """The ``k``-th best score of every query on a slice of the corpus: no hit of the whole lies below it."""
+    import numpy as np
+
+    part = vectors.filter(F.pmod(F.xxhash64("review_id"), F.lit(BAR_SLICE)) == 0)
+    found = _ranked(part, arrays, np.full(len(arrays[0]), -np.inf), k, BAR_PARTITIONS).filter(F.col("rank") == k)
+    last = {(r["question_id"], r["query_no"]): r["score"] for r in found.collect()}  # one number per query
+    return np.array([last.get(key, -np.inf) for key in zip(arrays[0].tolist(), arrays[1].tolist())])
+
+
+def _ranked(vectors: DataFrame, arrays, bars, k: int, lanes: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast((*arrays, bars))
+    scorer = _scorer(shared, k, lanes, TILE_ROWS, TILE_QUERIES, SCORE_DECIMALS)
     best_first = [F.col("score").desc(), F.col("review_id")]
     by_lane = Window.partitionBy("question_id", "query_no", "lane").orderBy(*best_first)
     by_query = Window.partitionBy("question_id", "query_no").orderBy(*best_first)
@@ -158,6 +164,24 @@ def top_k_of_block(corpus: DataFrame, block: DataFrame, k: int, lanes: int = LAN
     )
 
 
+def top_k_of_block(corpus: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    """``top_k`` for a block of queries, partitioned by ``question_id``.
+
+    In a corpus of many partitions most of them hold no hit of a query: its bar keeps them from sending
+    any, and lanes, as many as the root of the partitions, share out the rest.
+    """
+    import numpy as np
+
+    vectors = corpus.select("review_id", "embedding").filter(F.col("embedding").isNotNull())
+    arrays = _as_arrays(block)
+    partitions = vectors.rdd.getNumPartitions()
+    if partitions > BAR_PARTITIONS and len(arrays[0]):
+        bars = _bars(vectors, arrays, k)
+    else:
+        bars = np.full(len(arrays[0]), -np.inf)
+    return _ranked(vectors, arrays, bars, k, max(1, int(partitions**0.5)))
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best reviews of every query: ``question_id, query_no, review_id, score, rank``.
 
@@ -169,7 +193,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     only its own ``k`` best per query, so no table of all pairs exists. These are
     merged per lane, then per question. Ties go to the smaller id.
     """
-    return in_blocks(queries, k, lambda block, rows: top_k_of_block(corpus, block, k))
+    return in_blocks(queries, k, lambda block: top_k_of_block(corpus, block, k))
 
 
 def merge_variants(ranked: DataFrame) -> DataFrame:
@@ -185,10 +209,9 @@ def merge_variants(ranked: DataFrame) -> DataFrame:
     return merged.withColumn("position", F.row_number().over(by_question)).drop("_seen")
 
 
-def attach(hits: DataFrame, corpus: DataFrame, columns: Sequence[str], at_most: int) -> DataFrame:
-    """Fetch corpus columns for hits. ``at_most`` is a proven bound on the number of hits.
+def attach(hits: DataFrame, corpus: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Fetch corpus columns for hits by their id.
 
-    Few enough hits, which those of a query block always are, are broadcast, and the
-    corpus is only scanned.
+    No hint is given: stored hits that are small enough are broadcast by their size, more of them are joined by id.
     """
-    return corpus.select("review_id", *columns).join(bounded(hits, at_most), "review_id")
+    return corpus.select("review_id", *columns).join(hits, "review_id")

@@ -18,12 +18,12 @@ EMBEDDING_DIMS = 384
 def embed_hashed(texts: DataFrame, id_column: str = "review_id", text: str = "text", dims: int = EMBEDDING_DIMS) -> DataFrame:
     """Unit-length float vectors from hashed, idf-weighted words.
 
-    Two scans without any exchange of text: document frequencies are aggregated into
+    Null text counts as empty and has a zero vector. Two scans without any exchange of text: document frequencies are aggregated into
     one vector of ``dims`` numbers, then every row is transformed in place.
     """
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
     counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dims)
-    counted = counts.transform(words.transform(texts.select(id_column, text)))
+    counted = counts.transform(words.transform(texts.select(id_column, F.coalesce(text, F.lit("")).alias(text))))
     weighted = IDF(inputCol="_counts", outputCol="_weighted").fit(counted).transform(counted)
     unit = Normalizer(inputCol="_weighted", outputCol="_unit").transform(weighted)
     return unit.select(id_column, vector_to_array("_unit", "float32").alias("embedding"))

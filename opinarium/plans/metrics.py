@@ -11,7 +11,6 @@ from opinarium import fixed as V
 from opinarium.functions.numbers import fixed, rounded, thousands
 from opinarium.functions.reviews import bracket_order, price_bracket, share
 from opinarium.functions.text import render
-from opinarium.operators.joins import bounded
 
 PRICE_EDGES = (0, 25, 50, 100, 200)
 
@@ -94,7 +93,7 @@ def leaderboard(reviews: DataFrame, n: int = V.LEADERBOARD_ROWS, key: str = "rev
     )
     images = reviews.select(F.col(key).alias("_first"), "image_url")
     return (
-        images.join(bounded(ranked, n), "_first")
+        images.join(F.broadcast(ranked), "_first")  # at most n rows
         .drop("_first")
         .withColumn("neu_pct", 1 - F.col("pos_pct") - F.col("neg_pct"))
     )
@@ -144,4 +143,4 @@ def chart_contexts(reviews: DataFrame, edges: Sequence[float] = PRICE_EDGES) ->
     prices = lines.select(F.lit(V.PRICE_CHART).alias("chart"), render(V.PRICE_CONTEXT, rows=joined).alias("context"))
     return texts.unionByName(prices).withColumn(
         "prompt", render(V.CHART_PROMPT, chart=F.col("chart"), context=F.col("context"))
-    )
+    ).withColumn("system", F.lit(V.CHART_SYSTEM))

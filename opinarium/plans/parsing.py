@@ -31,7 +31,10 @@ def without_fence(text: Column) -> Column:
 
 
 def parse_query_plans(raw: DataFrame, text: str = "raw", question: str = "question") -> DataFrame:
-    """Typed query plans; unreadable text falls back to the question itself without filters."""
+    """Typed query plans; unreadable text falls back to the question itself without filters.
+
+    So does each field of the wrong type, by itself.
+    """
     options = {
         "columnNameOfCorruptRecord": _BAD,
         "allowSingleQuotes": "false",
@@ -41,12 +44,20 @@ def parse_query_plans(raw: DataFrame, text: str = "raw", question: str = "questi
     parsed = cleaned.withColumn("_plan", F.from_json("_text", _PLAN_CHECKED, options))
     whole = F.startswith("_text", F.lit("{")) & F.endswith("_text", F.lit("}"))
     valid = F.coalesce(whole & F.col("_plan").isNotNull() & F.col(f"_plan.{_BAD}").isNull(), F.lit(False))
-    queries = F.col("_plan.search_queries")
+    # A plan with a field of another type is read again, field by field.
+    object_ = F.when(whole & ~valid, F.try_parse_json("_text"))
+
+    def field(name: str, kind: str) -> Column:
+        own = F.try_variant_get(object_, f"$.{name}", kind)
+        typed = F.schema_of_variant(F.try_variant_get(object_, f"$.{name}", "variant")).startswith(kind[:5].upper())
+        return F.when(valid, F.col(f"_plan.{name}")).otherwise(F.when(typed, own))
+
+    queries = field("search_queries", "array<string>")
     return parsed.select(
         *[c for c in raw.columns if c not in (text, question)],
-        F.when(valid & (F.size(queries) > 0), queries).otherwise(F.array(question)).alias("search_queries"),
-        F.coalesce(F.when(valid, F.col("_plan.sentiment")), F.lit(V.ANY_SENTIMENT)).alias("sentiment"),
-        F.when(valid, F.col("_plan.product_hint")).alias("product_hint"),
+        F.when(F.size(queries) > 0, queries).otherwise(F.array(question)).alias("search_queries"),
+        F.coalesce(field("sentiment", "string"), F.lit(V.ANY_SENTIMENT)).alias("sentiment"),
+        field("product_hint", "string").alias("product_hint"),
     )
 
 

@@ -28,7 +28,11 @@ def rewrite_prompts(questions: DataFrame, topics: bool = False) -> DataFrame:
     question = F.col("question")
     if topics:
         question = render(V.TOPIC_QUESTION, topic=question)
-    return questions.select("question_id", render(V.REWRITE_PROMPT, question=question).alias("prompt"))
+    return questions.select(
+        "question_id",
+        render(V.REWRITE_PROMPT, question=question).alias("prompt"),
+        F.lit(V.REWRITE_SYSTEM).alias("system"),
+    )
 
 
 def context_lines(hits: DataFrame) -> DataFrame:
@@ -61,6 +65,7 @@ def answer_prompts(hits: DataFrame, questions: DataFrame) -> DataFrame:
         F.coalesce("n_hits", F.lit(0).cast("bigint")).alias("n_hits"),
         F.when(F.col("n_hits").isNotNull(), prompt).alias("prompt"),
         F.when(F.col("n_hits").isNull(), F.lit(V.NOTHING_FOUND)).alias("answer"),
+        F.when(F.col("n_hits").isNotNull(), F.lit(V.ANSWER_SYSTEM)).alias("system"),
     )
 
 
@@ -174,4 +179,5 @@ def compare_prompts(
         "product_b",
         F.when(_enough(min_reviews), render(V.COMPARE_PROMPT, **fields)).alias("prompt"),
         F.when(~_enough(min_reviews), F.lit(V.NOT_ENOUGH_TO_COMPARE)).alias("answer"),
+        F.when(_enough(min_reviews), F.lit(V.COMPARE_SYSTEM)).alias("system"),
     )

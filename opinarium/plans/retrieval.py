@@ -49,11 +49,8 @@ def retrieve(
     to three times ``k`` reviews come back. ``facts`` adds title, rating and label.
     """
 
-    def job(block: DataFrame, rows: int) -> DataFrame:
-        hits = merge_variants(top_k_of_block(corpus, block, k))
-        return attach(hits, corpus, FACTS, rows * k) if facts else hits
-
-    return in_blocks(_used(queries), k, job)
+    hits = in_blocks(_used(queries), k, lambda block: merge_variants(top_k_of_block(corpus, block, k)))
+    return attach(hits, corpus, FACTS) if facts else hits
 
 
 def by_position(hits: DataFrame, n: int, group: tuple[str, ...] = ("question_id",), rank: str = "number") -> DataFrame:
@@ -119,12 +116,9 @@ def answer_hits(
     Titles and labels are fetched for all candidates, the wide text for the last ``n`` only.
     """
 
-    def job(block: DataFrame, rows: int) -> DataFrame:
-        found = attach(merge_variants(top_k_of_block(corpus, block, k)), corpus, FACTS, rows * k)
-        best = by_position(filter_answers(found, questions, mode), n)
-        return attach(best, corpus, ["text"], rows * n)
-
-    return in_blocks(_used(queries), k, job)
+    found = retrieve(corpus, queries, k, facts=True)
+    best = by_position(filter_answers(found, questions, mode), n)
+    return attach(best, corpus, ["text"])
 
 
 def answer_sources(hits: DataFrame, n: int = V.ANSWER_SOURCES) -> DataFrame:
@@ -148,14 +142,11 @@ def topic_candidates(
     plays no part.
     """
 
-    def job(block: DataFrame, rows: int) -> DataFrame:
-        found = attach(merge_variants(top_k_of_block(corpus, block, k)), corpus, FACTS, rows * k)
-        kept = filter_title(found, questions, V.TOPIC_MIN_MATCHES, mode, fall_back_on="question")
-        two_sided = kept.filter(F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE))
-        best = by_position(two_sided, per_side, ("question_id", "sentiment"))
-        return attach(best, corpus, ["text"], rows * min(k, 2 * per_side))
-
-    return in_blocks(_used(queries), k, job)
+    found = retrieve(corpus, queries, k, facts=True)
+    kept = filter_title(found, questions, V.TOPIC_MIN_MATCHES, mode, fall_back_on="question")
+    two_sided = kept.filter(F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE))
+    best = by_position(two_sided, per_side, ("question_id", "sentiment"))
+    return attach(best, corpus, ["text"])
 
 
 def gated_candidates(candidates: DataFrame, min_side: int = V.MIN_PER_SIDE) -> DataFrame:

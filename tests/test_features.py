@@ -61,3 +61,9 @@ def test_sessions(spark):
     assert sorted(r.turn for r in op.last_turns(turns).filter("session_id = 1").collect()) == [2, 3, 4, 5, 6]
     more = op.append_turns(turns, spark.createDataFrame([(1, 7), (3, 0)], "session_id bigint, turn bigint"))
     assert sorted((r.session_id, r.turn) for r in more.collect()) == [(1, 3), (1, 4), (1, 5), (1, 6), (1, 7), (2, 0), (3, 0)]
+
+
+def test_null_text_has_a_zero_vector(spark):
+    df = spark.createDataFrame([(1, None), (2, "bolt")], "review_id bigint, text string")
+    got = {r.review_id: r.embedding for r in op.embed_hashed(df, dims=16).collect()}
+    assert set(got[1]) == {0.0} and len(got) == 2

@@ -96,3 +96,48 @@ def test_instants_ignore_the_session_zone(spark):
         (datetime.datetime(1969, 12, 31, 23, 59, 59, 999000), datetime.date(1969, 12, 31)),
         (None, None),
     ]
+
+
+def test_raw_json_as_it_is_found(spark, tmp_path):
+    rows = [r.asDict() for r in raw(spark).collect()]
+    for r in rows:
+        del r["review_id"], r["lang"]
+        r["rating"] = None if r["rating"] is None else float(r["rating"])
+        r["text"] = "this is the text that is " + r["text"]
+    lines = [json.dumps(r) for r in rows]
+    (tmp_path / "raw.json").write_text("\n".join(lines + lines[:1]))  # one review twice
+    read = op.read_raw_reviews(spark, str(tmp_path / "raw.json"))
+    assert sorted(r.rating for r in read.collect() if r.rating) == [1, 2, 3, 5, 5, 5, 5]
+    once = ingest.with_ids(read)
+    assert once.count() == 7 and once.select("review_id").distinct().count() == 7
+    again = ingest.with_ids(read.repartition(5))
+    assert sorted(r.review_id for r in once.collect()) == sorted(r.review_id for r in again.collect())
+    assert op.clean_reviews(read, products(spark)).count() == 5
+
+
+def test_a_field_without_values_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.json").write_text(json.dumps({"user": "u", "text": "t"}))
+    with pytest.raises(ValueError, match="user_id"):
+        op.read_raw_reviews(spark, str(tmp_path / "bad.json"))
+
+
+def test_nothing_is_cut_off(spark):
+    many = spark.range(120_000).selectExpr(
+        "id review_id", "cast(id as string) user_id", "'p' parent_asin", "concat('a text that is long enough ', id) text",
+        "'en' lang", "5 rating", "0L ts_ms")
+    assert op.clean_reviews(many, products(spark)).count() == 120_000
+
+
+def test_rows_without_ids_or_labels_stay(spark):
+    df = raw(spark).withColumn("review_id", F.lit(None).cast("bigint"))
+    assert op.dedupe(df).count() == 7
+    assert op.clean_reviews(df, products(spark)).count() == 3
+    unlabelled = raw(spark).withColumn("lang", F.lit(None).cast("string")).withColumn("text", F.concat(F.lit("this is the "), "text"))
+    assert op.clean_reviews(unlabelled, products(spark)).count() == 4
+
+
+def test_stored_reviews_feed_the_marts(spark, tmp_path):
+    cleaned = op.clean_reviews(raw(spark), products(spark))
+    op.write_parquet(cleaned.withColumn("image_url", F.lit(None).cast("string")), str(tmp_path / "c"))
+    built = op.build_marts(op.read_reviews(spark, str(tmp_path / "c")), str(tmp_path / "m"))
+    assert built["brackets"].first().review_count == 3

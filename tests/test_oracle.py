@@ -4,10 +4,11 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as driver
+from catalog.oracles import ORACLES
+from catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
 NO_SQL = {
-    "kpi_distinct_approx",  # a sketch; its tolerance is tested in test_metrics.py
     "embed_hashed",  # hashes with murmur3; checked by brute force in test_features.py
 }
 
@@ -18,14 +19,13 @@ def con():
 
 
 def test_only_the_named_queries_lack_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == NO_SQL
-    assert set(driver.oracle_sql()) <= set(driver.queries())
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
-    result = driver.queries()[name](spark, SF)
-    assert difference(result, con, driver.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF), con, ORACLES[name]) is None
 
 
 def test_entry(spark):

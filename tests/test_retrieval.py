@@ -17,12 +17,10 @@ def rows(df):
     return sorted(tuple(sorted(r.asDict().items(), key=str)) for r in df.collect())
 
 
-@pytest.mark.parametrize("union_blocks", [50, 1])
 @pytest.mark.parametrize("job", [op.answer_hits, op.topic_candidates])
-def test_blocks_do_not_change_results(spark, inputs, monkeypatch, job, union_blocks):
+def test_blocks_do_not_change_results(spark, inputs, monkeypatch, job):
     whole = rows(job(*inputs, k=9))
     monkeypatch.setattr(search, "MATRIX_BYTES", 8 * 64 * 250)
-    monkeypatch.setattr(search, "UNION_BLOCKS", union_blocks)
     assert len(search.query_blocks(inputs[1], 9)) > 1
     assert rows(job(*inputs, k=9)) == whole
 

@@ -112,3 +112,23 @@ def test_prompts_and_parsers_use_no_python_functions(spark):
     for df in (op.parse_pros_cons(texts(spark, "x")), op.parse_compare(texts(spark, "x"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("hint,title,found", [
+    ("src1", "SRC10", True), ("c++(", "my C++(x", True), ("c++(", "ccc", False), ("(usb|hdmi) hub", "HDMI hub", True), ("a[", "A[b", True),
+    ("a.c", "abc", True), ("[z-a]", "x[z-a]", True), ("*", "a*b", True), ("\\\\E(", "x\\\\e(", True), ("a{2}", "caat", True), ("a{99999999999}", "a", False),
+])
+def test_any_hint_is_safe(spark, hint, title, found):
+    from opinarium.operators.filters import title_matches
+
+    df = spark.createDataFrame([(hint, title), ("ok", "ok")], "h string, t string")
+    got = [r.m for r in df.select(title_matches(df.t, df.h).alias("m")).collect()]
+    assert got == [found, True]
+
+
+def test_plan_fields_fall_back_one_by_one(spark):
+    raw = [(1, '{"search_queries":"abc","sentiment":"neg","product_hint":"tv"}'), (2, '{"search_queries":["a"],"sentiment":3,"product_hint":["x"]}'),
+           (3, '["a"]'), (4, '{"search_queries":["a"],"sentiment":"pos"'), (5, '{"sentiment":"pos"}')]
+    df = spark.createDataFrame([(i, "q", r) for i, r in raw], "plan_id int, question string, raw string")
+    got = {r.plan_id: (r.search_queries, r.sentiment, r.product_hint) for r in op.parse_query_plans(df).collect()}
+    assert got == {1: (["q"], "neg", "tv"), 2: (["a"], "any", None), 3: (["q"], "any", None), 4: (["q"], "any", None), 5: (["q"], "pos", None)}
