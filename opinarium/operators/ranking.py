@@ -48,12 +48,12 @@ def key_cutoff(
     so only counts reach the driver, and later passes read less. ``bounds`` saves the
     pass that finds the smallest and largest key. Rows that repeat the n-th smallest key
     come on top of ``surplus``. None means the table has no more than ``n`` rows.
-    ``key`` must be a non-null whole number.
+    ``key`` must be a whole number; rows without one are not counted.
     """
     low, high = bounds or df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return None
-    below, part = 0, df
+    below, part = 0, df.filter(F.col(key).isNotNull())
     while True:
         width = max(1, -(-(high - low + 1) // _BUCKETS))
         # In decimals: keys may span the whole range of bigint.
