@@ -2,8 +2,9 @@
 
 Every window of a document has a Rabin-Karp hash, and an anchor: the least hash of the shorter windows within it. Equal
 windows have equal anchors, so a window whose anchor no other document has is found nowhere else and need not
-be counted. The others are counted in Spark by hash, with the smallest document of each; windows of later
-documents merge into maximal intervals, which go.
+be counted. Successive windows with one anchor form a run, and equal runs of windows are counted as one, with their smallest
+document: all windows of the same run in later documents go. Only where an anchor has different runs, the windows of the
+smallest document of each are counted one by one. Windows of later documents merge into maximal intervals, which go.
 """
 
 from __future__ import annotations
@@ -32,17 +33,20 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
 
-def rolling(x: np.ndarray, size: int, base: tuple[int, int] = BASES[0]) -> np.ndarray:
-    """Rabin-Karp hashes, modulo 2**64, of all windows of ``size`` values."""
-    n = len(x)
-    if n < size:
-        return np.zeros(0, np.uint64)
-    up = np.full(n, base[0], np.uint64)
-    down = np.full(n, base[1], np.uint64)
-    up[0] = down[0] = 1
+def slices(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: tuple[int, int] = BASES[0]) -> np.ndarray:
+    """Rabin-Karp hashes, modulo 2**64, of the values from each start to its end (exclusive)."""
+    up = np.full(len(x), base[0], np.uint64)
+    down = np.full(len(x), base[1], np.uint64)
+    up[:1] = down[:1] = 1
     up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * down, dtype=np.uint64)])
-    return (sums[size:] - sums[:-size]) * up[size - 1 :]
+    return (sums[ends] - sums[starts]) * up[ends - 1]
+
+
+def rolling(x: np.ndarray, size: int, base: tuple[int, int] = BASES[0]) -> np.ndarray:
+    """Rabin-Karp hashes of all windows of ``size`` values."""
+    starts = np.arange(max(len(x) - size + 1, 0))
+    return slices(x, starts, starts + size, base)
 
 
 def anchors(x: np.ndarray, window: int) -> np.ndarray:
@@ -79,53 +83,99 @@ def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return spread.filter("low < high").select("hash")
 
 
-def candidate_windows(docs: DataFrame, shared: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """``h1, h2, doc_id, place`` of the windows whose anchor may be shared."""
+def _check(h: np.ndarray) -> pa.Array:
+    return pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
+
+
+def candidate_runs(docs: DataFrame, shared: np.ndarray, window: int = WINDOW) -> DataFrame:
+    """``h1, h2, anchor, doc_id, own, first, last``: runs of windows whose anchor may be shared, hashed as a whole."""
     sent = docs.sparkSession.sparkContext.broadcast(shared)
     log_bits = int(shared.size * 8).bit_length() - 1
-    names = ["h1", "h2", "doc_id", "place"]
+    schema = "h1 bigint, h2 int, anchor bigint, doc_id bigint, own bigint, first int, last int"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value
         for batch in small(batches):
-            for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
+            for doc_id, own, text in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
                 words = words_of(text)
                 if len(words) < window:
                     continue
                 x = word_hashes(words)
-                places = np.flatnonzero(contains(packed, bits_of(anchors(x, window), log_bits, PROBES)))
-                if len(places):
-                    first, second = (rolling(x, window, base)[places] for base in BASES)
-                    check = pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    ids = pa.repeat(doc_id, len(places))
-                    yield pa.RecordBatch.from_arrays([_signed(first), check, ids, pa.array(places.astype(np.int32))], names)
+                least = anchors(x, window)
+                first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                last = np.r_[first[1:], len(least)] - 1
+                may = contains(packed, bits_of(least[first], log_bits, PROBES))
+                if not may.any():
+                    continue
+                first, last = first[may], last[may]
+                h1, h2 = (slices(x, first, last + window, base) for base in BASES)
+                ids = [pa.repeat(v, len(first)) for v in (doc_id, own)]
+                places = [pa.array(v.astype(np.int32)) for v in (first, last)]
+                yield pa.RecordBatch.from_arrays([_signed(h1), _check(h2), _signed(least[first]), *ids, *places], names)
+
+    return docs.mapInArrow(cut, schema)
+
+
+def windows_in(docs: DataFrame, runs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``h1, h2, doc_id, own, place`` of every window in ``runs`` (``doc_id, own, first, last``)."""
+    wanted = runs.groupBy("doc_id", "own").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    schema = "h1 bigint, h2 int, doc_id bigint, own bigint, place int"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for doc_id, own, text, runs in zip(batch.column(0), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
+                x = word_hashes(words_of(text))
+                places = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs])
+                h1, h2 = (slices(x, places, places + window, base) for base in BASES)
+                ids = [pa.repeat(v, len(places)) for v in (doc_id, own)]
+                yield pa.RecordBatch.from_arrays([_signed(h1), _check(h2), *ids, pa.array(places.astype(np.int32))], names)
+
+    met = docs.join(wanted.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "runs")
+    return met.mapInArrow(cut, schema)
+
+
+def _counted(rows: DataFrame, *extra) -> DataFrame:
+    return rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *extra)
+
 
-    return docs.mapInArrow(cut, "h1 bigint, h2 int, doc_id bigint, place int")
+def contested_runs(runs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, own, first, last``: runs in the smallest document of their class, of anchors with classes from different ones."""
+    by_anchor = classes.groupBy("anchor").agg(F.min("low").alias("from"), F.max("low").alias("to"))
+    open_ = by_anchor.filter("from < to").select("anchor")
+    held = classes.join(open_.hint("merge"), "anchor").select("h1", "h2", F.col("low").alias("doc_id"))
+    return runs.join(held.hint("merge"), ["h1", "h2", "doc_id"]).select("doc_id", "own", "first", "last")
 
 
 def removal_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, cuts``: intervals of words (``start``, ``end`` exclusive) that windows of smaller ids cover.
+    """``doc_id, own, cuts``: intervals of words (``start``, ``end`` exclusive) that windows of smaller ids cover.
 
-    Intervals neither touch nor overlap. Documents without one are left out, as are null ids.
+    ``docs``: ``doc_id, own, text``, where ``own`` tells texts of one id apart. Intervals neither touch nor overlap.
+    Documents without one are left out, as are null ids.
     """
-    narrow = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
-    shared = build_filter(written(shared_anchors(narrow, window), "substring-anchors"), LOG_BITS, PROBES)
-    windows = candidate_windows(narrow, shared, window)
-    firsts = (
-        windows.groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .filter("low < high")
-        .select("h1", "h2", "low")
-    )
-    firsts = written(firsts, "substring-firsts").hint("merge")
-    later = windows.join(firsts, ["h1", "h2"]).filter("doc_id > low").select("doc_id", "place")
-    order = W.partitionBy("doc_id").orderBy("place")
-    fresh = F.coalesce(F.col("place") - F.lag("place").over(order) > window, F.lit(True))
-    runs = later.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(order))
-    spans = runs.groupBy("doc_id", "_run").agg(
-        F.min("place").alias("start"), (F.max("place") + window).alias("end")
-    )
-    return spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    narrow = docs.select("doc_id", "own", "text").filter("doc_id IS NOT NULL")
+    anchored = written(shared_anchors(narrow.select("doc_id", "text"), window), "substring-anchors")
+    shared = build_filter(anchored, LOG_BITS, PROBES)
+    runs = written(candidate_runs(narrow, shared, window), "substring-runs")
+    classes = written(_counted(runs, F.min("anchor").alias("anchor")), "substring-classes")
+    windows = written(windows_in(narrow, contested_runs(runs, classes), window), "substring-windows")
+    firsts = written(_counted(windows).filter("low < high"), "substring-firsts")
+
+    def later(rows: DataFrame, counted: DataFrame) -> DataFrame:
+        low = counted.filter("low < high").select("h1", "h2", "low").hint("merge")
+        return rows.join(low, ["h1", "h2"]).filter("doc_id > low")
+
+    end = (F.col("last") + window).alias("end")
+    whole = later(runs, classes).select("doc_id", "own", F.col("first").alias("start"), end)
+    single = windows.withColumn("last", F.col("place"))
+    spans = whole.unionByName(later(single, firsts).select("doc_id", "own", F.col("place").alias("start"), end))
+    order = W.partitionBy("doc_id", "own").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") > reach, F.lit(True))
+    parts = spans.withColumn("_fresh", fresh.cast("int")).withColumn("_part", F.sum("_fresh").over(order))
+    merged = parts.groupBy("doc_id", "own", "_part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("doc_id", "own").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
 
 def without_cuts(words: list[bytes], cuts: list[dict] | None) -> list[bytes]:
@@ -139,12 +189,12 @@ def without_cuts(words: list[bytes], cuts: list[dict] | None) -> list[bytes]:
 def cut_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, text, cuts``: every row with the intervals of words that go; null where none does.
 
-    A document with ``doc_id`` repeated counts as one whose rows do not remove each other; null ids neither lose
+    Rows of one ``doc_id`` do not remove each other's words; null ids neither lose
     words nor take any. Null texts have no words.
     """
-    cuts = written(removal_intervals(docs, window), "substring-cuts").withColumnRenamed("doc_id", "_cut_id")
-    met = F.col("doc_id") == F.col("_cut_id")
-    return docs.select("doc_id", "text").join(cuts.hint("merge"), met, "left").drop("_cut_id")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    cuts = written(removal_intervals(rows, window), "substring-cuts")
+    return rows.join(cuts.hint("merge"), ["doc_id", "own"], "left").select("doc_id", "text", "cuts")
 
 
 def removal_digests(cut: DataFrame) -> DataFrame:

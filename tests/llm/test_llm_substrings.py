@@ -56,6 +56,28 @@ def test_one_passage_in_most_documents(spark):
     assert got == brute(rows, 50)
 
 
+def test_long_copies_cut_at_many_places(spark):
+    rng = random.Random(2)
+    base = [f"b{rng.randint(0, 60)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        words = list(base[rng.randint(0, 50) : 400 - rng.randint(0, 50)])
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"edit{rng.randint(0, 3)}"
+        rows.append((rng.randint(0, 10**6) * 100 + i, " ".join(words)))
+    rows += [(5, "a b " * 200), (3, "a b " * 90), (4, "b a " * 120), (1, "a b " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    for window in (8, 50):
+        assert digest(docs, window)[1] == brute(rows, window)
+
+
+def test_one_id_with_two_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
+    rows = [(1, one), (2, f"new {two}"), (2, f"{one} new"), (3, two)]
+    got, _ = digest(spark.createDataFrame(rows, "doc_id bigint, text string"), 50)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 80, 0), (2, 81, 0), (2, 81, 80), (3, 80, 80)]
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     got, by_id = digest(docs, 50)
