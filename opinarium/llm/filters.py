@@ -76,6 +76,7 @@ def build_filter(hashes: DataFrame, log_bits: int, probes: int = 2) -> np.ndarra
 
     dealt = hashes.select("hash").repartition(segment_of("hash"))
     packed = np.zeros((1 << log_bits) // 8, np.uint8)
-    for row in dealt.mapInArrow(fill, "segment int, bits binary").toLocalIterator():
+    # All segments together are one filter, so one job may bring them.
+    for row in dealt.mapInArrow(fill, "segment int, bits binary").collect():
         packed[row["segment"] * size : (row["segment"] + 1) * size] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return packed

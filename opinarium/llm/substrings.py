@@ -25,6 +25,8 @@ from opinarium.llm.tables import small, words_of, written
 WINDOW = 50
 #: Bits of the filter of shared anchors, as a power of two: 32 MB for any corpus. A fuller filter lets more windows be counted.
 LOG_BITS, PROBES = 28, 2
+#: Words after which the texts read so far are hashed together.
+AT_ONCE = 200_000
 #: Two odd multipliers with their inverses modulo 2**64: 96 bits of two hashes make equal hashes of unequal windows negligible.
 BASES = tuple((base, pow(base, -1, 1 << 64)) for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 
@@ -66,17 +68,41 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def hashed_texts(batch: pa.RecordBatch, least: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Rows of a batch with ``text`` of at least so many words, some at once: their numbers, where each begins, and all word hashes."""
+    rows, sizes, words = [], [], []
+    for row, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
+        own = words_of(text)
+        if len(own) >= least:
+            rows.append(row)
+            sizes.append(len(own))
+            words += own
+            if len(words) >= AT_ONCE:
+                yield pa.array(rows), np.cumsum([0, *sizes]), word_hashes(words)
+                rows, sizes, words = [], [], []
+    if rows:
+        yield pa.array(rows), np.cumsum([0, *sizes]), word_hashes(words)
+
+
+def runs_of(begins: np.ndarray, x: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, anchor, first and last window (places in ``x``) of each run; windows across two texts are none."""
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    places = np.flatnonzero(text[: len(x) - window + 1] == text[window - 1 :])
+    least, text = anchors(x, window)[places], text[places]
+    begin = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
+    end = np.r_[begin[1:], len(places)] - 1
+    return text[begin], least[begin], places[begin], places[end]
+
+
 def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``hash``: anchors that documents with different ids have."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            for doc_id, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) >= window:
-                    found = np.unique(anchors(word_hashes(words), window))
-                    ids = pa.repeat(doc_id, len(found))
-                    yield pa.RecordBatch.from_arrays([_signed(found), ids], ["hash", "doc_id"])
+            for rows, begins, x in hashed_texts(batch, window):
+                text, found, _, _ = runs_of(begins, x, window)
+                ids = batch.column(0).take(rows).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([_signed(found), ids], ["hash", "doc_id"])
 
     found = docs.mapInArrow(own, "hash bigint, doc_id bigint")
     spread = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -97,22 +123,14 @@ def candidate_runs(docs: DataFrame, shared: np.ndarray, window: int = WINDOW) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value
         for batch in small(batches):
-            for doc_id, own, text in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
-                words = words_of(text)
-                if len(words) < window:
-                    continue
-                x = word_hashes(words)
-                least = anchors(x, window)
-                first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                last = np.r_[first[1:], len(least)] - 1
-                may = contains(packed, bits_of(least[first], log_bits, PROBES))
-                if not may.any():
-                    continue
-                first, last = first[may], last[may]
+            for rows, begins, x in hashed_texts(batch, window):
+                text, anchor, first, last = runs_of(begins, x, window)
+                may = np.flatnonzero(contains(packed, bits_of(anchor, log_bits, PROBES)))
+                text, anchor, first, last = text[may], anchor[may], first[may], last[may]
                 h1, h2 = (slices(x, first, last + window, base) for base in BASES)
-                ids = [pa.repeat(v, len(first)) for v in (doc_id, own)]
-                places = [pa.array(v.astype(np.int32)) for v in (first, last)]
-                yield pa.RecordBatch.from_arrays([_signed(h1), _check(h2), _signed(least[first]), *ids, *places], names)
+                ids = [batch.column(i).take(rows).take(pa.array(text)) for i in (0, 1)]
+                places = [pa.array((v - begins[text]).astype(np.int32)) for v in (first, last)]
+                yield pa.RecordBatch.from_arrays([_signed(h1), _check(h2), _signed(anchor), *ids, *places], names)
 
     return docs.mapInArrow(cut, schema)
 
@@ -125,11 +143,17 @@ def windows_in(docs: DataFrame, runs: DataFrame, window: int = WINDOW) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            for doc_id, own, text, runs in zip(batch.column(0), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
-                x = word_hashes(words_of(text))
-                places = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in runs])
-                h1, h2 = (slices(x, places, places + window, base) for base in BASES)
-                ids = [pa.repeat(v, len(places)) for v in (doc_id, own)]
+            spans = batch.column(3)
+            for rows, begins, x in hashed_texts(batch, window):
+                runs = spans.take(rows)
+                text, inner = runs.value_parent_indices().to_numpy(), runs.flatten()
+                first, last = (inner.field(f).to_numpy().astype(np.int64) for f in ("first", "last"))
+                sizes = last - first + 1
+                upto = np.cumsum(sizes)
+                text = np.repeat(text, sizes)
+                places = np.arange(len(text)) + np.repeat(first - (upto - sizes), sizes)
+                h1, h2 = (slices(x, begins[text] + places, begins[text] + places + window, base) for base in BASES)
+                ids = [batch.column(i).take(rows).take(pa.array(text)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([_signed(h1), _check(h2), *ids, pa.array(places.astype(np.int32))], names)
 
     met = docs.join(wanted.hint("merge"), ["doc_id", "own"]).select("doc_id", "own", "text", "runs")

@@ -71,6 +71,14 @@ def test_long_copies_cut_at_many_places(spark):
         assert digest(docs, window)[1] == brute(rows, window)
 
 
+def test_texts_hashed_apart_and_together(spark, monkeypatch):
+    rows = [(i, " ".join(f"{(i // 2 + j) % 40}" for j in range(i % 37))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    for many in (1, 100, 10**6):
+        monkeypatch.setattr(substrings, "AT_ONCE", many)
+        assert digest(docs, 10)[1] == brute(rows, 10)
+
+
 def test_one_id_with_two_texts(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "xy")
     rows = [(1, one), (2, f"new {two}"), (2, f"{one} new"), (3, two)]
