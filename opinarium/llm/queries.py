@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bm25, bpe, chat, lm, mixing, quality, secrets, simhash, substrings, toxicity
+from opinarium.llm import bm25, bpe, chat, exact, lm, mixing, quality, secrets, simhash, substrings, toxicity
 from opinarium.llm.tables import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,10 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.copy_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
@@ -116,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_spans": op10_secret_spans,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: The measurements in SQL; the rules of the current policy are spelled out again.
@@ -172,4 +177,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM x GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL, "op3_chat_format": CHAT_SQL}
+#: Equal texts by the texts themselves.
+EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": QUALITY_SQL,
+    "op3_chat_format": CHAT_SQL,
+    "op13_exact_dedup": EXACT_SQL,
+}
