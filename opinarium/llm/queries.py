@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinarium.llm import bm25, bpe, chat, exact, lm, mixing, quality, secrets, simhash, substrings, toxicity
+from opinarium.llm import aligned, bm25, bpe, chat, exact, lm, mixing, negatives, quality, secrets, simhash, substrings, toxicity
 from opinarium.llm.tables import crc_mod
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +105,18 @@ def op10_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    tokenizers = aligned.read_tokenizers(*paths, public_tokenizers.PATTERN)
+    return aligned.aligned_documents(table(spark, sf_dir, "documents"), tokenizers)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.copy_digests(table(spark, sf_dir, "documents"))
 
@@ -120,6 +132,8 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_secret_spans": op10_secret_spans,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_alignment": op12_token_alignment,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -177,6 +191,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM x GROUP BY conv_id
 """
 
+#: All anchors against all rows.
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)
+), s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id
+  WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
 #: Equal texts by the texts themselves.
 EXACT_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
@@ -188,5 +226,6 @@ FROM d
 ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY_SQL,
     "op3_chat_format": CHAT_SQL,
+    "op11_hard_negatives": NEGATIVES_SQL,
     "op13_exact_dedup": EXACT_SQL,
 }

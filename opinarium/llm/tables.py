@@ -12,6 +12,8 @@ from opinarium.session import fresh_path
 
 #: Setting under which Spark removes the shuffle files of a finished job.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key with more than one in so many of all rows is hot; there are fewer such keys than this.
+HOT_SHARE = 1024
 #: Characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -48,6 +50,25 @@ def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.join(F.broadcast(chosen), F.col(key) == F.col("_chosen"), "left_semi")
 
 
+def hot_join(rows: DataFrame, side: DataFrame, key: str, weight: str, share: int = HOT_SHARE) -> DataFrame:
+    """``rows`` left-joined with ``side``, which has one row per key and in ``weight`` how many rows have it.
+
+    Fewer than ``share`` keys can hold more than that part of the weight: these are broadcast, so that their
+    rows stay where they are, and the others joined by key. Rows without a key take no part in the exchange. Both tables are read
+    more than once and should be stored.
+    """
+    total = side.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = side.filter(F.col(weight) * share > total)
+    rest = side.filter(F.col(weight) * share <= total)
+    keyed = rows.filter(F.col(key).isNotNull())
+    others = keyed.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return (
+        keyed.join(F.broadcast(hot), key)
+        .unionByName(others.join(rest, key, "left"))
+        .unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+    )
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII blanks, as UTF-8."""
     return (text or "").encode().split()

@@ -7,11 +7,11 @@ from opinarium.llm import queries
 SF = "/root/testdata/sf0.001"
 NAMED = {"op1_quality_rules", "op2_toxicity", "op3_chat_format", "op4_simhash_groups", "op5_bm25_top_k", "op6_byte_bpe",
          "op7_mix_sources", "op8_lm_scores", "op9_substring_dedup", "op10_secret_spans",
-         "op13_exact_dedup"}
+         "op11_hard_negatives", "op12_token_alignment", "op13_exact_dedup"}
 
 
 def test_names():
-    assert set(queries.QUERIES) == NAMED and set(queries.ORACLES) == {"op1_quality_rules", "op3_chat_format", "op13_exact_dedup"}
+    assert set(queries.QUERIES) == NAMED and set(queries.ORACLES) == {"op1_quality_rules", "op3_chat_format", "op11_hard_negatives", "op13_exact_dedup"}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
