@@ -54,6 +54,16 @@ FROM (SELECT product_title, count(*) AS review_count, avg(rating) AS avg_rating,
       FROM rv GROUP BY 1) t
 ORDER BY review_count DESC, product_title LIMIT {{limit}}"""
 
+QUARANTINE = """
+SELECT reason, count(*) AS n_rows, sum(CASE WHEN reason = 'typed' THEN rating END)::BIGINT AS ratings
+FROM (SELECT rating,
+             CASE WHEN review_id % 11 = 5 THEN 'malformed JSON'
+                  WHEN review_id % 13 = 6 AND review_id % 7 = 3 THEN 'ts_ms: string, rating: not whole'
+                  WHEN review_id % 13 = 6 THEN 'ts_ms: string'
+                  WHEN review_id % 7 = 3 THEN 'rating: not whole' ELSE 'typed' END AS reason
+      FROM raw_reviews) r
+GROUP BY 1"""
+
 SAMPLE = f"""
 SELECT * FROM rv
 ORDER BY substr(md5(review_id::VARCHAR), 1, 15), {ORDER} LIMIT 5000"""
@@ -167,6 +177,30 @@ FROM (SELECT doc_id, lang, {votes}
       FROM (SELECT doc_id, lang, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') AS words FROM documents) d) v"""
 
 
+def _code(word: str, side: int) -> str:
+    letters = [f"(CASE WHEN length({word}) >= {i} THEN unicode(substr({word}, {i}, 1)) ELSE 0 END % 32)" for i in (1, 2, 3)]
+    return f"((({side} * 32 + {letters[0]}) * 32 + {letters[1]}) * 32 + {letters[2]})"
+
+
+# Learned from four fifths of the labelled documents, applied to all.
+LEARNED = f"""
+WITH words AS (
+  SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM documents
+), codes AS (
+  SELECT doc_id, lang, unnest([{_code("word", 0)}, {_code("right(word, 3)", 1)}]) AS code FROM words WHERE word <> ''
+), counts AS (
+  SELECT lang AS l, code, count(*) AS n FROM codes WHERE lang IS NOT NULL AND doc_id % 5 <> 0 GROUP BY 1, 2
+), totals AS (
+  SELECT l, sum(n)::BIGINT AS total FROM counts GROUP BY 1
+), scores AS (
+  SELECT doc_id, t.l, sum(round(1000 * ln((coalesce(n, 0) + 1) / (total + 65536)))::BIGINT) AS score
+  FROM codes CROSS JOIN totals t LEFT JOIN counts c ON c.l = t.l AND c.code = codes.code
+  GROUP BY 1, 2
+), best AS (
+  SELECT doc_id, l FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, l) = 1
+)
+SELECT d.doc_id, lang, doc_id % 5 = 0 AS held_out, l AS detected FROM documents d LEFT JOIN best USING (doc_id)"""
+
 # Copies differ in rating and time only, so what they share is compared.
 RAW_JSON = f"""
 SELECT DISTINCT user_id::VARCHAR AS user_id, parent_asin, text, product_title
@@ -314,6 +348,9 @@ ORACLES = {
         UNION ALL SELECT 'sample', count(*), sum(product_id)::BIGINT FROM ({SAMPLE})""",
         "rv",
     ),
+    "batches_daily": with_views(DAILY, "rv"),
+    "batches_brackets": with_views(BRACKETS, "rv"),
+    "batches_top_products": with_views(TOP.format(limit=100), "rv"),
     "mart_daily": with_views(DAILY, "rv"),
     "mart_brackets": with_views(BRACKETS, "rv"),
     "mart_top_products": with_views(TOP.format(limit=100), "rv"),
@@ -387,6 +424,11 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY user_id, parent_asin, text ORDER BY review_id) = 1""",
         "raw_reviews",
     ),
+    "dedupe_batches": with_views(
+        """SELECT * FROM raw_reviews
+        QUALIFY row_number() OVER (PARTITION BY user_id, parent_asin, text ORDER BY review_id) = 1""",
+        "raw_reviews",
+    ),
     "docs_dedupe": "SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
     "ingest_parse_ts": with_views(
         f"""SELECT review_id, strftime(epoch_ms(ts_ms), '%Y-%m-%d %H:%M:%S') AS review_ts,
@@ -400,6 +442,7 @@ ORACLES = {
     "ingest_sentiment": with_views(f"SELECT {ORDER}, rating, sentiment FROM rv", "rv"),
     "ingest_clean": with_views(CLEAN, "raw_reviews", "products"),
     "ingest_raw_json": with_views(RAW_JSON, "raw_reviews", "products"),
+    "ingest_quarantine": with_views(QUARANTINE, "raw_reviews"),
     "review_cards": with_views(
         f"""SELECT review_id, rating, strftime({DAY}, '%Y-%m-%d') AS day,
         CASE WHEN length(text) > 400 THEN concat(substr(text, 1, 400), '...') ELSE text END AS body
@@ -413,9 +456,11 @@ ORACLES = {
         "raw_reviews", "products",
     ),
     "detect_language": _language(),
+    "detect_language_learned": LEARNED,
     "vector_norms": """SELECT vec_id, len(embedding)::INT AS dims,
         round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings""",
     "knn_single": _retrieval("SELECT question_id, query_no, review_id, score, rank FROM nearest"),
+    "knn_indexed": _retrieval("SELECT question_id, review_id, score, position FROM found"),
     "knn_multi": _retrieval("SELECT question_id, review_id, score, position FROM found"),
     "filter_sentiment": _retrieval(
         f"SELECT {FACTS}, score FROM by_sentiment", BY_SENTIMENT

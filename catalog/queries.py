@@ -16,7 +16,7 @@ from opinarium import fixed as V
 from opinarium.functions.reviews import day_text
 from opinarium.operators.filters import given, title_matches
 from opinarium.operators.ranking import hash_sample
-from opinarium.plans import ingest, metrics, products, prompts, retrieval
+from opinarium.plans import batches, ingest, metrics, products, prompts, retrieval
 from opinarium.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,34 @@ def reader_brackets(spark, sf):
     return op.price_brackets(op.read_reviews(spark, path))
 
 
+def _batches(spark, sf):
+    """The aggregates of reviews that came in two batches, of which the second has days of all months of the first."""
+    reviews, path = load(spark, sf, "rv"), fresh_path(spark, "states")
+    late = F.col("order_id") % 3 == 0
+    batches.add_batch(reviews.filter(~late), path, "first")
+    batches.refresh_daily(spark, path)
+    batches.add_batch(reviews.filter(late), path, "late")
+    return reviews, path
+
+
+@query
+def batches_daily(spark, sf):
+    _, path = _batches(spark, sf)
+    return batches.refresh_daily(spark, path, batches.touched_months(spark, path, ["late"]))
+
+
+@query
+def batches_brackets(spark, sf):
+    _, path = _batches(spark, sf)
+    return batches.merged_brackets(spark, path)
+
+
+@query
+def batches_top_products(spark, sf):
+    reviews, path = _batches(spark, sf)
+    return batches.merged_leaderboard(spark, path, reviews)
+
+
 # --- overview, mix, brackets, leaderboard ---------------------------------------
 
 
@@ -98,13 +126,9 @@ def kpi_overview(spark, sf):
 @query
 def kpi_distinct_approx(spark, sf):
     """Whether the sketch comes within three percent of the exact number."""
-    reviews = load(spark, sf, "rv")
-    exact = op.kpi_overview(reviews).select("unique_products")
-    sketch = op.kpi_overview(reviews, approximate=True).select(F.col("unique_products").alias("sketch"))
-    near = F.abs(F.col("sketch") - F.col("unique_products")) <= 0.03 * F.col("unique_products")
-    # Two tables of one row each.
-    both = exact.withColumn("one", F.lit(1)).join(sketch.withColumn("one", F.lit(1)), "one")
-    return both.select("unique_products", near.alias("within_3_pct"))
+    counted = op.distinct_titles(load(spark, sf, "rv"))
+    near = F.abs(F.col("sketched") - F.col("unique_products")) <= 0.03 * F.col("unique_products")
+    return counted.select("unique_products", near.alias("within_3_pct"))
 
 
 @query
@@ -254,6 +278,16 @@ def ingest_dedupe(spark, sf):
     return op.dedupe(load(spark, sf, "raw_reviews"))
 
 
+@query
+def dedupe_batches(spark, sf):
+    """Raw reviews in three batches of rising ids, each held against the digests of those before it."""
+    raw, store = load(spark, sf, "raw_reviews"), fresh_path(spark, "seen")
+    third = raw.agg(F.max("review_id")).first()[0] // 3 + 1
+    number = F.floor(F.col("review_id") / third)
+    kept = [batches.dedupe_batch(raw.filter(number == i), store, f"b{i}") for i in range(3)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
 @query
 def docs_dedupe(spark, sf):
     return op.dedupe(load(spark, sf, "documents"), key=("text",), id_column="doc_id")
@@ -297,6 +331,32 @@ def ingest_raw_json(spark, sf):
     return op.clean_reviews(raw, load(spark, sf, "products")).select("user_id", "parent_asin", "text", "product_title")
 
 
+@query
+def ingest_quarantine(spark, sf):
+    """Raw reviews as JSON lines, some of them spoiled: rows that could be read, and rejected ones by reason."""
+    path = fresh_path(spark, "spoiled-json")
+    found = load(spark, sf, "raw_reviews").withColumns({c: F.col(c).cast("string") for c in ("user_id", "parent_asin")})
+    number = F.col("review_id")
+    rating = F.col("rating") + F.when(number % 7 == 3, 0.5).otherwise(0.0)
+    when = F.when(number % 13 == 6, "soon").otherwise(F.col("ts_ms").cast("string"))
+    line = F.to_json(F.struct(*[c for c in found.columns if c not in ("rating", "ts_ms")], rating.alias("rating")))
+    # A timestamp goes in as it is written; a truncated line lacks its last sign.
+    quoted = F.when(number % 13 == 6, F.concat(F.lit('"'), when, F.lit('"'))).otherwise(when)
+    whole = F.concat(F.expr("left(line, length(line) - 1)"), F.lit(',"ts_ms":'), quoted, F.lit("}"))
+    lines = found.withColumn("line", line).select(
+        F.when(number % 11 == 5, F.expr("left(line, length(line) - 1)")).otherwise(whole).alias("value")
+    )
+    lines.write.text(path)
+    landed = op.split_raw_reviews(spark, path)
+    typed = landed.typed.groupBy(F.lit("typed").alias("reason")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("rating").cast("bigint").alias("ratings")
+    )
+    rejected = landed.rejected.groupBy(F.array_join("reasons", ", ").alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return typed.unionByName(
+        rejected.withColumn("ratings", F.lit(None).cast("bigint"))
+    )
+
+
 @query
 def review_cards(spark, sf):
     return products.review_cards(ingest.with_instant(load(spark, sf, "raw_reviews")))
@@ -314,6 +374,16 @@ def detect_language(spark, sf):
     return op.detect_language(load(spark, sf, "documents")).select("doc_id", "lang", "detected")
 
 
+@query
+def detect_language_learned(spark, sf):
+    """Learned from four fifths of the documents, applied to all."""
+    docs = load(spark, sf, "documents")
+    held_out = F.col("doc_id") % 5 == 0
+    model = op.learn_languages(docs.filter(~held_out))
+    found = op.detect_by_edges(docs, model)
+    return found.select("doc_id", "lang", held_out.alias("held_out"), "detected")
+
+
 # --- retrieval -------------------------------------------------------------------------
 
 
@@ -339,6 +409,13 @@ def knn_single(spark, sf):
     return op.nearest(corpus, queries)
 
 
+@query
+def knn_indexed(spark, sf):
+    """The same hits, read from cells of clustered vectors."""
+    corpus, queries, _ = _inputs(spark, sf)
+    return op.retrieve(corpus, queries, index=op.build_index(corpus))
+
+
 @query
 def knn_multi(spark, sf):
     corpus, queries, _ = _inputs(spark, sf)
@@ -493,3 +570,11 @@ def session_append(spark, sf):
 @query
 def embed_hashed(spark, sf):
     return op.embed_hashed(load(spark, sf, "documents"), id_column="doc_id")
+
+
+@query
+def embed_latent(spark, sf):
+    """Vectors as they are stored for the search."""
+    docs = load(spark, sf, "documents")
+    embedded = op.embed_latent(docs, op.learn_latent(docs), id_column="doc_id")
+    return op.write_parquet(embedded, fresh_path(spark, "latent"))

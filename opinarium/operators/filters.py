@@ -9,12 +9,7 @@ from pyspark.sql import functions as F
 
 from opinarium.fixed import NEGATIVE, POSITIVE
 
-
-_ATOM = r"(?:[\p{L}\p{N}\s_'\"&/,:;=<>@%!~`#-]|\.|\\[dwsbDWSB.\\+*?()\[\]{}|^$]|\[\^?[\p{L}\p{N} _]+\])"
-_REPEAT = r"(?:[*+?]|\{[0-9]{1,3}\})?"
-_CHOICES = rf"\^?(?:{_ATOM}{_REPEAT}|\|)*\$?"
-# Expressions that Java's dialect is sure to read; groups are not nested.
-WELL_FORMED = rf"\A\^?(?:{_ATOM}{_REPEAT}|\({_CHOICES}\){_REPEAT}|\|)*\$?\z"
+from opinarium.operators.hints import hint_pattern, pattern_matches
 
 
 def sentiment_allowed(sentiment: Column, wanted: Column) -> Column:
@@ -26,19 +21,17 @@ def sentiment_allowed(sentiment: Column, wanted: Column) -> Column:
 def title_matches(title: Column, hint: Column, mode: str = "regex") -> Column:
     """Case-insensitive match of a hint inside a title; a missing title never matches.
 
-    ``mode="regex"`` reads the hint as a regular expression if it is made of the usual parts (characters, dots, classes,
-    plain sets, groups, choices and repeats), which are sure to be well formed; any other hint, like ``c++(``, is
-    plain text, so that one bad hint does not stop the others. ``"literal"`` reads all as plain text.
+    ``mode="regex"`` reads the hint as a regular expression if it is sure to be well formed (see ``hints``); any other
+    hint, like ``c++(``, is plain text, so that one bad hint does not stop the others. ``"literal"`` reads all as plain text.
     """
-    if mode == "regex":
-        quoted = F.concat(F.lit("\\Q"), F.replace(hint, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-        pattern = F.when(F.regexp_like(hint, F.lit(WELL_FORMED)), hint).otherwise(quoted)
-        found = F.regexp_like(title, F.concat(F.lit("(?iu)"), pattern))
-    elif mode == "literal":
-        found = F.contains(F.lower(title), F.lower(hint))
-    else:
+    return pattern_matches(title, hint, title_pattern(hint, mode))
+
+
+def title_pattern(hint: Column, mode: str = "regex") -> Column:
+    """What ``title_matches`` makes of a hint, for a table in which many titles meet one hint."""
+    if mode not in ("regex", "literal"):
         raise ValueError(f"unknown mode {mode!r}")
-    return F.coalesce(found, F.lit(False))
+    return hint_pattern(hint) if mode == "regex" else F.lit(None).cast("string")
 
 
 def soft_filter(df: DataFrame, flag: Column, active: Column, min_matches: int, group: Sequence[str]) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +20,12 @@ MATRIX_BYTES = 64 * 1024 * 1024
 TILE_ROWS, TILE_QUERIES = 4096, 512
 # Hits of a block at most: queries times k.
 BLOCK_HITS = 1_000_000
-# A corpus of more partitions gives every query a bar first, found on one row in so many.
-BAR_PARTITIONS, BAR_SLICE = 32, 64
+# Every query gets a bar first, found on one row in so many and gathered in so many lanes.
+BAR_SLICE, BAR_LANES = 64, 32
 SCORE_DECIMALS = 9
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the task side travels with the job
+
 _SCORES = "question_id bigint, query_no int, review_id bigint, score double, lane int"
 
 
@@ -63,74 +69,82 @@ def in_blocks(queries: DataFrame, k: int, job: Callable[[DataFrame], DataFrame])
     return queries.sparkSession.read.schema(schema).parquet(path)
 
 
+class Best:
+    """The best ``k`` of each query so far, none below its bar.
+
+    Scores are rounded, so that equal vectors tie whatever their place in a batch; ties go to the smaller id.
+    """
+
+    def __init__(self, bars: np.ndarray, k: int, decimals: int = SCORE_DECIMALS) -> None:
+        none = np.zeros(0, np.int64)
+        self.floor, self.bars, self.k, self.decimals = bars, bars, k, decimals
+        self.query, self.score, self.ids = none, np.zeros(0), none
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of some queries (rows) with some vectors (columns)."""
+        # Candidates are taken with a margin of one rounding step, then rounded.
+        step = 10.0**-self.decimals
+        found = scores >= (self.bars[queries] - step)[:, None]
+        rows = scores.shape[1]
+        if rows > self.k and np.count_nonzero(found) > 4 * self.k * len(queries):
+            found &= scores >= np.partition(scores, rows - self.k, axis=1)[:, rows - self.k, None] - step
+        new, row = np.nonzero(found)
+        query = np.concatenate([self.query, queries[new]])
+        score = np.concatenate([self.score, np.round(scores[new, row], self.decimals)])
+        all_ids = np.concatenate([self.ids, ids[row]])
+        order = np.lexsort((all_ids, -score, query))
+        query, score, all_ids = query[order], score[order], all_ids[order]
+        width = len(self.bars)
+        keep = np.arange(len(query)) - np.searchsorted(query, np.arange(width))[query] < self.k
+        self.query, self.score, self.ids = query[keep], score[keep], all_ids[keep]
+        counts = np.bincount(self.query, minlength=width)
+        full = counts == self.k
+        worst = np.full(width, -np.inf)
+        worst[full] = self.score[(np.cumsum(counts) - 1)[full]]
+        self.bars = np.maximum(worst, self.floor)
+
+
+def _found(tiles: dict[int, Best], question_ids: np.ndarray, query_nos: np.ndarray, lane: int):
+    """What the tiles hold, as batches of ``_SCORES``."""
+    for start, best in tiles.items():
+        query = start + best.query
+        columns = [question_ids[query], query_nos[query], best.ids, best.score, np.full(len(query), lane)]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], ["question_id", "query_no", "review_id", "score", "lane"]
+        )
+
+
+def _tiles(bars: np.ndarray, k: int, width: int, decimals: int = SCORE_DECIMALS) -> dict[int, Best]:
+    return {start: Best(bars[start : start + width], k, decimals) for start in range(0, len(bars), width)}
+
+
 def _scorer(shared, k: int, lanes: int, tile_rows: int, tile_queries: int, decimals: int):
     """The task side: running top ``k`` per query over the Arrow batches of one partition."""
 
     def score(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
         question_ids, query_nos, matrix, bars = shared.value
         total, dims = matrix.shape
         if not total:
             return
-        # Scores are rounded, so that equal vectors tie whatever their place in a batch.
-        step = 10.0**-decimals
-        lane = TaskContext.get().partitionId() % lanes
-        none = np.empty(0, np.int64)
-        tiles = {
-            start: (none, np.empty(0), none, bars[start : start + tile_queries])
-            for start in range(0, total, tile_queries)
-        }
-
+        tiles = _tiles(bars, k, tile_queries, decimals)
         pieces = (b.slice(o, tile_rows) for b in batches for o in range(0, b.num_rows, tile_rows))
         for piece in pieces:
-            rows = piece.num_rows
             ids = piece.column(0).to_numpy(zero_copy_only=False)
             flat = piece.column(1).flatten().to_numpy(zero_copy_only=False)
-            if len(flat) != rows * dims:
+            if len(flat) != piece.num_rows * dims:
                 raise ValueError(f"corpus vectors must have {dims} values like the queries")
-            vectors = flat.reshape(rows, dims).astype(np.float64)
-            for start, (col, val, rid, bar) in tiles.items():
-                width = len(bar)
-                # Candidates are taken with a margin of one rounding step, then rounded.
-                scores = matrix[start : start + width] @ vectors.T
-                found = scores >= (bar - step)[:, None]
-                if rows > k and np.count_nonzero(found) > 4 * k * width:
-                    found &= scores >= np.partition(scores, rows - k, axis=1)[:, rows - k, None] - step
-                new, row = np.nonzero(found)
-                col = np.concatenate([col, new])
-                val = np.concatenate([val, np.round(scores[new, row], decimals)])
-                rid = np.concatenate([rid, ids[row]])
-                order = np.lexsort((rid, -val, col))
-                col, val, rid = col[order], val[order], rid[order]
-                keep = np.arange(len(col)) - np.searchsorted(col, np.arange(width))[col] < k
-                col, val, rid = col[keep], val[keep], rid[keep]
-                counts = np.bincount(col, minlength=width)
-                worst = val[np.maximum(np.cumsum(counts) - 1, 0)]
-                full = np.where(counts == k, worst, -np.inf)
-                tiles[start] = (col, val, rid, np.maximum(full, bars[start : start + width]))
-
-        for start, (col, val, rid, _) in tiles.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(question_ids[start + col], pa.int64()),
-                    pa.array(query_nos[start + col], pa.int32()),
-                    pa.array(rid, pa.int64()),
-                    pa.array(val, pa.float64()),
-                    pa.array(np.full(len(col), lane), pa.int32()),
-                ],
-                names=["question_id", "query_no", "review_id", "score", "lane"],
-            )
+            vectors = flat.reshape(piece.num_rows, dims).astype(np.float64)
+            for start, best in tiles.items():
+                width = len(best.bars)
+                best.add(np.arange(width), matrix[start : start + width] @ vectors.T, ids)
+        yield from _found(tiles, question_ids, query_nos, TaskContext.get().partitionId() % lanes)
 
     return score
 
 
 def _as_arrays(block: DataFrame):
     """A block as arrays: question ids, variant numbers, float64 matrix."""
-    import numpy as np
-
     table = block.select("question_id", "query_no", "query_vec").toArrow()
     flat = table.column("query_vec").combine_chunks().flatten().to_numpy()
     matrix = flat.reshape(table.num_rows, -1 if table.num_rows else 0).astype(np.float64)
@@ -139,10 +153,14 @@ def _as_arrays(block: DataFrame):
 
 def _bars(vectors: DataFrame, arrays, k: int):
     """The ``k``-th best score of every query on a slice of the corpus: no hit of the whole lies below it."""
-    import numpy as np
-
     part = vectors.filter(F.pmod(F.xxhash64("review_id"), F.lit(BAR_SLICE)) == 0)
-    found = _ranked(part, arrays, np.full(len(arrays[0]), -np.inf), k, BAR_PARTITIONS).filter(F.col("rank") == k)
+    found = _ranked(part, arrays, np.full(len(arrays[0]), -np.inf), k, BAR_LANES)
+    return last_scores(found, arrays, k)
+
+
+def last_scores(found: DataFrame, arrays, k: int) -> np.ndarray:
+    """The score at rank ``k`` of every query of a block, if there is one."""
+    found = found.filter(F.col("rank") == k)
     last = {(r["question_id"], r["query_no"]): r["score"] for r in found.collect()}  # one number per query
     return np.array([last.get(key, -np.inf) for key in zip(arrays[0].tolist(), arrays[1].tolist())])
 
@@ -150,12 +168,16 @@ def _bars(vectors: DataFrame, arrays, k: int):
 def _ranked(vectors: DataFrame, arrays, bars, k: int, lanes: int) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((*arrays, bars))
     scorer = _scorer(shared, k, lanes, TILE_ROWS, TILE_QUERIES, SCORE_DECIMALS)
+    return merged(vectors.mapInArrow(scorer, _SCORES), k)
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` of every query, numbered by ``rank``, from what the tasks found: cut per lane, then per query."""
     best_first = [F.col("score").desc(), F.col("review_id")]
     by_lane = Window.partitionBy("question_id", "query_no", "lane").orderBy(*best_first)
     by_query = Window.partitionBy("question_id", "query_no").orderBy(*best_first)
     return (
-        vectors.mapInArrow(scorer, _SCORES)
-        .withColumn("_place", F.row_number().over(by_lane))
+        found.withColumn("_place", F.row_number().over(by_lane))
         .filter(F.col("_place") <= k)
         .drop("_place", "lane")
         .repartition("question_id")
@@ -164,22 +186,20 @@ def _ranked(vectors: DataFrame, arrays, bars, k: int, lanes: int) -> DataFrame:
     )
 
 
+def lanes_of(table: DataFrame) -> int:
+    """Lanes that share out what the tasks of a table's scan send: the root of their number."""
+    return max(1, int(table.rdd.getNumPartitions() ** 0.5))
+
+
 def top_k_of_block(corpus: DataFrame, block: DataFrame, k: int) -> DataFrame:
     """``top_k`` for a block of queries, partitioned by ``question_id``.
 
     In a corpus of many partitions most of them hold no hit of a query: its bar keeps them from sending
     any, and lanes, as many as the root of the partitions, share out the rest.
     """
-    import numpy as np
-
     vectors = corpus.select("review_id", "embedding").filter(F.col("embedding").isNotNull())
     arrays = _as_arrays(block)
-    partitions = vectors.rdd.getNumPartitions()
-    if partitions > BAR_PARTITIONS and len(arrays[0]):
-        bars = _bars(vectors, arrays, k)
-    else:
-        bars = np.full(len(arrays[0]), -np.inf)
-    return _ranked(vectors, arrays, bars, k, max(1, int(partitions**0.5)))
+    return _ranked(vectors, arrays, _bars(vectors, arrays, k), k, lanes_of(vectors))
 
 
 def top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:

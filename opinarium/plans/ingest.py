@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium.functions.language import detect
 from opinarium.functions.reviews import instant_of, sentiment_of
 from opinarium.functions.text import strip
 from opinarium.operators.ranking import first_n
+from opinarium.session import fresh_path
+from opinarium.sources.writers import write_parquet
 
 DEDUPE_KEY = ("user_id", "parent_asin", "text")
 MIN_CHARS = 20
@@ -40,24 +42,42 @@ def with_metadata(reviews: DataFrame, products: DataFrame, key: str = "parent_as
     return reviews.join(products, key, how)
 
 
+def content_digest(columns: Sequence[str]) -> Column:
+    """128 bits of a row's values, as hexadecimal text; every value is written with its length and a null by a mark of its own."""
+
+    def written(name: str) -> Column:
+        value = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.md5(F.concat(*[written(c) for c in columns]))
+
+
+def _id_of(digest: Column) -> Column:
+    """A negative id from the first 60 bits, so that made ids meet no given one that counts from zero."""
+    return -F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") - 1
+
+
 def with_ids(raw: DataFrame, id_column: str = "review_id") -> DataFrame:
-    """Every row with an id; one that has none gets a hash of all its columns.
+    """Every row with an id; one that has none gets one from a digest of all its columns, nulls included.
 
-    Rows that repeat in every column share that hash and are the same review; one of them stays. Only such repeats
-    are moved, cut to one per map task first.
+    Rows without ids that repeat in every column are the same review, and one of them stays; columns, not digests, are
+    compared before anything is dropped. Different rows that share an id by chance are told apart by the rest of their digests
+    and get ids of their own. Only rows with an id that repeats are moved, repeats of a map task as one.
     """
-    columns = [c for c in raw.columns if c != id_column]
-    given = F.col(id_column).isNotNull() if id_column in raw.columns else F.lit(False)
-    made = F.xxhash64(*[F.col(c).cast("string") for c in sorted(columns)])
-    tagged = raw.withColumn("_given", given).withColumn(
-        id_column, F.coalesce(F.col(id_column), made) if id_column in raw.columns else made
-    )
-    repeated = tagged.filter("NOT _given").groupBy(id_column).count().filter("count > 1").select(
-        F.col(id_column).alias("_repeated")
-    )
-    same = (F.col(id_column) == F.col("_repeated")) & ~F.col("_given")
-    once = tagged.join(repeated, same, "left_semi").dropDuplicates([id_column])
-    return tagged.join(repeated, same, "left_anti").unionByName(once).drop("_given")
+    columns = sorted(c for c in raw.columns if c != id_column)
+    given = F.col(id_column) if id_column in raw.columns else F.lit(None).cast("bigint")
+    tagged = raw.withColumn("_digest", F.when(given.isNull(), content_digest(columns)))
+    tagged = tagged.withColumn(id_column, F.coalesce(given, _id_of(F.col("_digest"))))
+    counts = tagged.filter("_digest IS NOT NULL").groupBy(F.col(id_column).alias("_repeated")).count()
+    repeated = write_parquet(counts.filter("count > 1").drop("count"), fresh_path(raw.sparkSession, "repeated-ids"))
+    if repeated.isEmpty():
+        return tagged.drop("_digest")
+    same = (F.col(id_column) == F.col("_repeated")) & F.col("_digest").isNotNull()
+    distinct = tagged.join(repeated, same, "left_semi").dropDuplicates([*columns, id_column, "_digest"])
+    nth = F.row_number().over(Window.partitionBy(id_column).orderBy("_digest", *columns))
+    again = F.md5(F.concat_ws("#", "_digest", nth.cast("string")))
+    apart = distinct.withColumn(id_column, F.when(nth == 1, F.col(id_column)).otherwise(_id_of(again)))
+    return tagged.join(repeated, same, "left_anti").unionByName(apart).drop("_digest")
 
 
 def dedupe(df: DataFrame, key: Sequence[str] = DEDUPE_KEY, id_column: str = "review_id") -> DataFrame:
@@ -105,9 +125,10 @@ def with_sentiment(df: DataFrame) -> DataFrame:
 
 def with_language(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """A language for every row: the label if there is one, else the detector's vote."""
-    detected = detect(df, text, "_detected")
-    label = F.coalesce(F.col(lang), F.col("_detected")) if lang in df.columns else F.col("_detected")
-    return detected.withColumn(lang, label).drop("_detected")
+    label = F.col(lang) if lang in df.columns else F.lit(None).cast("string")
+    unlabelled = df.withColumn("_unlabelled", F.when(label.isNull(), F.col(text)))
+    detected = detect(unlabelled, "_unlabelled", "_detected")
+    return detected.withColumn(lang, F.coalesce(label, F.col("_detected"))).drop("_detected", "_unlabelled")
 
 
 def clean_reviews(raw: DataFrame, products: DataFrame, n: int | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ from opinarium.functions.reviews import bracket_order, price_bracket, share
 from opinarium.functions.text import render
 
 PRICE_EDGES = (0, 25, 50, 100, 200)
+#: Size of a sketch as a power of two; 14 gives an error of about 1 %.
+SKETCH_BITS = 14
 
 
 def kpi_overview(reviews: DataFrame, approximate: bool = False) -> DataFrame:
@@ -21,7 +23,7 @@ def kpi_overview(reviews: DataFrame, approximate: bool = False) -> DataFrame:
     One pass. The exact distinct count first reduces to one row per title in every map
     task; ``approximate`` replaces it by a sketch of fixed size (error about 1 %).
     """
-    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("product_title", F.lit(14)))
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("product_title", F.lit(SKETCH_BITS)))
     titles = sketch if approximate else F.countDistinct("product_title")
     sentiment = F.col("sentiment")
     return reviews.agg(
@@ -33,6 +35,40 @@ def kpi_overview(reviews: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+def distinct_titles(reviews: DataFrame, log_size: int = SKETCH_BITS) -> DataFrame:
+    """``unique_products`` and ``sketched``: the number of titles, exactly and by a sketch, in one scan.
+
+    Titles are brought down to one row each before both are counted, so the sketch costs no exchange of its own.
+    """
+    titles = reviews.select("product_title").distinct()
+    return titles.agg(
+        F.count("product_title").alias("unique_products"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("product_title", F.lit(log_size))).alias("sketched"),
+    )
+
+
+def daily_titles(reviews: DataFrame, log_size: int = SKETCH_BITS) -> DataFrame:
+    """``date, titles``: a sketch of the titles reviewed on each day, to be stored and merged over any days."""
+    dated = reviews.filter(F.col("review_date").isNotNull() & F.col("product_title").isNotNull())
+    return dated.groupBy(F.col("review_date").alias("date")).agg(
+        F.hll_sketch_agg("product_title", F.lit(log_size)).alias("titles")
+    )
+
+
+def titles_between(daily: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """``sketched``: about how many titles were reviewed from ``first`` to ``last``, by the union of stored sketches.
+
+    No review is read. Without any day there are none.
+    """
+    days = daily
+    if first is not None:
+        days = days.filter(F.col("date") >= F.lit(first).cast("date"))
+    if last is not None:
+        days = days.filter(F.col("date") <= F.lit(last).cast("date"))
+    union = F.hll_sketch_estimate(F.hll_union_agg("titles"))
+    return days.agg(F.coalesce(union, F.lit(0).cast("bigint")).alias("sketched"))
+
+
 def kpi_display(overview: DataFrame) -> DataFrame:
     """The overview as shown: rounded numbers and formatted text."""
     return overview.select(

@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opinarium import fixed as V
 from opinarium.functions.text import LEADING_DIGIT, split_lines, strip
 from opinarium.operators.sections import section_lines, with_sections
 from opinarium.schema import PLAN
 
-_BAD = "_bad"
-_PLAN_CHECKED = T.StructType([*PLAN.fields, T.StructField(_BAD, T.StringType())])
-
 
 def without_fence(text: Column) -> Column:
     """The content of a leading code fence, else the stripped text."""
@@ -30,34 +26,53 @@ def without_fence(text: Column) -> Column:
     return F.when(F.startswith(bare, F.lit(V.CODE_FENCE)), strip(unlabelled)).otherwise(bare)
 
 
+def _member(object_: Column, name: str) -> Column:
+    """A member of a JSON object as a variant, whatever its type."""
+    return F.try_variant_get(object_, f"$.{name}", "variant")
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
+
+
+def _text(value: Column) -> Column:
+    """A variant's text; null unless it is a string."""
+    return F.when(_is(value, "STRING"), F.try_variant_get(value, "$", "string"))
+
+
+def _texts(value: Column) -> Column:
+    """The strings of a variant; null unless it is an array. Elements of another type are left out."""
+    items = F.when(_is(value, "ARRAY"), F.try_variant_get(value, "$", "array<variant>"))
+    return F.filter(F.transform(items, _text), lambda item: item.isNotNull())
+
+
+def _json(text: Column) -> Column:
+    """A text that is one JSON value and nothing else, as a variant; null for any other.
+
+    The parser stops after a first value, so the text is read as the only element of an array and as a member of an object: what
+    follows a value breaks one of them.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit("}")))
+    alone = member.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def parse_query_plans(raw: DataFrame, text: str = "raw", question: str = "question") -> DataFrame:
-    """Typed query plans; unreadable text falls back to the question itself without filters.
+    """Typed query plans; text that is no JSON object falls back to the question itself without filters.
 
-    So does each field of the wrong type, by itself.
+    Every member is read by its own type: a number, list or object where text belongs is as good as absent, and so is
+    an element of ``search_queries`` that is no string. Nothing is turned into text.
     """
-    options = {
-        "columnNameOfCorruptRecord": _BAD,
-        "allowSingleQuotes": "false",
-        "mode": "PERMISSIVE",
-    }
-    cleaned = raw.withColumn("_text", without_fence(F.col(text)))
-    parsed = cleaned.withColumn("_plan", F.from_json("_text", _PLAN_CHECKED, options))
-    whole = F.startswith("_text", F.lit("{")) & F.endswith("_text", F.lit("}"))
-    valid = F.coalesce(whole & F.col("_plan").isNotNull() & F.col(f"_plan.{_BAD}").isNull(), F.lit(False))
-    # A plan with a field of another type is read again, field by field.
-    object_ = F.when(whole & ~valid, F.try_parse_json("_text"))
-
-    def field(name: str, kind: str) -> Column:
-        own = F.try_variant_get(object_, f"$.{name}", kind)
-        typed = F.schema_of_variant(F.try_variant_get(object_, f"$.{name}", "variant")).startswith(kind[:5].upper())
-        return F.when(valid, F.col(f"_plan.{name}")).otherwise(F.when(typed, own))
-
-    queries = field("search_queries", "array<string>")
-    return parsed.select(
+    parsed = raw.withColumn("_json", _json(without_fence(F.col(text))))
+    plan = F.when(_is(F.col("_json"), "OBJECT"), F.col("_json"))
+    members = parsed.withColumns({f"_{name}": _member(plan, name) for name in PLAN.names})
+    queries = _texts(F.col("_search_queries"))
+    return members.select(
         *[c for c in raw.columns if c not in (text, question)],
         F.when(F.size(queries) > 0, queries).otherwise(F.array(question)).alias("search_queries"),
-        F.coalesce(field("sentiment", "string"), F.lit(V.ANY_SENTIMENT)).alias("sentiment"),
-        field("product_hint", "string").alias("product_hint"),
+        F.coalesce(_text(F.col("_sentiment")), F.lit(V.ANY_SENTIMENT)).alias("sentiment"),
+        _text(F.col("_product_hint")).alias("product_hint"),
     )
 
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from opinarium import fixed as V
 from opinarium.functions.text import is_blank, strip
-from opinarium.operators.filters import given, sentiment_allowed, soft_filter, title_matches
+from opinarium.operators.clusters import VectorIndex, index_top_k, index_top_k_of_block
+from opinarium.operators.filters import given, sentiment_allowed, soft_filter, title_pattern
+from opinarium.operators.hints import pattern_matches
 from opinarium.operators.search import attach, in_blocks, merge_variants, top_k, top_k_of_block
 from opinarium.plans.products import both_sides
 
@@ -35,21 +37,32 @@ def _used(queries: DataFrame) -> DataFrame:
     return queries.filter(F.col("query_no") < V.MAX_VARIANTS)
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int = V.ANSWER_CANDIDATES) -> DataFrame:
-    """The ``k`` best reviews of each variant, unmerged."""
-    return top_k(corpus, _used(queries), k)
+def nearest(
+    corpus: DataFrame, queries: DataFrame, k: int = V.ANSWER_CANDIDATES, index: VectorIndex | None = None
+) -> DataFrame:
+    """The ``k`` best reviews of each variant, unmerged; found in the ``index`` of the corpus if there is one."""
+    return top_k(corpus, _used(queries), k) if index is None else index_top_k(index, _used(queries), k)
 
 
 def retrieve(
-    corpus: DataFrame, queries: DataFrame, k: int = V.ANSWER_CANDIDATES, facts: bool = False
+    corpus: DataFrame,
+    queries: DataFrame,
+    k: int = V.ANSWER_CANDIDATES,
+    facts: bool = False,
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """Reviews found by any variant, with the best score and a ``position`` per question.
 
     A review counts for a variant only if it is among that variant's ``k`` best, so up
-    to three times ``k`` reviews come back. ``facts`` adds title, rating and label.
+    to three times ``k`` reviews come back. ``facts`` adds title, rating and label. With an ``index`` of the
+    corpus the vectors are read from there.
     """
 
-    hits = in_blocks(_used(queries), k, lambda block: merge_variants(top_k_of_block(corpus, block, k)))
+    def job(block: DataFrame) -> DataFrame:
+        found = top_k_of_block(corpus, block, k) if index is None else index_top_k_of_block(index, block, k)
+        return merge_variants(found)
+
+    hits = in_blocks(_used(queries), k, job)
     return attach(hits, corpus, FACTS) if facts else hits
 
 
@@ -59,27 +72,29 @@ def by_position(hits: DataFrame, n: int, group: tuple[str, ...] = ("question_id"
     return hits.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= n)
 
 
-def _planned(hits: DataFrame, questions: DataFrame, fall_back_on: str | None = None) -> DataFrame:
-    """Hits with the sentiment and the title hint their question asks for."""
+def _planned(
+    hits: DataFrame, questions: DataFrame, fall_back_on: str | None = None, mode: str = "regex"
+) -> DataFrame:
+    """Hits with the sentiment and the title hint their question asks for; a hint is checked once per question."""
     hint = F.col("product_hint")
     if fall_back_on:
         hint = F.coalesce(F.nullif(hint, F.lit("")), F.col(fall_back_on))
-    plan = questions.select("question_id", F.col("sentiment").alias("_asked"), hint.alias("_hint"))
-    return hits.join(plan, "question_id")
+    asked = questions.select("question_id", F.col("sentiment").alias("_asked"), hint.alias("_hint"))
+    return hits.join(asked.withColumn("_pattern", title_pattern(F.col("_hint"), mode)), "question_id")
 
 
 def _of_sentiment(planned: DataFrame) -> DataFrame:
     return planned.filter(sentiment_allowed(F.col("sentiment"), F.col("_asked")))
 
 
-def _of_title(planned: DataFrame, min_matches: int, mode: str) -> DataFrame:
-    matched = title_matches(F.col("product_title"), F.col("_hint"), mode)
+def _of_title(planned: DataFrame, min_matches: int) -> DataFrame:
+    matched = pattern_matches(F.col("product_title"), F.col("_hint"), F.col("_pattern"))
     return soft_filter(planned, matched, given(F.col("_hint")), min_matches, ["question_id"])
 
 
 def filter_sentiment(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """Drop hits whose sentiment differs from the one asked for; there is no way back."""
-    return _of_sentiment(_planned(hits, questions)).drop("_asked", "_hint")
+    return _of_sentiment(_planned(hits, questions, mode="literal")).drop("_asked", "_hint", "_pattern")
 
 
 def filter_title(
@@ -93,14 +108,14 @@ def filter_title(
 
     ``fall_back_on`` names the question column that stands in for a missing hint.
     """
-    planned = _planned(hits, questions, fall_back_on)
-    return _of_title(planned, min_matches, mode).drop("_asked", "_hint")
+    planned = _planned(hits, questions, fall_back_on, mode)
+    return _of_title(planned, min_matches).drop("_asked", "_hint", "_pattern")
 
 
 def filter_answers(hits: DataFrame, questions: DataFrame, mode: str = "regex") -> DataFrame:
     """Both filters of an answer, the title one counting what the sentiment one left."""
-    kept = _of_sentiment(_planned(hits, questions))
-    return _of_title(kept, V.ANSWER_MIN_MATCHES, mode).drop("_asked", "_hint")
+    kept = _of_sentiment(_planned(hits, questions, mode=mode))
+    return _of_title(kept, V.ANSWER_MIN_MATCHES).drop("_asked", "_hint", "_pattern")
 
 
 def answer_hits(
@@ -110,13 +125,14 @@ def answer_hits(
     n: int = V.ANSWER_HITS,
     k: int = V.ANSWER_CANDIDATES,
     mode: str = "regex",
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """The ``n`` reviews that support each answer, numbered from 1, with their text.
 
     Titles and labels are fetched for all candidates, the wide text for the last ``n`` only.
     """
 
-    found = retrieve(corpus, queries, k, facts=True)
+    found = retrieve(corpus, queries, k, facts=True, index=index)
     best = by_position(filter_answers(found, questions, mode), n)
     return attach(best, corpus, ["text"])
 
@@ -135,6 +151,7 @@ def topic_candidates(
     k: int = V.TOPIC_CANDIDATES,
     per_side: int = V.TOPIC_PER_SIDE,
     mode: str = "regex",
+    index: VectorIndex | None = None,
 ) -> DataFrame:
     """The best positive and negative reviews on each topic, before the gate.
 
@@ -142,7 +159,7 @@ def topic_candidates(
     plays no part.
     """
 
-    found = retrieve(corpus, queries, k, facts=True)
+    found = retrieve(corpus, queries, k, facts=True, index=index)
     kept = filter_title(found, questions, V.TOPIC_MIN_MATCHES, mode, fall_back_on="question")
     two_sided = kept.filter(F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE))
     best = by_position(two_sided, per_side, ("question_id", "sentiment"))

@@ -8,7 +8,7 @@ from catalog.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 WRITES = {"sink_roundtrip", "marts_roundtrip", "ingest_clean"}
-BY_ID = {"product_image", "top_products", "top_products_40", "product_drilldown", "leaderboard_stats"}
+BY_ID = {"product_image", "top_products", "top_products_40", "batches_top_products", "product_drilldown", "leaderboard_stats"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))

@@ -132,3 +132,25 @@ def test_plan_fields_fall_back_one_by_one(spark):
     df = spark.createDataFrame([(i, "q", r) for i, r in raw], "plan_id int, question string, raw string")
     got = {r.plan_id: (r.search_queries, r.sentiment, r.product_hint) for r in op.parse_query_plans(df).collect()}
     assert got == {1: (["q"], "neg", "tv"), 2: (["a"], "any", None), 3: (["q"], "any", None), 4: (["q"], "any", None), 5: (["q"], "pos", None)}
+
+
+@pytest.mark.parametrize("value, text", [("3", None), ("4.5", None), ("true", None), ("null", None), ('{"a":1}', None), ('["x"]', None), ('"x"', "x"), ('""', "")])
+def test_plan_members_are_never_coerced(spark, value, text):
+    raw = f'{{"search_queries":{value},"sentiment":{value},"product_hint":{value}}}'
+    df = spark.createDataFrame([(1, "q", raw)], "plan_id int, question string, raw string")
+    got = op.parse_query_plans(df).first()
+    queries = ["x"] if value == '["x"]' else ["q"]
+    assert (got.search_queries, got.sentiment, got.product_hint) == (queries, "any" if text is None else text, text)
+
+
+def test_plans_that_are_no_objects(spark):
+    raw = ["3", '"x"', "[1]", "null", "", None, "{} x", '{"sentiment":"pos"} {"sentiment":"neg"}', "{'sentiment':'neg'}", '{"sentiment":"neg"', "```json\n{\"sentiment\":\"neg\"}\n```", "[" * 3000]
+    df = spark.createDataFrame([(i, "q", r) for i, r in enumerate(raw)], "plan_id int, question string, raw string")
+    got = {r.plan_id: r.sentiment for r in op.parse_query_plans(df).collect()}
+    assert got == {i: "neg" if i == 10 else "any" for i in range(len(raw))}
+
+
+def test_queries_of_another_type_are_left_out(spark):
+    raw = ['{"search_queries":["a",3,null,["b"],{"c":1},"d",true]}', '{"search_queries":[1,2]}', '{"search_queries":[]}', '{"search_queries":{"a":"b"}}', '{"search_queries":[null]}']
+    df = spark.createDataFrame([(i, "q", r) for i, r in enumerate(raw)], "plan_id int, question string, raw string")
+    assert [r.search_queries for r in op.parse_query_plans(df).orderBy("plan_id").collect()] == [["a", "d"], ["q"], ["q"], ["q"], ["q"]]
