@@ -24,8 +24,8 @@ from opinarium.llm.tables import bounded_sample, rows_with_text, small
 LETTERS, SPAN, SKIP, BITS = 4, 6, 0.6, 20
 #: Sample: labelled texts of each label, fragments of each kind, landmarks.
 SAMPLE_TEXTS, FRAGMENTS, LANDMARKS = 4000, 3000, 300
-#: Fragments longer than this are read in parts.
-LONGEST = 40
+#: Words longer than this are read in parts that overlap by half, so that what is no longer than the overlap stands whole in one.
+LONGEST, STRIDE = 40, 20
 CLASSES = 64
 #: Strengths beyond which the link counts fragments.
 LEVELS = (0.3, 0.6, 0.85)
@@ -92,8 +92,7 @@ def subsequences(kinds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, fl
 def fragments_of(text: str) -> set[str]:
     """Distinct fragments as strings of letter classes."""
     kinds = letters_of(text)
-    words = "".join(map(chr, kinds + 64)).split("@")
-    return {word[at : at + LONGEST] for word in words for at in range(0, len(word), LONGEST)}
+    return set("".join(map(chr, _parted(kinds) + 64)).split("@")) - {""}
 
 
 @dataclass
@@ -106,15 +105,14 @@ class Machine:
 
     def strengths(self, text: str) -> np.ndarray:
         """Decision values of all fragments of a text."""
-        kinds = letters_of(text)
+        kinds = _parted(letters_of(text))
         out = []
         at = 0
         while at < len(kinds) - 1:
+            # A chunk begins and ends at a border; no part is as long as a chunk, so there is one.
             stop = min(len(kinds), at + CHUNK)
-            if stop < len(kinds):  # end at a border, or go on to the next one
-                border = np.flatnonzero(kinds[at + 1 : stop] == 0)
-                stop = at + 2 + int(border[-1]) if len(border) else min(len(kinds), at + CHUNK)
-            out.append(self.of_classes(_parted(kinds[at:stop])))
+            stop = at + 2 + int(np.flatnonzero(kinds[at + 1 : stop] == 0)[-1])
+            out.append(self.of_classes(kinds[at:stop]))
             at = stop - 1
         return np.concatenate(out) if out else np.full(1, self.bias)
 
@@ -147,13 +145,21 @@ class Machine:
 
 
 def _parted(kinds: np.ndarray) -> np.ndarray:
-    """Borders set into words longer than LONGEST."""
+    """Words longer than LONGEST as overlapping parts, each a word of its own."""
     ends = np.flatnonzero(kinds == 0)
-    gaps = np.diff(ends)
-    if not len(gaps) or gaps.max() <= LONGEST + 1:
+    sizes = np.diff(ends) - 1
+    if not len(sizes) or sizes.max() <= LONGEST:
         return kinds
-    cuts = [np.arange(a + 1 + LONGEST, b, LONGEST) for a, b in zip(ends, ends[1:]) if b - a > LONGEST + 1]
-    return np.insert(kinds, np.concatenate(cuts), 0)
+    parts = np.maximum(0, -((LONGEST - sizes) // STRIDE)) + 1
+    word = np.repeat(np.arange(len(sizes)), parts)
+    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = ends[word] + 1 + nth * STRIDE
+    length = np.minimum(LONGEST, ends[word + 1] - start)
+    first = np.cumsum(length + 1) - length
+    inner = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    out = np.zeros(first[-1] + length[-1] + 1, np.int8)
+    out[np.repeat(first, length) + inner] = kinds[np.repeat(start, length) + inner]
+    return out
 
 
 def _matrix(features: list[tuple[np.ndarray, np.ndarray]], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

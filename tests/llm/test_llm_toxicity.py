@@ -52,3 +52,59 @@ def test_odd_rows_and_nothing_to_learn(spark, trained):
     none = toxicity.train_machine(docs, docs.select("doc_id", F.lit(None).cast("int").alias("toxic")))
     assert toxicity.toxicity(docs, none, F.struct("doc_id")).filter("score >= 0.5").count() == 0
     assert toxicity.without_toxic(no_docs(spark), none).count() == 0
+
+
+def test_parts_of_long_words_hold_every_short_piece():
+    word = np.arange(1, 28, dtype=np.int8)[np.arange(333) % 26]
+    kinds = np.r_[0, word[:5], 0, word, 0, word[:40], 0].astype(np.int8)
+    parts = "".join(map(chr, toxicity._parted(kinds) + 64)).strip("@").split("@")
+    line = "".join(map(chr, word + 64))
+    assert parts[0] == line[:5] and parts[-1] == line[:40] and max(map(len, parts)) == toxicity.LONGEST
+    for at in range(len(line) - toxicity.STRIDE + 1):
+        assert any(line[at : at + toxicity.STRIDE] in part for part in parts)
+    assert all(part in line for part in parts)
+
+
+@pytest.mark.parametrize("filler", ["q", "漢", "Zm9vYmFy", "é"])
+def test_words_of_a_million_letters_are_read_whole(trained, filler):
+    _, machine = trained
+    plain = filler * (1_000_000 // len(filler))
+    assert machine.strengths(plain).max() < 0.5
+    half = plain[: len(plain) // 2 // len(filler) * len(filler)]
+    for text in ("blockhead" + plain, plain + "numskull", half + "blockhead" + half):
+        assert machine.strengths(text).max() > machine.strengths(plain).max() + 0.3, filler
+
+
+def test_long_words_as_rows(spark, trained):
+    _, machine = trained
+    texts = ["x" * 630_000, "漢" * 800_000, "ab" * 200_000 + " blockhead", "-" * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, machine, F.struct("doc_id")).select("_row.doc_id", "score").collect()}
+    assert len(got) == 4 and all(0 <= s <= 1 for s in got.values())
+
+
+def test_kernel_against_enumeration():
+    """Common subsequences of four letters within six places, borders included, counted one by one."""
+    from itertools import combinations
+
+    def weights(word):
+        out = {}
+        for places in combinations(range(len(word)), 4):
+            span = places[-1] - places[0]
+            if span < 6:
+                key = tuple(word[i] for i in places)
+                out[key] = out.get(key, 0.0) + toxicity.SKIP ** (span - 3)
+        return out
+
+    words = ["blockhead", "blockxhead", "numskull", "headblock", "bloc", "abc", "aaaaaaa"]
+    for left in words:
+        for right in words:
+            a, b = ("".join(map(chr, toxicity.letters_of(w)[1:-1] + 64)) for w in (left, right))
+            sums = []
+            for f in (a, b):
+                hashes, w = toxicity.fragment_features(f)
+                table = np.zeros(1 << toxicity.BITS)
+                np.add.at(table, hashes, w * np.sqrt(len(f) + 2))
+                sums.append(table)
+            wa, wb = weights(f"@{a}@"), weights(f"@{b}@")
+            assert sums[0] @ sums[1] == pytest.approx(sum(w * wb.get(k, 0.0) for k, w in wa.items()))
