@@ -1,10 +1,10 @@
 """Exact top-k search by BM25 over an inverted index in shards, with block-max pruning.
 
 Every scan task turns its documents into shards: postings by term, documents in blocks of like ones, and the largest
-contribution of each frequent term in each block. For a query, rare terms are scored through their postings; a block
-whose best such score plus its bound for the frequent terms stays below the k-th best so far is skipped,
-the others are scored exactly, best bound first. Document frequencies and the mean length are global, so shards merge exactly.
-A first pass over some shards gives each query a bar for all others.
+contribution of each frequent term in each block. Queries are searched for in tiles. The postings of a query's rare terms are added up;
+a block is a pivot of those queries whose best such sum in it, plus their block maxima of the frequent terms, reaches the k-th best
+score so far, and is passed over for the others. A pivot's documents are scored exactly, which raises the bar. Document frequencies and the
+mean length are global, so shards merge exactly. A first pass over some shards gives each query a bar for all others.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,14 @@ from opinarium.session import fresh_path
 K1, B = 1.2, 0.75
 #: Documents of a shard at most, and postings after which it is closed; documents of a block.
 SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 4_000_000, 64
-#: A term is frequent in a shard if one document in so many has it.
-FREQUENT = 24
+#: A term is frequent in a shard if one document in so many has it, and it is among so many such terms.
+FREQUENT, COLUMNS = 24, 512
+#: Queries of a tile; blocks after which the bars are raised.
+TILE, RAISE = 128, 8
 #: Scores are rounded, so that equal documents tie wherever they lie.
 DECIMALS = 9
-#: Bytes of queries that are broadcast at once.
-QUERY_BYTES = 48 << 20
+#: Bytes of queries, about, that are broadcast at once.
+QUERY_BYTES = 32 << 20
 #: One shard in so many is searched first, for the bars.
 FIRST = 8
 
@@ -126,10 +129,10 @@ def document_frequencies(index: DataFrame) -> DataFrame:
 
 
 def weighted_queries(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """``query_id, terms, weights`` (binary arrays) of every query with a term that some document has.
+    """``query_id, terms, weights`` (arrays as bytes, by term) of every query with a term that some document has.
 
-    A term weighs its inverse document frequency times how often the query has it. ``queries``: ``query_id, text``, ids
-    not null and not repeated.
+    A term weighs its inverse document frequency times how often the query has it. ``queries``: ``query_id, text``; rows without an id
+    are left out, and texts of one id are one query with the words of all of them.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +148,27 @@ def weighted_queries(queries: DataFrame, index: DataFrame) -> DataFrame:
                     ["query_id", "term", "times"],
                 )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            lists = batch.column(1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values
+            terms, weights = (flat.field(i).to_numpy() for i in range(2))
+            rows = []
+            for start, end in zip(offsets, offsets[1:]):
+                own = terms[start:end].view(np.uint64)
+                order = np.argsort(own)
+                rows.append((own[order].tobytes(), weights[start:end][order].tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.binary()) for c in zip(*rows))], ["query_id", "terms", "weights"]
+            )
+
     n = index.agg(F.sum("n")).first()[0] or 0
-    rows = queries.select("query_id", "text").mapInArrow(cut, "query_id bigint, term bigint, times int")
+    rows = queries.select("query_id", "text").filter("query_id IS NOT NULL").mapInArrow(cut, "query_id bigint, term bigint, times int")
+    summed = rows.groupBy("query_id", "term").agg(F.sum("times").alias("times"))
     weight = F.col("times") * F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    met = rows.join(document_frequencies(index), "term").select("query_id", "term", weight.alias("weight"))
-    return met.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"))
+    met = summed.join(document_frequencies(index), "term").select("query_id", "term", weight.alias("weight"))
+    listed = met.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
+    return listed.mapInArrow(pack, "query_id bigint, terms binary, weights binary")
 
 
 class Shard:
@@ -163,7 +182,8 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / mean_length)
         self.gains = times * (K1 + 1) / (times + norm[self.postings])
         spread = np.diff(self.offsets)
-        self.common = np.flatnonzero(spread * FREQUENT >= len(self.docs))
+        widest = np.argsort(-spread, kind="stable")[:COLUMNS]
+        self.common = np.sort(widest[spread[widest] * FREQUENT >= len(self.docs)])
         self.place = np.full(len(self.terms), -1)
         self.place[self.common] = np.arange(len(self.common))
         self.dense = np.zeros((len(self.docs), len(self.common)))
@@ -171,65 +191,100 @@ class Shard:
             own = slice(self.offsets[term], self.offsets[term + 1])
             self.dense[self.postings[own], column] = self.gains[own]
         self.starts = np.arange(0, len(self.docs), BLOCK)
-        self.bounds = np.maximum.reduceat(self.dense, self.starts, axis=0) if len(self.docs) else self.dense
+        self.maxima = np.maximum.reduceat(self.dense, self.starts, axis=0) if len(self.docs) else self.dense
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, bar: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and scores of the k best, with all that tie with the last, as far as they reach the bar."""
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        found = self.terms[at] == terms
-        at, weights = at[found], weights[found]
+        """Documents and scores of the k best for one query, as far as they reach the bar."""
+        _, docs, scores = self.search_tile(Tile(np.array([0, len(terms)]), terms, weights), k, np.array([float(bar)]))
+        return docs, scores
+
+    def search_tile(self, tile: Tile, k: int, bars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, document and score of the k best of every query of a tile, as far as they reach its bar."""
+        n, width = len(bars), len(self.docs)
+        at = np.minimum(np.searchsorted(self.terms, tile.terms), max(len(self.terms) - 1, 0))
+        found = self.terms[at] == tile.terms if len(self.terms) else np.zeros(len(at), bool)
+        query = np.repeat(np.arange(n), np.diff(tile.offsets))[found]
+        at, weights = at[found], tile.weights[found]
         column = self.place[at]
         rare = column < 0
-        own, own_weights = at[rare], weights[rare]
-        begin, size = self.offsets[own], self.offsets[own + 1] - self.offsets[own]
-        upto = np.cumsum(size)
-        pick = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - (upto - size), size)
-        base = np.bincount(self.postings[pick], self.gains[pick] * np.repeat(own_weights, size), len(self.docs))
-        wide = np.zeros(len(self.common))
-        wide[column[~rare]] = weights[~rare]
-        bound = (np.maximum.reduceat(base, self.starts) + self.bounds @ wide) * (1 + 1e-9) + 10.0**-DECIMALS
-        order = np.argsort(-bound)
-        docs, scores = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 4
-        while done < len(order):
-            blocks = order[done : done + step]
-            blocks = blocks[(bound[blocks] >= bar) & (bound[blocks] > 10.0**-DECIMALS)]
-            if not len(blocks):
-                break
-            rows = (self.starts[blocks][:, None] + np.arange(BLOCK)).ravel()
-            rows = rows[rows < len(self.docs)]
-            exact = np.round(base[rows] + self.dense[rows] @ wide, DECIMALS)
-            good = (exact >= bar) & (exact > 0)
-            docs, scores = np.r_[docs, rows[good]], np.r_[scores, exact[good]]
-            if len(scores) > k:
-                bar = max(bar, np.partition(scores, -k)[-k])
-                good = scores >= bar
-                docs, scores = docs[good], scores[good]
-            done += step
-            step *= 2
-        return self.docs[docs], scores
-
-
-def _search(shards: DataFrame, block: list[tuple], bars: dict[int, float], k: int, mean_length: float) -> DataFrame:
+        wide = np.zeros((n, len(self.common)))
+        wide[query[~rare], column[~rare]] = weights[~rare]
+        # Rare terms: the cursors of all queries' lists run to their ends.
+        begin, size = self.offsets[at[rare]], self.offsets[at[rare] + 1] - self.offsets[at[rare]]
+        pick = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+        cell = np.repeat(query[rare], size) * width + self.postings[pick]
+        base = np.bincount(cell, self.gains[pick] * np.repeat(weights[rare], size), n * width).reshape(n, width)
+        bound = np.maximum.reduceat(base, self.starts, axis=1) + wide @ self.maxima.T
+        bound = bound * (1 + 1e-9) + 10.0**-DECIMALS
+        bars = np.maximum(bars, 10.0**-DECIMALS)
+        held: list[tuple[np.ndarray, ...]] = []
+        # Blocks that promise most come first; each is a pivot of the queries that it can still give something.
+        for turn, block in enumerate(np.argsort(-bound.sum(0), kind="stable").tolist()):
+            need = np.flatnonzero(bound[:, block] >= bars)
+            if len(need):
+                rows = slice(self.starts[block], min(self.starts[block] + BLOCK, width))
+                exact = np.round(base[need, rows] + wide[need] @ self.dense[rows].T, DECIMALS)
+                own, doc = np.nonzero((exact >= bars[need][:, None]) & (exact > 0))
+                held.append((need[own], doc + rows.start, exact[own, doc]))
+            if held and turn % RAISE == RAISE - 1:
+                held, bars = self._raised(held, k, bars)
+        if not held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        [(query, doc, score)], _ = self._raised(held, k, bars)
+        return query, self.docs[doc], score
+
+    def _raised(self, held: list[tuple[np.ndarray, ...]], k: int, bars: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        """The first ``k`` of each query, ties by id, and the bars that they set."""
+        query, doc, score = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((self.docs[doc], -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        query, doc, score = query[keep], doc[keep], score[keep]
+        counts = np.bincount(query, minlength=len(bars))
+        full = counts == k
+        bars = bars.copy()
+        bars[full] = np.maximum(bars[full], score[(np.cumsum(counts) - 1)[full]])
+        return [(query, doc, score)], bars
+
+
+@dataclass(frozen=True)
+class Tile:
+    """Queries as arrays: the terms of query ``i`` and their weights stand from ``offsets[i]`` to ``offsets[i + 1]``."""
+
+    offsets: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    def tiles(self, width: int) -> Iterator[tuple[int, Tile]]:
+        for first in range(0, len(self.offsets) - 1, width):
+            own = self.offsets[first : first + width + 1]
+            part = slice(own[0], own[-1])
+            yield first, Tile(own - own[0], self.terms[part], self.weights[part])
+
+
+def _packed(block: pa.Table) -> tuple[np.ndarray, Tile]:
+    """The ids of a block of queries, in order, and the queries as arrays."""
+    block = block.sort_by("query_id")
+    parts = [block.column(c).to_pylist() for c in ("terms", "weights")]
+    offsets = np.cumsum([0, *(len(t) // 8 for t in parts[0])])
+    terms, weights = (np.frombuffer(b"".join(p), kind) for p, kind in zip(parts, (np.uint64, np.float64)))
+    return block.column("query_id").to_numpy(), Tile(offsets, terms, weights)
+
+
+def _search(shards: DataFrame, ids: np.ndarray, queries: Tile, bars: np.ndarray, k: int, mean_length: float) -> DataFrame:
     """``query_id, doc_id, score``: what each shard holds of the k best of a block of queries."""
-    packed = [
-        (query_id, np.array([t for t, _ in terms], np.int64).view(np.uint64), np.array([w for _, w in terms]))
-        for query_id, terms in block
-    ]
-    sent = shards.sparkSession.sparkContext.broadcast((packed, bars))
+    sent = shards.sparkSession.sparkContext.broadcast((ids, queries, bars))
     names = ["query_id", "doc_id", "score"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, low = sent.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, mean_length)
-                for query_id, terms, weights in queries:
-                    docs, scores = shard.search(terms, weights, k, low.get(query_id, 0.0))
-                    if len(docs):
-                        best = np.lexsort((docs, -scores))[:k]
-                        ids = pa.array(np.full(len(best), query_id))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(docs[best]), pa.array(scores[best])], names)
+        own_ids, block, low = sent.value
+        for batch in small(batches, 1):
+            shard = Shard(batch.to_pylist()[0], mean_length)
+            for first, tile in block.tiles(TILE):
+                query, docs, scores = shard.search_tile(tile, k, low[first : first + len(tile.offsets) - 1])
+                if len(docs):
+                    found = [pa.array(c) for c in (own_ids[first + query], docs, scores)]
+                    yield pa.RecordBatch.from_arrays(found, names)
 
     return shards.mapInArrow(search, "query_id bigint, doc_id bigint, score double")
 
@@ -239,40 +294,34 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> Iterator[list[tuple]]:
-    """Queries in blocks of bounded size, one at a time on the driver."""
-    block: list[tuple] = []
-    size = 0
-    for row in queries.toLocalIterator():
-        terms = [(t["term"], t["weight"]) for t in row["terms"]]
-        block.append((row["query_id"], terms))
-        size += 16 * len(terms) + 64
-        if size >= QUERY_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, doc_id, score`` of the ``k`` best documents of every query, ties by id.
 
-    ``docs``: ``doc_id, text``, repeated rows are documents of their own; ``queries``: ``query_id, text``. Only documents that share a term are
-    found, so there may be fewer than ``k``, and none for a query without words. Queries are sent in
-    blocks of bounded size against an index that is read where it lies.
+    ``docs``: ``doc_id, text``, repeated rows are documents of their own; ``queries``: ``query_id, text``, texts of one id being one query.
+    Only documents that share a term are found, so there may be fewer than ``k``, and none for a query without words.
+
+    Queries are dealt out to as many blocks as keep one at about ``QUERY_BYTES``. A block goes to the executors as a few
+    arrays, never as rows, and is searched for in the index where it lies.
     """
     spark = docs.sparkSession
     index = build_index(docs)
     total, n = index.agg(F.sum("total"), F.sum("n")).first()
     mean_length = max((total or 0) / (n or 1), 1e-9)
     weighted = written(weighted_queries(queries, index), "bm25-queries")
+    size = weighted.agg(F.sum(2 * F.octet_length("terms") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
     shards = index.drop("n", "total").withColumn("_first", F.pmod("shard", F.lit(FIRST)) == 0)
     results = fresh_path(spark, "bm25-found")
     schema = "query_id bigint, doc_id bigint, score double"
     spark.createDataFrame([], schema).write.parquet(results)
-    for block in _blocks(weighted):
-        first = written(_best(_search(shards.filter("_first"), block, {}, k, mean_length), k), "bm25-first")
-        bars = {r["query_id"]: r["score"] for r in first.filter(F.col("rank") == k).select("query_id", "score").collect()}
-        rest = _search(shards.filter("NOT _first"), block, bars, k, mean_length)
+    for block in range(blocks):
+        ids, own = _packed(weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow())
+        if not len(ids):
+            continue
+        first = written(_best(_search(shards.filter("_first"), ids, own, np.zeros(len(ids)), k, mean_length), k), "bm25-first")
+        last = first.filter(F.col("rank") == k).select("query_id", "score").toArrow()
+        bars = np.zeros(len(ids))
+        bars[np.searchsorted(ids, last.column("query_id").to_numpy())] = last.column("score").to_numpy()
+        rest = _search(shards.filter("NOT _first"), ids, own, bars, k, mean_length)
         first.select("query_id", "doc_id", "score").unionByName(rest).write.mode("append").parquet(results)
     return _best(spark.read.schema(schema).parquet(results), k).select("query_id", "rank", "doc_id", "score")

@@ -64,3 +64,25 @@ def test_skips_blocks_that_cannot_reach_the_bar():
     weights = np.ones(len(terms))
     docs, scores = shard.search(terms, weights, 3, 0.0)
     assert shard.search(terms, weights, 3, scores.max() + 1)[0].size == 0
+
+
+def test_texts_of_one_id_are_one_query(spark):
+    rows = [(i, prose(i % 30, 15 + i % 20) + (" everywhere" if i % 2 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    queries = [(7, "everywhere " + prose(3, 9)), (7, "everywhere " + prose(4, 9)), (7, None), (8, prose(5, 4)), (8, prose(5, 4)), (None, "everywhere")]
+    asked = spark.createDataFrame(queries, "query_id bigint, text string").repartition(3)
+    got = {}
+    for r in bm25.top_k(docs, asked, 6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, pytest.approx(r.score)))
+    merged = {i: " ".join(t for j, t in queries if i == j and t) for i in (7, 8)}
+    assert got == {i: brute(rows, text, 6) for i, text in merged.items()}
+
+
+@pytest.mark.parametrize("columns", [0, 3, 512])
+def test_frequent_and_rare_terms_score_alike(spark, monkeypatch, columns):
+    monkeypatch.setattr(bm25, "COLUMNS", columns)
+    monkeypatch.setattr(bm25, "TILE", 3)
+    monkeypatch.setattr(bm25, "BLOCK", 8)
+    rows = [(i, prose(i % 70, 10 + i % 40)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    compare(docs, 5, every=15)
