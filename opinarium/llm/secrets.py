@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -65,13 +66,17 @@ def _bucket(text: str) -> int:
     return crc32(text.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+def _kind(c: str) -> str:
+    """Kind of a character: digit, upper or lower letter, a sign that counts by itself, or another."""
+    return "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c if c in "=:-_/+.@" else "s"
+
+
+ASCII_KINDS = {chr(i): _kind(chr(i)) for i in range(128)}
+
+
 def _shape(token: str) -> str:
-    kinds = []
-    for c in token[:64]:
-        kind = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else c if c in "=:-_/+.@" else "s"
-        if not kinds or kinds[-1] != kind:
-            kinds.append(kind)
-    return "".join(kinds)
+    """Kinds of a whole token's characters, runs as one."""
+    return "".join(kind for kind, _ in groupby(ASCII_KINDS.get(c) or _kind(c) for c in token))
 
 
 def token_features(token: str) -> list[int]:
@@ -83,7 +88,7 @@ def token_features(token: str) -> list[int]:
     core = token.strip(_EDGES)
     size = min(len(core).bit_length(), 9)
     if core.isalpha() or not core:
-        return [_bucket("word:" + core.lower()[:32]), _bucket(f"letters:{size}"), _bucket("edge:" + token[-1])]
+        return [_bucket("word:" + core.lower()), _bucket(f"letters:{size}"), _bucket("edge:" + token[-1])]
     n = len(core)
     digits, upper = sum(map(str.isdigit, core)), sum(map(str.isupper, core))
     other = n - digits - upper - sum(map(str.islower, core))
