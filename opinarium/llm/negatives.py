@@ -3,7 +3,8 @@
 Rows are ordered along a Hilbert curve through all dimensions and stored in blocks, each with the least and largest
 value of every dimension and of the label. Interval arithmetic bounds an anchor's products with a block from both sides; only blocks
 whose bounds meet what the anchor looks for (a positive above its bar, a negative inside one of its windows) are asked for. Blocks stand
-in pages and anchors in lanes, both of fixed size: a task holds one page and one lane, however many there are of either.
+in pages and anchors in lanes, both of fixed size: a task holds one page and one lane, however many there are of either. As every page
+could send its best rows for every anchor, some pages, the root of their number, are read first; what they give sets bars for the others.
 """
 
 from __future__ import annotations
@@ -209,13 +210,25 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
 
-def _asked(zones: DataFrame, seekers: DataFrame, pages: int, lanes: int, shape: Shape, wants: Callable) -> DataFrame:
+def _is_first(page: Column, pages: int) -> Column:
+    """Whether a page is read in the first round: one in so many as the root of their number."""
+    return page % -(-pages // max(1, int(pages**0.5))) == 0
+
+
+def _asked(
+    zones: DataFrame, seekers: DataFrame, pages: int, lanes: int, shape: Shape, wants: Callable, first: bool | None
+) -> DataFrame:
     """``page, lane, block, wanted``, written: blocks that some anchor of a lane must read, and bits for which of them.
 
-    ``wants(seekers, least, most, label_lo, label_hi)`` says so (anchors x blocks) from the bounds of the products.
+    ``wants(seekers, least, most, label_lo, label_hi)`` says so (anchors x blocks) from the bounds of the products. ``first`` takes the
+    pages of the first round, or the others; None takes all.
     """
-    left = zones.select("page", F.explode(_numbers(lanes)).alias("lane"), "block", "label_lo", "label_hi", "lo", "hi")
-    right = seekers.withColumn("page", F.explode(_numbers(pages)))
+
+    def taken(page: Column) -> Column:
+        return F.lit(True) if first is None else _is_first(page, pages) == first
+
+    left = zones.filter(taken(F.col("page"))).select("page", F.explode(_numbers(lanes)).alias("lane"), "block", "label_lo", "label_hi", "lo", "hi")
+    right = seekers.withColumn("page", F.explode(F.filter(_numbers(pages), taken)))
 
     def choose(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["page", "lane", "block", "wanted"]
@@ -296,12 +309,19 @@ def _positives(blocks: DataFrame, anchors: DataFrame, pages: int, lanes: int, sh
         owner, value, ids = running.held
         return pa.table([pa.array(_column(right, "no")[owner]), pa.array(ids), pa.array(value)], ["no", "positive_id", "positive_score"])
 
-    asked = _asked(blocks, anchors, pages, lanes, shape, wants)
-    found = _read(blocks, asked, anchors, shape, score, "no bigint, positive_id bigint, positive_score bigint")
-    place = F.row_number().over(W.partitionBy("no").orderBy(F.col("positive_score").desc(), "positive_id"))
-    ranked = found.withColumn("place", place).filter(F.col("place") <= k)
+    def ranked(seekers: DataFrame, first: bool, before: DataFrame | None = None) -> DataFrame:
+        asked = _asked(blocks, seekers, pages, lanes, shape, wants, first)
+        found = _read(blocks, asked, seekers, shape, score, "no bigint, positive_id bigint, positive_score bigint")
+        found = found if before is None else found.unionByName(before.select(found.columns))
+        place = F.row_number().over(W.partitionBy("no").orderBy(F.col("positive_score").desc(), "positive_id"))
+        return written(found.withColumn("place", place).filter(F.col("place") <= k), "negatives-ranked")
+
+    some = ranked(anchors, True)
+    last = some.filter(F.col("place") == k).select(F.col("no").alias("_no"), F.col("positive_score").alias("_last"))
+    raised = anchors.join(last, F.col("no") == F.col("_no"), "left").withColumn("bar", F.greatest("bar", "_last")).drop("_no", "_last")
+    best = ranked(written(raised, "negatives-raised"), False, some)
     # At most k rows a group.
-    lists = ranked.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("place", "positive_id", "positive_score"))).alias("p"))
+    lists = best.groupBy("no").agg(F.array_sort(F.collect_list(F.struct("place", "positive_id", "positive_score"))).alias("p"))
     return written(
         anchors.join(lists, "no").select(
             "lane", "no", "anchor_id", "label", "v",
@@ -319,11 +339,17 @@ def _windows(right: pa.Table, places: int, low: int, high: int) -> tuple[np.ndar
     for out, name in ((ids, "positive_ids"), (scores, "positive_scores")):
         out[given] = right.column(name).combine_chunks().flatten().to_numpy()
     hundreds, rest = np.divmod(scores, 100)  # percentages of large scores without overflow
-    return ids, scores, np.where(given, low * hundreds - (-low * rest // 100), 1), np.where(given, high * hundreds + high * rest // 100, 0)
+    start = np.where(given, low * hundreds - (-low * rest // 100), 1)
+    if "floor_scores" in right.column_names:  # what a first round found
+        place, floor = (right.column(c).combine_chunks() for c in ("floor_places", "floor_scores"))
+        row = np.repeat(np.arange(right.num_rows), np.diff(place.offsets.to_numpy()))
+        at = row, place.flatten().to_numpy()
+        start[at] = np.maximum(start[at], floor.flatten().to_numpy())
+    return ids, scores, start, np.where(given, high * hundreds + high * rest // 100, 0)
 
 
-def asked_blocks(p: Prepared) -> DataFrame:
-    """``page, lane, block, wanted``: what the windows of the anchors must read."""
+def asked_blocks(p: Prepared, seekers: DataFrame | None = None, first: bool | None = None) -> DataFrame:
+    """``page, lane, block, wanted``: what the windows of the anchors must read; ``seekers`` may bring floors of a first round."""
     places, low, high = p.places, p.low, p.high
 
     def wants(right, least, most, label_lo, label_hi):
@@ -335,7 +361,7 @@ def asked_blocks(p: Prepared) -> DataFrame:
         ]
         return other & reduce(np.logical_or, meets)
 
-    return _asked(p.blocks, p.seekers, p.pages, p.lanes, p.shape, wants)
+    return _asked(p.blocks, p.seekers if seekers is None else seekers, p.pages, p.lanes, p.shape, wants, first)
 
 
 class Prepared:
@@ -389,7 +415,16 @@ def hard_negatives(
         columns = [pa.array(np.concatenate(c)) for c in zip(*out)]
         return pa.table(columns, [field.strip().split()[0] for field in FOUND.split(",")])
 
-    found = _read(p.blocks, asked_blocks(p), p.seekers, p.shape, score, FOUND)
-    rank = F.row_number().over(W.partitionBy("anchor_no", "place").orderBy(F.col("negative_score").desc(), "negative_id"))
-    first = found.withColumn("rank", rank).filter(F.col("rank") <= negatives)
-    return first.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    def ranked(seekers: DataFrame, first: bool, before: DataFrame | None = None) -> DataFrame:
+        found = _read(p.blocks, asked_blocks(p, seekers, first), seekers, p.shape, score, FOUND)
+        found = found if before is None else found.unionByName(before.select(found.columns))
+        order = W.partitionBy("anchor_no", "place").orderBy(F.col("negative_score").desc(), "negative_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
+
+    some = written(ranked(p.seekers, True), "negatives-first")
+    floors = some.filter(F.col("rank") == negatives).groupBy(F.col("anchor_no").alias("_no")).agg(
+        F.collect_list("place").alias("floor_places"), F.collect_list("negative_score").alias("floor_scores")
+    )  # at most one value per positive
+    none = {c: F.coalesce(c, F.array().cast(t)) for c, t in (("floor_places", "array<int>"), ("floor_scores", "array<bigint>"))}
+    raised = written(p.seekers.join(floors, F.col("no") == F.col("_no"), "left").withColumns(none).drop("_no"), "negatives-floors")
+    return ranked(raised, False, some).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
