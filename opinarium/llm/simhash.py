@@ -13,12 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from opinarium.llm.components import components
 from opinarium.llm.tables import rows_with_text, small, written
+from opinarium.operators.bits import bit_words, with_likely
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -213,17 +213,26 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
 
 
 def without_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """One whole row of every component: that of the smallest doc_id, once even if it is repeated."""
-    tagged = written(with_fingerprints(docs, F.struct("*"), shingle), "simhash-rows")
-    groups = near_groups(tagged.select("_row.doc_id", "_print"), max_bits)
+    """One whole row of every component: that of the smallest doc_id, once even if it is repeated.
+
+    Which rows go is found on their numbers alone. Set as bits, these let rows that stay pass where they lie; only
+    rows that go, and the few that share their bits, are shuffled.
+    """
+    number = F.monotonically_increasing_id().alias("_nth")
+    tagged = written(with_fingerprints(docs, F.struct("*"), shingle).select("_row", "_print", number), "simhash-rows")
+    narrow = tagged.select(F.col("_row.doc_id").alias("_id"), "_print", "_nth")
+    groups = near_groups(narrow.select(F.col("_id").alias("doc_id"), "_print"), max_bits)
     kept = groups.filter("_print = _kept_print").select(
         F.col("component_id").alias("_kept_id"), F.col("_print").alias("_kept")
     )
-    rows = tagged.select("_row", "_print", F.col("_row.doc_id").alias("_id"))
-    once = W.partitionBy("_id", "_print").orderBy("_id", "_print")
-    return (
-        rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_print") == F.col("_kept")))
-        .withColumn("_nth", F.row_number().over(once))
-        .filter("_nth = 1")
-        .select("_row.*")
+    firsts = narrow.groupBy("_id", "_print").agg(F.min("_nth").alias("_first"))
+    stays = firsts.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_print") == F.col("_kept")))
+    goes = written(
+        narrow.join(stays.select("_first"), F.col("_nth") == F.col("_first"), "left_anti").select(
+            F.col("_nth").alias("_gone"), F.xxhash64("_nth").alias("_key")
+        ),
+        "simhash-gone",
     )
+    tested = with_likely(tagged.select("_row", "_nth"), F.xxhash64("_nth"), bit_words(goes, "_key"), "_likely")
+    spared = tested.filter("_likely").join(goes, F.col("_nth") == F.col("_gone"), "left_anti")
+    return tested.filter("NOT _likely").unionByName(spared).select("_row.*")
