@@ -209,11 +209,14 @@ class Shard:
         rare = column < 0
         wide = np.zeros((n, len(self.common)))
         wide[query[~rare], column[~rare]] = weights[~rare]
-        # Rare terms: the cursors of all queries' lists run to their ends.
-        begin, size = self.offsets[at[rare]], self.offsets[at[rare] + 1] - self.offsets[at[rare]]
-        pick = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        cell = np.repeat(query[rare], size) * width + self.postings[pick]
-        base = np.bincount(cell, self.gains[pick] * np.repeat(weights[rare], size), n * width).reshape(n, width)
+        # Rare terms: the postings of one query after the other.
+        base = np.zeros((n, width))
+        own, own_weights, own_query = at[rare], weights[rare], query[rare]
+        edges = np.searchsorted(own_query, np.arange(n + 1))
+        for i, (first, last) in enumerate(zip(edges, edges[1:])):
+            begin, size = self.offsets[own[first:last]], self.offsets[own[first:last] + 1] - self.offsets[own[first:last]]
+            pick = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            base[i] = np.bincount(self.postings[pick], self.gains[pick] * np.repeat(own_weights[first:last], size), width)
         bound = np.maximum.reduceat(base, self.starts, axis=1) + wide @ self.maxima.T
         bound = bound * (1 + 1e-9) + 10.0**-DECIMALS
         bars = np.maximum(bars, 10.0**-DECIMALS)
