@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from opinarium.llm.components import components
-from opinarium.llm.tables import rows_with_text, small, written
+from opinarium.llm.tables import hot_join, rows_with_text, small, written
 from opinarium.operators.bits import bit_words, with_likely
 
 SHINGLE = 3
@@ -182,19 +182,19 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CEL
 
 
 def near_groups(tagged: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``_print, component_id, _kept_print`` of every fingerprint in ``tagged`` (``doc_id, _print``).
+    """``_print, component_id, _kept_print, _rows`` of every fingerprint in ``tagged`` (``doc_id, _print``).
 
-    Component id: smallest doc_id among fingerprints joined by links; null only if no row of it has an id.
+    Rows: how many have it. Component id: smallest doc_id among fingerprints joined by links; null only if no row of it has an id.
     ``_kept_print``: the smallest fingerprint that this document has in the component.
     """
-    classes = written(tagged.groupBy("_print").agg(F.min("doc_id").alias("_least")), "simhash-classes")
+    classes = written(tagged.groupBy("_print").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_rows")), "simhash-classes")
     joined = components(near_links(classes.select("_print"), max_bits))
     rooted = classes.join(joined, F.col("_print") == F.col("node"), "left").select(
-        "_print", "_least", F.coalesce("root", "_print").alias("_root")
+        "_print", "_least", "_rows", F.coalesce("root", "_print").alias("_root")
     )
     first = rooted.groupBy("_root").agg(F.min(F.struct(F.col("_least").isNull(), "_least", "_print")).alias("_first"))
     return rooted.join(first, "_root").select(
-        "_print", F.col("_first._least").alias("component_id"), F.col("_first._print").alias("_kept_print")
+        "_print", F.col("_first._least").alias("component_id"), F.col("_first._print").alias("_kept_print"), "_rows"
     )
 
 
@@ -207,7 +207,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     tagged = written(
         with_fingerprints(docs, F.struct("doc_id"), shingle).select("_row.doc_id", "_print"), "simhash-prints"
     )
-    return tagged.join(near_groups(tagged, max_bits), "_print").select(
+    groups = written(near_groups(tagged, max_bits), "simhash-groups")
+    # One fingerprint, of blank texts say, may be that of most rows.
+    return hot_join(tagged, groups, "_print", "_rows").select(
         "doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -274,7 +274,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS)
 
     At most ``texts`` labelled texts of each label are read, chosen by a hash of their id; of these, at most FRAGMENTS fragments
     that speak for toxic texts, and as many frequent and random ones of clean texts. Ids or labels that are null
-    are left out; labels that contradict each other count twice.
+    are left out; labels that contradict each other count twice. Without fragments that speak for toxic texts nothing is called toxic.
     """
     known = labels.select("doc_id", "toxic").dropna().distinct()
     chosen = [bounded_sample(known.filter(F.col("toxic") == t), "doc_id", texts) for t in (1, 0)]
@@ -323,7 +323,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, texts: int = SAMPLE_TEXTS)
 
     rows = sample.mapInArrow(summarise, "toxic int, summary array<double>").collect()
     sample.unpersist()
-    if rows:
+    if rows and machine.table.any():  # what has learned nothing calls nothing toxic
         machine.link = fit_link(np.array([r["summary"] for r in rows]), np.array([r["toxic"] for r in rows], float))
     return machine
 

@@ -1,5 +1,6 @@
 import pytest
 from compare import connect, difference
+from samples import no_docs, odd_docs
 
 import corpus_pipeline
 from opinarium.llm import queries
@@ -38,3 +39,18 @@ def test_stages_and_pipeline(spark):
         before = after
     run = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, before.collect()))
+
+
+@pytest.mark.parametrize("made", [odd_docs, no_docs])
+def test_pipeline_on_odd_rows(spark, tmp_path, made):
+    """Nulls, empty and long texts, repeats and clashing columns through all stages, and no rows at all."""
+    docs = made(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(6, 1, 0), (8, 0, 1), (None, 1, 1), (9, None, None)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if made is no_docs:
+        assert got == []
+    else:
+        ids = {r.doc_id for r in got}
+        assert len(ids) >= 8 and not {5, 10} & ids  # later copies go, and what the mix does not take

@@ -1,5 +1,9 @@
+import re
+
 import numpy as np
-from samples import no_docs, odd_docs
+import pytest
+import xxhash
+from samples import no_docs, odd_docs, prose
 
 from opinarium.llm import components, simhash
 
@@ -78,3 +82,13 @@ def test_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (None, 1)], "u bigint, v bigint")
     got = components.components(df).collect()
     assert len(got) == 301 and {r.root for r in got} == {0}
+
+
+@pytest.mark.parametrize("text", [None, "", " \n", "One", "one TWO three", prose(4, 90), "é ñ 漢字 🎉 x y É", "a a a a a a", "A\tB\x0bC D e f"])
+def test_every_bit_of_a_fingerprint(text):
+    """Bits counted one by one over all shingles, repeats included."""
+    words = [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    bits = [sum(h >> b & 1 for h in hashes) * 2 > len(hashes) for b in range(64)]
+    assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if bits[b])
