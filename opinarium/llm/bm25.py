@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from opinarium.session import fresh_path
 
 K1, B = 1.2, 0.75
 #: Documents of a shard at most, and postings after which it is closed; documents of a block.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 4_000_000, 64
+SHARD_DOCS, SHARD_POSTINGS, BLOCK = 16384, 1_000_000, 64
 #: A term is frequent in a shard if one document in so many has it, and it is among so many such terms.
 FREQUENT, COLUMNS = 24, 512
 #: Queries of a tile; blocks after which the bars are raised.
@@ -34,7 +35,7 @@ TILE, RAISE = 128, 8
 #: Scores are rounded, so that equal documents tie wherever they lie.
 DECIMALS = 9
 #: Bytes of queries, about, that are broadcast at once.
-QUERY_BYTES = 32 << 20
+QUERY_BYTES = 24 << 20
 #: One shard in so many is searched first, for the bars.
 FIRST = 8
 
@@ -274,14 +275,14 @@ def _packed(block: pa.Table) -> tuple[np.ndarray, Tile]:
     return block.column("query_id").to_numpy(), Tile(offsets, terms, weights)
 
 
-def _search(shards: DataFrame, ids: np.ndarray, queries: Tile, bars: np.ndarray, k: int, mean_length: float) -> DataFrame:
-    """``query_id, doc_id, score``: what each shard holds of the k best of a block of queries."""
-    sent = shards.sparkSession.sparkContext.broadcast((ids, queries, bars))
+def _search(shards: DataFrame, sent: Broadcast, k: int, mean_length: float) -> DataFrame:
+    """``query_id, doc_id, score``: what each shard holds of the k best of a block of queries: ids, queries and bars."""
     names = ["query_id", "doc_id", "score"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_ids, block, low = sent.value
         for batch in small(batches, 1):
+            shard = None  # one at a time
             shard = Shard(batch.to_pylist()[0], mean_length)
             for first, tile in block.tiles(TILE):
                 query, docs, scores = shard.search_tile(tile, k, low[first : first + len(tile.offsets) - 1])
@@ -321,10 +322,14 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         ids, own = _packed(weighted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow())
         if not len(ids):
             continue
-        first = written(_best(_search(shards.filter("_first"), ids, own, np.zeros(len(ids)), k, mean_length), k), "bm25-first")
+        sent = spark.sparkContext.broadcast((ids, own, np.zeros(len(ids))))
+        first = written(_best(_search(shards.filter("_first"), sent, k, mean_length), k), "bm25-first")
+        sent.destroy()
         last = first.filter(F.col("rank") == k).select("query_id", "score").toArrow()
         bars = np.zeros(len(ids))
         bars[np.searchsorted(ids, last.column("query_id").to_numpy())] = last.column("score").to_numpy()
-        rest = _search(shards.filter("NOT _first"), ids, own, bars, k, mean_length)
+        sent = spark.sparkContext.broadcast((ids, own, bars))
+        rest = _search(shards.filter("NOT _first"), sent, k, mean_length)
         first.select("query_id", "doc_id", "score").unionByName(rest).write.mode("append").parquet(results)
+        sent.destroy()
     return _best(spark.read.schema(schema).parquet(results), k).select("query_id", "rank", "doc_id", "score")
