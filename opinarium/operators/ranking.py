@@ -92,12 +92,9 @@ def hash_sample(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:
     """
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in key])
     hashed = df.withColumn("_hash", F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))
-    rows = df.count()
-    if rows <= n:
-        return df
     # Hashes are even: the n smallest lie below their share of the range, with a wide margin.
-    cutoff = int(2**60 * min(1.0, (n + 8 * n**0.5 + 100) / rows))
+    cutoff = int(2**60 * min(1.0, (n + 8 * n**0.5 + 100) / max(1, df.count())))
     if hashed.filter(F.col("_hash") <= cutoff).limit(n).count() < n:
         cutoff = key_cutoff(hashed, "_hash", n, surplus=max(1_000, n // 10), bounds=(0, 2**60 - 1))
-    kept = hashed.filter(F.col("_hash") <= cutoff)
+    kept = hashed if cutoff is None else hashed.filter(F.col("_hash") <= cutoff)
     return kept.orderBy("_hash", *key).limit(n).drop("_hash")
