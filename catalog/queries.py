@@ -14,7 +14,8 @@ import opinarium as op
 from catalog.views import KEY, load
 from opinarium import fixed as V
 from opinarium.functions.reviews import day_text
-from opinarium.operators.filters import given, title_matches
+from opinarium.operators.filters import given, title_pattern
+from opinarium.operators.hints import pattern_matches
 from opinarium.operators.ranking import hash_sample
 from opinarium.plans import batches, ingest, metrics, products, prompts, retrieval
 from opinarium.session import fresh_path
@@ -431,9 +432,10 @@ def filter_sentiment(spark, sf):
 @query
 def filter_title_hint(spark, sf):
     hits, questions = _candidates(spark, sf)
-    hinted = questions.filter(given(F.col("product_hint"))).select("question_id", "product_hint")
-    matched = title_matches(F.col("product_title"), F.col("product_hint"))
-    return hits.join(hinted, "question_id").filter(matched)
+    hint = F.col("product_hint")
+    hinted = questions.filter(given(hint)).select("question_id", "product_hint", title_pattern(hint).alias("_pattern"))
+    matched = pattern_matches(F.col("product_title"), hint, F.col("_pattern"))
+    return hits.join(hinted, "question_id").filter(matched).drop("_pattern")
 
 
 @query
