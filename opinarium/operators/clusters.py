@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinarium.operators.search import (
-    _SCORES, SCORE_DECIMALS, TILE_QUERIES, _as_arrays, _found, _tiles, in_blocks, lanes_of, last_scores, merged,
+    _MERGED, _PACKED, _RANKED, _SCORES, BARS, SCORE_DECIMALS, TILE_QUERIES, VECTORS, Group, _as_arrays, _found, _tiles, as_batch, in_blocks,
+    in_groups, lanes_of, last_scores, merged, packed_queries, searched, to_all,
 )
 from opinarium.session import fresh_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Vectors of a cell at most, and of a partition of the index.
-CELL_ROWS, PART_ROWS = 1024, 1 << 17
+CELL_ROWS, PART_ROWS = 1024, 1 << 14
 #: Centroids at most; vectors, about, that they are learned from; rounds of learning.
 CENTROIDS, SAMPLE_ROWS, ROUNDS = 1024, 1 << 15, 8
 #: Cells whose bounds are computed at once.
@@ -266,13 +267,128 @@ def index_top_k_of_block(index: VectorIndex, block: DataFrame, k: int) -> DataFr
     return _Block(index, block, k).hits()
 
 
+def _packed_cells(index: VectorIndex) -> DataFrame:
+    """``_PACKED``: number, size, centre and radius of the cells, as many to a row as are bounded at once."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(at, TILE_CELLS) for at in range(0, batch.num_rows, TILE_CELLS)):
+                ids, n, radii = (part.column(i).to_numpy() for i in (0, 1, 3))
+                yield as_batch([(VECTORS, ids.tobytes(), n.tobytes(), b"".join(part.column(2).to_pylist()), radii.tobytes())])
+
+    cells = index.cells.select("cell", "n", "centre", "radius")
+    return cells.repartition(-(-max(1, cells.count()) // TILE_CELLS), "cell").mapInArrow(pack, _PACKED)
+
+
+def _with_cells(index: VectorIndex, pairs: DataFrame) -> DataFrame:
+    """``place`` and ``_PACKED``: for ``place, cell, numbers`` the vectors of the cell."""
+    radius = F.lit(None).cast("binary").alias("radii")
+    return index.cells.select("cell", "ids", "vectors").join(pairs, "cell").select(
+        "place", F.lit(VECTORS).alias("kind"), "ids", "numbers", "vectors", radius
+    )
+
+
+def grid_index_top_k(index: VectorIndex, queries: DataFrame, dims: int, groups: int, k: int, merge: bool = False) -> DataFrame:
+    """``index_top_k`` of many queries, or ``merge_variants`` of it, dealt out in groups (see ``search.grid_top_k``): a cell goes only to groups that it may hold a hit for.
+
+    Each query first gets a bar from the nearest cells that hold ``k`` vectors together. A group's task raises bars as it goes and scores
+    a cell only for the queries whose bars its bound reaches.
+    """
+    if index.centroids.shape[1] not in (0, dims):
+        raise ValueError(f"corpus vectors must have {dims} values like the queries")
+    spark, tile_queries, decimals = index.cells.sparkSession, TILE_QUERIES, SCORE_DECIMALS
+    asked, pairs = packed_queries(queries, groups), "place int, cell bigint, numbers binary"
+
+    def tiled(group: Group, row: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First query of a tile, products with centres and bounds."""
+        centres = np.frombuffer(row["vectors"], np.float64).reshape(-1, group.matrix.shape[1])
+        radii = np.frombuffer(row["radii"], np.float64)
+        for start in range(0, len(group.matrix), tile_queries):
+            tile = slice(start, start + tile_queries)
+            products = group.matrix[tile] @ centres.T
+            yield start, products, products + group.norms[tile, None] * radii * (1 + SLACK) + SLACK
+
+    def paired(place: int, cells: list[int], numbers: list[bytes | None]) -> pa.RecordBatch:
+        columns = [pa.array([place] * len(cells), pa.int32()), pa.array(cells, pa.int64()), pa.array(numbers, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["place", "cell", "numbers"])
+
+    def home(place: int, group: Group, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            cells, sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["numbers"], np.int32)
+            near: list[np.ndarray] = []
+            for start, products, _ in tiled(group, row):
+                order = np.argsort(-products, axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                query, rank = np.nonzero(before < k)
+                near.append(np.stack([order[query, rank], start + query]))
+            cell, query = np.concatenate(near, axis=1)
+            order = np.lexsort((query, cell))
+            chosen, first = np.unique(cell[order], return_index=True)
+            members = np.split(query[order].astype(np.int32), first[1:])
+            yield paired(place, cells[chosen].tolist(), [m.tobytes() for m in members])
+
+    def raise_bars(place: int, group: Group, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        tiles = _tiles(group.bars, k, tile_queries, decimals)
+        for row in rows:
+            ids, v = group.vectors(row)
+            members = np.frombuffer(row["numbers"], np.int32)
+            for start, best in tiles.items():
+                own = members[slice(*np.searchsorted(members, [start, start + len(best.bars)]))]
+                if len(own):
+                    best.add(own - start, group.matrix[own] @ v.T, ids)
+        for best in tiles.values():
+            best.settle()
+        bars = np.concatenate([best.bars for best in tiles.values()]) - 10.0**-decimals
+        yield as_batch([(place, BARS, None, None, bars.tobytes(), None)])
+
+    def ask(place: int, group: Group, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for row in rows:
+            cells = np.frombuffer(row["ids"], np.int64)
+            wanted = np.zeros(len(cells), bool)
+            for start, _, bounds in tiled(group, row):
+                wanted |= (bounds >= group.bars[start : start + len(bounds), None]).any(0)
+            cells = cells[wanted].tolist()
+            yield paired(place, cells, [None] * len(cells))
+
+    def best_of(place: int, group: Group, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        tiles = _tiles(group.bars, k, tile_queries, decimals)
+        for row in rows:
+            ids, v = group.vectors(row)
+            centre = v.mean(0)
+            radius = np.sqrt(((v - centre) ** 2).sum(1).max())
+            for start, best in tiles.items():
+                tile = slice(start, start + len(best.bars))
+                bounds = group.matrix[tile] @ centre + group.norms[tile] * radius * (1 + SLACK) + SLACK
+                own = np.flatnonzero(bounds >= best.bars)
+                if len(own):
+                    best.add(own, group.matrix[start + own] @ v.T, ids)
+        yield from group.merged(tiles) if merge else group.hits(tiles)
+
+    def with_queries(*sides: DataFrame) -> DataFrame:
+        whole = asked
+        for side in sides:
+            whole = whole.unionByName(side)
+        return whole
+
+    cells = to_all(_packed_cells(index), groups)
+    near = in_groups(with_queries(cells), groups, home, pairs)
+    path = fresh_path(spark, "bars")
+    in_groups(with_queries(_with_cells(index, near)), groups, raise_bars, f"place int, {_PACKED}").write.parquet(path)
+    bars = spark.read.schema(f"place int, {_PACKED}").parquet(path)
+    wanted = in_groups(with_queries(bars, cells), groups, ask, pairs)
+    return in_groups(with_queries(bars, _with_cells(index, wanted)), groups, best_of, _MERGED if merge else _RANKED)
+
+
 def index_top_k(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:
     """What ``top_k`` finds in the corpus of the index: ``question_id, query_no, review_id, score, rank``.
 
     No vector is left out by more than the proof that it cannot be a hit. Where vectors show no clusters all cells are asked for, and
     this does the work of a scan.
     """
-    return in_blocks(queries, k, lambda block: index_top_k_of_block(index, block, k))
+    return searched(
+        queries, k, lambda block: index_top_k_of_block(index, block, k),
+        lambda many, dims, groups: grid_index_top_k(index, many, dims, groups, k),
+    )
 
 
 def index_use(index: VectorIndex, queries: DataFrame, k: int) -> DataFrame:

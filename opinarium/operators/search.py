@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,9 @@ BLOCK_HITS = 1_000_000
 # Every query gets a bar first, found on one row in so many and gathered in so many lanes.
 BAR_SLICE, BAR_LANES = 64, 32
 SCORE_DECIMALS = 9
+# More queries than these are dealt out in groups, which every vector is sent to. Hits of a group at most, about, and
+# vectors of a row that is sent; groups for each core, so that all are busy to the end.
+GRID_QUERIES, GROUP_HITS, PACK_ROWS, GROUPS_A_CORE = 4096, 4_000_000, 2048, 3
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the task side travels with the job
 
@@ -79,6 +82,8 @@ class Best:
         none = np.zeros(0, np.int64)
         self.floor, self.bars, self.k, self.decimals = bars, bars, k, decimals
         self.query, self.score, self.ids = none, np.zeros(0), none
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
 
     def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         """Scores of some queries (rows) with some vectors (columns)."""
@@ -89,9 +94,17 @@ class Best:
         if rows > self.k and np.count_nonzero(found) > 4 * self.k * len(queries):
             found &= scores >= np.partition(scores, rows - self.k, axis=1)[:, rows - self.k, None] - step
         new, row = np.nonzero(found)
-        query = np.concatenate([self.query, queries[new]])
-        score = np.concatenate([self.score, np.round(scores[new, row], self.decimals)])
-        all_ids = np.concatenate([self.ids, ids[row]])
+        self.new.append((queries[new], np.round(scores[new, row], self.decimals), ids[row]))
+        self.waiting += len(new)
+        if self.waiting >= self.k * len(self.bars):
+            self.settle()
+
+    def settle(self) -> None:
+        """Sort what was added in among the best; done once as much has come as is held, so that sorting does not grow with batches."""
+        if not self.new:
+            return
+        query, score, all_ids = (np.concatenate(c) for c in zip((self.query, self.score, self.ids), *self.new))
+        self.new, self.waiting = [], 0
         order = np.lexsort((all_ids, -score, query))
         query, score, all_ids = query[order], score[order], all_ids[order]
         width = len(self.bars)
@@ -107,6 +120,7 @@ class Best:
 def _found(tiles: dict[int, Best], question_ids: np.ndarray, query_nos: np.ndarray, lane: int):
     """What the tiles hold, as batches of ``_SCORES``."""
     for start, best in tiles.items():
+        best.settle()
         query = start + best.query
         columns = [question_ids[query], query_nos[query], best.ids, best.score, np.full(len(query), lane)]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32()]
@@ -202,18 +216,210 @@ def top_k_of_block(corpus: DataFrame, block: DataFrame, k: int) -> DataFrame:
     return _ranked(vectors, arrays, _bars(vectors, arrays, k), k, lanes_of(vectors))
 
 
+_PACKED = "kind int, ids binary, numbers binary, vectors binary, radii binary"
+_RANKED = "question_id bigint, query_no int, review_id bigint, score double, rank int"
+_MERGED = "question_id bigint, review_id bigint, score double, position int"
+# Rows of a batch that a group sends.
+SENT_ROWS = 1 << 18
+# Kinds of rows that a group gets, in this order.
+QUERIES, BARS, VECTORS = 0, 1, 2
+
+
+def grid_of(queries: DataFrame, k: int) -> tuple[int, int, int]:
+    """Number of queries, their dimensions, and the groups to deal them out in; one that is not enough for a group means none."""
+    rows, dims = queries.filter(F.col("query_vec").isNotNull()).agg(F.count(F.lit(1)), F.max(F.size("query_vec"))).first()
+    if not rows:
+        return 0, 0, 0
+    room = max(MAX_VARIANTS, min(MATRIX_BYTES // (8 * dims), GROUP_HITS // k))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    return rows, dims, max(-(-rows * 5 // (room * 4)), min(GROUPS_A_CORE * cores, -(-rows * 4 // GRID_QUERIES)))
+
+
+def searched(
+    queries: DataFrame, k: int, of_block: Callable[[DataFrame], DataFrame], of_grid: Callable[[DataFrame, int, int], DataFrame]
+) -> DataFrame:
+    """Hits of a few queries by ``of_block``, which sends these to the vectors, of many by ``of_grid``, which sends vectors to groups of queries."""
+    rows, dims, groups = grid_of(queries, k)
+    if rows <= GRID_QUERIES and len(query_blocks(queries, k)) == 1:
+        return in_blocks(queries, k, of_block)
+    path = fresh_path(queries.sparkSession, "hits")
+    hits = of_grid(queries.filter(F.col("query_vec").isNotNull()), dims, groups)
+    hits.write.parquet(path)
+    return queries.sparkSession.read.schema(hits.schema).parquet(path)
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    """The values of an array column, as they are typed."""
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _typed(df: DataFrame, column: str):
+    return np.float32 if df.schema[column].dataType.elementType.typeName() == "float" else np.float64
+
+
+def packed_queries(queries: DataFrame, groups: int) -> DataFrame:
+    """``place`` and ``_PACKED``: the queries of each group, whole questions together."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, question, number = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            matrix = _flat(batch.column(3)).astype(np.float64).reshape(batch.num_rows, -1)
+            rows = []
+            for own in (np.flatnonzero(place == group) for group in np.unique(place)):
+                rows.append((int(place[own[0]]), QUERIES, question[own].astype(np.int64).tobytes(), number[own].astype(np.int32).tobytes(), matrix[own].tobytes(), None))
+            if rows:
+                yield as_batch(rows)
+
+    group = F.pmod(F.xxhash64("question_id"), F.lit(groups)).cast("int")
+    return queries.select(group.alias("place"), "question_id", "query_no", "query_vec").mapInArrow(pack, f"place int, {_PACKED}")
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of ``_PACKED``, with a place in front if they have one."""
+    names = ["place", *(field.split()[0] for field in _PACKED.split(", "))][-len(rows[0]) :]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4][-len(rows[0]) :]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def packed_vectors(vectors: DataFrame) -> DataFrame:
+    """``_PACKED``: the vectors of a corpus, some thousand to a row."""
+    kind = _typed(vectors, "embedding")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in (batch.slice(at, PACK_ROWS) for at in range(0, batch.num_rows, PACK_ROWS)):
+                ids = piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield as_batch([(VECTORS, ids.tobytes(), None, _flat(piece.column(1)).astype(np.float64 if kind is np.float64 else np.float32).tobytes(), None)])
+
+    return vectors.mapInArrow(pack, _PACKED)
+
+
+class Group:
+    """The queries of a group, in order of their ids, as one task holds them, and their bars."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        question = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
+        number = np.concatenate([np.frombuffer(r["numbers"], np.int32) for r in rows])
+        matrix = np.concatenate([np.frombuffer(r["vectors"], np.float64).reshape(len(r["ids"]) // 8, -1) for r in rows])
+        order = np.lexsort((number, question))
+        self.question_ids, self.query_nos, self.matrix = question[order], number[order], matrix[order]
+        self.norms = np.sqrt((self.matrix**2).sum(1))
+        self.bars = np.full(len(order), -np.inf)
+
+    def vectors(self, row: dict, kind=np.float32) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and vectors of a row."""
+        ids, flat = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], kind)
+        if len(flat) != len(ids) * self.matrix.shape[1]:
+            raise ValueError(f"corpus vectors must have {self.matrix.shape[1]} values like the queries")
+        return ids, flat.reshape(len(ids), -1).astype(np.float64)
+
+    def hits(self, tiles: dict[int, Best]) -> Iterator[pa.RecordBatch]:
+        """What the tiles hold, as batches of ``_RANKED``."""
+        for start, best in tiles.items():
+            best.settle()
+            query = start + best.query
+            rank = 1 + np.arange(len(query)) - np.searchsorted(best.query, best.query)
+            columns = [self.question_ids[query], self.query_nos[query], best.ids, best.score, rank]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["question_id", "query_no", "review_id", "score", "rank"])
+
+
+    def merged(self, tiles: dict[int, Best]) -> Iterator[pa.RecordBatch]:
+        """What ``merge_variants`` makes of ``hits``, as batches of ``_MERGED``; a group has all variants of its questions."""
+        for best in tiles.values():
+            best.settle()
+        query = np.concatenate([start + best.query for start, best in tiles.items()])
+        ids, score = (np.concatenate([getattr(best, name) for best in tiles.values()]) for name in ("ids", "score"))
+        rank = 1 + np.arange(len(query)) - np.searchsorted(query, query)
+        question, seen = self.question_ids[query], self.query_nos[query].astype(np.int64) * (1 << 32) + rank
+        if not len(query):
+            return
+
+        def first(*columns: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(np.logical_or.reduce([np.r_[True, c[1:] != c[:-1]] for c in columns]))
+
+        order = np.lexsort((ids, question))
+        question, ids, score, seen = question[order], ids[order], score[order], seen[order]
+        one = first(question, ids)
+        score, seen = np.maximum.reduceat(score, one), np.minimum.reduceat(seen, one)
+        question, ids = question[one], ids[one]
+        order = np.lexsort((ids, seen, -score, question))
+        question, ids, score = question[order], ids[order], score[order]
+        position = 1 + np.arange(len(question)) - np.searchsorted(question, question)
+        for at in range(0, len(question), SENT_ROWS):
+            columns = [pa.array(c[at : at + SENT_ROWS], t) for c, t in zip((question, ids, score, position), (pa.int64(), pa.int64(), pa.float64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["question_id", "review_id", "score", "position"])
+
+
+def in_groups(sides: DataFrame, groups: int, job: Callable[[int, Group, Iterator[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Run ``job`` on each group: its place, its queries and bars, and its other rows as they stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow = (dict(zip(b.schema.names, row)) for b in batches for i in range(b.num_rows) for row in zip(*(c.to_pylist() for c in b.slice(i, 1).columns)))
+        ahead = next(flow, None)
+
+        def of(place: int, *kinds: int) -> Iterator[dict]:
+            nonlocal ahead
+            while ahead is not None and ahead["place"] == place and ahead["kind"] in kinds:
+                row, ahead = ahead, None
+                yield row
+                ahead = next(flow, None)
+
+        while ahead is not None:
+            place = ahead["place"]
+            own = list(of(place, QUERIES))
+            if own:
+                group = Group(own)
+                for row in of(place, BARS):
+                    group.bars = np.frombuffer(row["vectors"], np.float64)
+                yield from job(place, group, of(place, VECTORS))
+            for _ in of(place, BARS, VECTORS):
+                pass
+
+    return sides.repartitionById(groups, "place").sortWithinPartitions("place", "kind").mapInArrow(run, schema)
+
+
+def to_all(packed: DataFrame, groups: int) -> DataFrame:
+    """Packed rows with the place of every group."""
+    return packed.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("place"), *packed.columns)
+
+
+def grid_top_k(corpus: DataFrame, queries: DataFrame, groups: int, k: int, merge: bool = False) -> DataFrame:
+    """``top_k`` of many queries, or ``merge_variants`` of it, in one job: a task holds a group of them and their best, and all vectors stream past.
+
+    A query's hits are complete where they are found, so each sends ``k`` rows however many tasks there are. A task holds its
+    queries and their hits only; the vectors go out once for each group.
+    """
+    vectors = corpus.select("review_id", "embedding").filter(F.col("embedding").isNotNull())
+    kind, tile_queries, decimals = _typed(vectors, "embedding"), TILE_QUERIES, SCORE_DECIMALS
+
+    def job(place: int, group: Group, rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        tiles = _tiles(group.bars, k, tile_queries, decimals)
+        for row in rows:
+            ids, v = group.vectors(row, kind)
+            for start, best in tiles.items():
+                width = len(best.bars)
+                best.add(np.arange(width), group.matrix[start : start + width] @ v.T, ids)
+        yield from group.merged(tiles) if merge else group.hits(tiles)
+
+    sides = packed_queries(queries, groups).unionByName(to_all(packed_vectors(vectors), groups))
+    return in_groups(sides, groups, job, _MERGED if merge else _RANKED)
+
+
 def top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` best reviews of every query: ``question_id, query_no, review_id, score, rank``.
 
     corpus: ``review_id bigint, embedding array<float>``; queries: ``question_id bigint,
     query_no int, query_vec array<float>``, unit vectors throughout.
 
-    A query block of checked size goes to every executor; the corpus is scanned in place
-    and never shuffled. Each task scores Arrow batches by matrix product and passes on
-    only its own ``k`` best per query, so no table of all pairs exists. These are
-    merged per lane, then per question. Ties go to the smaller id.
+    A few queries go to every executor; the corpus is scanned in place and not shuffled. Each task scores Arrow batches by
+    matrix product and passes on only its own ``k`` best per query, so no table of all pairs exists. These are
+    merged per lane, then per question. Many queries are dealt out in groups, and the vectors go to them (``grid_top_k``).
+    Ties go to the smaller id.
     """
-    return in_blocks(queries, k, lambda block: top_k_of_block(corpus, block, k))
+    return searched(
+        queries, k, lambda block: top_k_of_block(corpus, block, k), lambda many, dims, groups: grid_top_k(corpus, many, groups, k)
+    )
 
 
 def merge_variants(ranked: DataFrame) -> DataFrame:

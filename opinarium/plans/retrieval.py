@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from opinarium import fixed as V
 from opinarium.functions.text import is_blank, strip
-from opinarium.operators.clusters import VectorIndex, index_top_k, index_top_k_of_block
+from opinarium.operators.clusters import VectorIndex, grid_index_top_k, index_top_k, index_top_k_of_block
 from opinarium.operators.filters import given, sentiment_allowed, soft_filter, title_pattern
 from opinarium.operators.hints import pattern_matches
-from opinarium.operators.search import attach, in_blocks, merge_variants, top_k, top_k_of_block
+from opinarium.operators.search import attach, grid_top_k, merge_variants, searched, top_k, top_k_of_block
 from opinarium.plans.products import both_sides
 
 FACTS = ("product_title", "rating", "sentiment")
@@ -62,7 +62,12 @@ def retrieve(
         found = top_k_of_block(corpus, block, k) if index is None else index_top_k_of_block(index, block, k)
         return merge_variants(found)
 
-    hits = in_blocks(_used(queries), k, job)
+    def at_once(many: DataFrame, dims: int, groups: int) -> DataFrame:
+        if index is None:
+            return grid_top_k(corpus, many, groups, k, merge=True)
+        return grid_index_top_k(index, many, dims, groups, k, merge=True)
+
+    hits = searched(_used(queries), k, job, at_once)
     return attach(hits, corpus, FACTS) if facts else hits
 
 

@@ -95,3 +95,37 @@ def test_many_partitions(spark, monkeypatch, parts):
         assert scan == whole
     for job in (op.answer_hits, op.topic_candidates):
         assert rows(job(facts, q, questions, k=8)) == rows(job(facts, q, questions, k=8, index=index)) != []
+
+
+@pytest.mark.parametrize("n, k, spread, groups", [(900, 7, 0.05, 5), (700, 40, 1.0, 3), (20, 40, 0.3, 2), (600, 1, 0.3, 1)])
+def test_groups_of_queries_find_what_brute_force_finds(spark, small_cells, monkeypatch, n, k, spread, groups):
+    """Every vector is a query, of questions with one to three; some vectors are copies of one."""
+    monkeypatch.setattr(search, "GRID_QUERIES", 4)
+    monkeypatch.setattr(search, "PACK_ROWS", 50)
+    monkeypatch.setattr(search, "grid_of", lambda queries, k: (queries.count(), 8, groups))
+    vectors = clustered(n, 8, 12, spread)
+    vectors[::9] = vectors[0]
+    c, q = frames(spark, vectors, vectors)
+    scores = np.round(vectors.astype(np.float64) @ vectors.astype(np.float64).T, 9)
+    want = sorted(
+        (i // 3, i % 3, j * 3, float(scores[i, j]), rank + 1)
+        for i in range(n) for rank, j in enumerate(sorted(range(n), key=lambda j: (-scores[i, j], j))[:k])
+    )
+    for found in (search.top_k(c, q, k), clusters.index_top_k(clusters.build_index(c), q, k)):
+        assert rows(found.select("question_id", "query_no", "review_id", "score", "rank")) == want
+    merged = search.merge_variants(spark.createDataFrame(want, "question_id bigint, query_no int, review_id bigint, score double, rank int"))
+    for index in (None, clusters.build_index(c)):
+        assert rows(op.retrieve(c, q, k, index=index).select(*merged.columns)) == rows(merged)
+
+
+def test_many_queries_send_few_rows(spark, monkeypatch):
+    """However many tasks read the vectors, the hits of a group come from one, ``k`` rows a query, and the index has many parts."""
+    monkeypatch.setattr(search, "GRID_QUERIES", 100)
+    vectors = clustered(3000, 6, 5, 0.3)
+    c, q = frames(spark, vectors, vectors[:900], parts=40)
+    rows_, dims, groups = search.grid_of(q, 10)
+    assert (rows_, dims) == (900, 6) and groups > 1
+    assert search.grid_top_k(c, q, groups, 10).count() == 9000
+    monkeypatch.setattr(clusters, "PART_ROWS", 200)
+    index = clusters.build_index(c)
+    assert clusters.grid_index_top_k(index, q, dims, groups, 10).count() == 9000
