@@ -86,3 +86,40 @@ def test_frequent_and_rare_terms_score_alike(spark, monkeypatch, columns):
     rows = [(i, prose(i % 70, 10 + i % 40)) for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     compare(docs, 5, every=15)
+
+
+def test_a_worker_gets_one_shard_at_a_time(spark, monkeypatch):
+    """Ten shards of a partition used to come as one batch."""
+    from opinarium.llm.tables import small
+
+    def alone(batches, rows=500):
+        for batch in batches:
+            assert rows > 1 or batch.num_rows == 1
+            yield from small([batch], rows)
+
+    monkeypatch.setattr(bm25, "small", alone)
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 20)
+    docs = spark.createDataFrame([(i, prose(i % 70, 10 + i % 40)) for i in range(200)], "doc_id bigint, text string").coalesce(1)
+    compare(docs, 5, every=20)
+
+
+def test_long_shards_stay_small(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    texts = [bm25.terms_of(prose(i, 60)) for i in range(3000)]
+    row = dict(zip(bm25.SHARD_FIELDS, bm25._shard(list(range(3000)), texts)[3:]))
+    terms = np.sort(np.array(list(set().union(*texts)), np.uint64))
+    tile = bm25.Tile(np.array([0, len(terms)]), terms, np.ones(len(terms)))
+    found = []
+    for cells, added in ((1 << 40, 1 << 40), (3000 * 4, 5000)):
+        monkeypatch.setattr(bm25, "DENSE_CELLS", cells)
+        monkeypatch.setattr(bm25, "ADDED", added)
+        tracemalloc.start()
+        shard = bm25.Shard(row, 60.0)
+        found.append((shard.search_tile(tile, 10, np.zeros(1)), shard.dense.nbytes, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    (want, wide, peak), (got, narrow, lower) = found
+    assert got[1].tolist() == want[1].tolist() and got[2] == pytest.approx(want[2])
+    assert narrow <= 3000 * 4 * 8 < wide and lower < peak
