@@ -26,6 +26,9 @@ SCORE_DECIMALS = 9
 # More queries than these are dealt out in groups, which every vector is sent to. Hits of a group at most, about, and
 # vectors of a row that is sent; groups for each core, so that all are busy to the end.
 GRID_QUERIES, GROUP_HITS, PACK_ROWS, GROUPS_A_CORE = 4096, 4_000_000, 2048, 3
+# Vectors that meet a tile of queries at once in single precision, so that the products stay in a core's cache; values of pairs that
+# are multiplied again at once. Products of lengths above the last are not screened.
+SCREEN_ROWS, AGAIN_VALUES, SCREEN_REACH = 512, 1 << 20, 1e30
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the task side travels with the job
 
@@ -94,15 +97,42 @@ class Best:
         if rows > self.k and np.count_nonzero(found) > 4 * self.k * len(queries):
             found &= scores >= np.partition(scores, rows - self.k, axis=1)[:, rows - self.k, None] - step
         new, row = np.nonzero(found)
-        self.new.append((queries[new], np.round(scores[new, row], self.decimals), ids[row]))
-        self.waiting += len(new)
+        self._held(queries[new], scores[new, row], ids[row])
+
+    def add_pairs(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Scores of pairs of a query and a vector."""
+        found = scores >= self.bars[queries] - 10.0**-self.decimals
+        self._held(queries[found], scores[found], ids[found])
+
+    def _held(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        self.new.append((queries, np.round(scores, self.decimals), ids))
+        self.waiting += len(queries)
         if self.waiting >= self.k * len(self.bars):
+            self.trim()
+
+    def trim(self) -> None:
+        """Drop what is below the ``k``-th score; done once as much has come as is held, so that sorting does not grow with batches.
+
+        Ids are compared, and ties cut, by ``settle`` only, unless many tie.
+        """
+        query, score, all_ids = (np.concatenate(c) for c in zip((self.query, self.score, self.ids), *self.new))
+        width = len(self.bars)
+        order = np.argsort(-score)
+        # Small integers are sorted by their digits.
+        order = order[np.argsort(query[order].astype(np.min_scalar_type(width)), kind="stable")]
+        counts = np.bincount(query, minlength=width)
+        full = counts >= self.k
+        worst = np.full(width, -np.inf)
+        worst[full] = score[order[(np.cumsum(counts) - counts)[full] + self.k - 1]]
+        keep = score >= worst[query]
+        self.query, self.score, self.ids = query[keep], score[keep], all_ids[keep]
+        self.new, self.waiting = [], 0
+        self.bars = np.maximum(worst, self.floor)
+        if len(self.query) > 1.25 * self.k * width:
             self.settle()
 
     def settle(self) -> None:
-        """Sort what was added in among the best; done once as much has come as is held, so that sorting does not grow with batches."""
-        if not self.new:
-            return
+        """Put the best in order, ties by id, and cut them at ``k``."""
         query, score, all_ids = (np.concatenate(c) for c in zip((self.query, self.score, self.ids), *self.new))
         self.new, self.waiting = [], 0
         order = np.lexsort((all_ids, -score, query))
@@ -305,6 +335,8 @@ class Group:
         self.question_ids, self.query_nos, self.matrix = question[order], number[order], matrix[order]
         self.norms = np.sqrt((self.matrix**2).sum(1))
         self.bars = np.full(len(order), -np.inf)
+        with np.errstate(over="ignore"):
+            self.coarse = self.matrix.astype(np.float32)
 
     def vectors(self, row: dict, kind=np.float32) -> tuple[np.ndarray, np.ndarray]:
         """Ids and vectors of a row."""
@@ -313,6 +345,37 @@ class Group:
             raise ValueError(f"corpus vectors must have {self.matrix.shape[1]} values like the queries")
         return ids, flat.reshape(len(ids), -1).astype(np.float64)
 
+    def add(self, tiles: dict[int, Best], v: np.ndarray, ids: np.ndarray) -> None:
+        """Add vectors to the best of all tiles: every product in single precision, those that may reach a bar again in double.
+
+        A product in single precision is off by no more than ``dims`` and some roundings of the lengths' product. Tiles in which a query
+        has no bar yet are multiplied in double precision at once.
+        """
+        dims = self.matrix.shape[1]
+        longest = np.sqrt((v**2).sum(1).max(initial=0.0))
+        with np.errstate(over="ignore"):
+            coarse = v.astype(np.float32)
+        pairs = max(1, AGAIN_VALUES // max(dims, 1))
+        for start, best in tiles.items():
+            tile = slice(start, start + len(best.bars))
+            reach = self.norms[tile] * longest
+            every, own = np.arange(len(best.bars)), self.matrix[tile]
+            for at in range(0, len(ids), SCREEN_ROWS):
+                part = slice(at, at + SCREEN_ROWS)
+                low = best.bars - 2 * 10.0**-best.decimals - reach * (dims + 8) * 2.0**-23
+                if not (np.isfinite(low).all() and reach.max(initial=0.0) < SCREEN_REACH):
+                    best.add(every, own @ v[part].T, ids[part])
+                    continue
+                rough = self.coarse[tile] @ coarse[part].T
+                found = np.flatnonzero(rough >= np.nextafter(low.astype(np.float32), np.float32(-np.inf))[:, None])
+                if len(found) > rough.size // 8:
+                    best.add(every, own @ v[part].T, ids[part])
+                    continue
+                query, row = np.divmod(found, rough.shape[1])
+                for first in range(0, len(found), pairs):
+                    q, r = query[first : first + pairs], at + row[first : first + pairs]
+                    best.add_pairs(q, np.einsum("ij,ij->i", own[q], v[r]), ids[r])
+
     def hits(self, tiles: dict[int, Best]) -> Iterator[pa.RecordBatch]:
         """What the tiles hold, as batches of ``_RANKED``."""
         for start, best in tiles.items():
@@ -397,9 +460,7 @@ def grid_top_k(corpus: DataFrame, queries: DataFrame, groups: int, k: int, merge
         tiles = _tiles(group.bars, k, tile_queries, decimals)
         for row in rows:
             ids, v = group.vectors(row, kind)
-            for start, best in tiles.items():
-                width = len(best.bars)
-                best.add(np.arange(width), group.matrix[start : start + width] @ v.T, ids)
+            group.add(tiles, v, ids)
         yield from group.merged(tiles) if merge else group.hits(tiles)
 
     sides = packed_queries(queries, groups).unionByName(to_all(packed_vectors(vectors), groups))

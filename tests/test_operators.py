@@ -245,3 +245,58 @@ def test_corpus_is_not_shuffled_by_search(spark):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert plan.count("MapInArrow") == 1
+
+
+def _one_group(vectors, n):
+    """The first vectors as the queries of a group, three to a question."""
+    q = np.arange(n)
+    row = {"ids": (q // 3).astype(np.int64).tobytes(), "numbers": (q % 3).astype(np.int32).tobytes(), "vectors": vectors[:n].astype(np.float64).tobytes()}
+    return search.Group([row])
+
+
+def _streamed(vectors, ids, n, k, width=32, rows=300):
+    group = _one_group(vectors, n)
+    tiles = search._tiles(group.bars, k, width)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for at in range(0, len(ids), rows):
+            group.add(tiles, vectors[at : at + rows].astype(np.float64), ids[at : at + rows])
+    return [tuple(r.values()) for b in group.hits(tiles) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "close", "long", "odd"])
+def test_screening_in_single_precision_misses_no_hit(kind):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(2500, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if kind == "copies":
+        vectors[::2] = vectors[0]
+    if kind == "close":  # told apart by double precision only
+        vectors = vectors[rng.integers(20, size=2500)] + 3e-9 * rng.normal(size=(2500, 16))
+    if kind == "long":
+        vectors *= 10.0 ** rng.integers(0, 3, size=(2500, 1))
+    if kind == "odd":
+        vectors[700, 3], vectors[1300, 2], vectors[900], vectors[901] = np.nan, np.inf, 0, 1e200
+    ids = rng.permutation(9000)[:2500].astype(np.int64)
+    got = _streamed(vectors, ids, 90, 7)
+    with np.errstate(invalid="ignore", over="ignore"):
+        scores = np.round(vectors @ vectors[:90].T, 9)
+    scores = np.where(np.isnan(scores), -np.inf, scores)
+    want = []
+    for j in range(90):
+        order = np.lexsort((ids, -scores[:, j]))[:7]
+        want += [(j // 3, j % 3, int(ids[i]), rank + 1) for rank, i in enumerate(order)]
+    assert sorted(r[:3] + r[4:] for r in got) == sorted(want)
+
+
+def test_few_pairs_are_multiplied_in_double_precision_and_sorted(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(20000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    again, sorts = [], []
+    add, pairs, lexsort = search.Best.add, search.Best.add_pairs, np.lexsort
+    monkeypatch.setattr(search.Best, "add", lambda self, q, s, i: (again.append(s.size), add(self, q, s, i)))
+    monkeypatch.setattr(search.Best, "add_pairs", lambda self, q, s, i: (again.append(s.size), pairs(self, q, s, i)))
+    monkeypatch.setattr(np, "lexsort", lambda keys: (sorts.append(len(keys[0])), lexsort(keys))[1])
+    assert len(_streamed(vectors, np.arange(20000), 60, 10, rows=1000)) == 600
+    assert sum(again) < 60 * 20000 / 8
+    assert sum(sorts) < 60 * 10 * 4  # the last order only
