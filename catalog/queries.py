@@ -487,8 +487,8 @@ def proscons_gate(spark, sf):
 @query
 def proscons_prompt(spark, sf):
     corpus, queries, questions = _inputs(spark, sf)
-    gated = op.gated_candidates(op.topic_candidates(corpus, queries, questions))
-    return op.topic_prompts(gated, questions)
+    candidates = op.topic_candidates(corpus, queries, questions, chars=V.TOPIC_CHARS)
+    return op.topic_prompts(op.gated_candidates(candidates), questions)
 
 
 @query

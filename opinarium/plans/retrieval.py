@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinarium import fixed as V
-from opinarium.functions.text import is_blank, strip
+from opinarium.functions.text import clip, is_blank, strip
 from opinarium.operators.clusters import VectorIndex, grid_index_top_k, index_top_k, index_top_k_of_block
 from opinarium.operators.filters import given, sentiment_allowed, soft_filter, title_pattern
 from opinarium.operators.hints import pattern_matches
@@ -157,18 +157,20 @@ def topic_candidates(
     per_side: int = V.TOPIC_PER_SIDE,
     mode: str = "regex",
     index: VectorIndex | None = None,
+    chars: int | None = None,
 ) -> DataFrame:
     """The best positive and negative reviews on each topic, before the gate.
 
     The topic itself is the title hint where the plan has none; the plan's sentiment
-    plays no part.
+    plays no part. With ``chars`` texts are cut to so many characters before they meet the hits.
     """
 
     found = retrieve(corpus, queries, k, facts=True, index=index)
     kept = filter_title(found, questions, V.TOPIC_MIN_MATCHES, mode, fall_back_on="question")
     two_sided = kept.filter(F.col("sentiment").isin(V.POSITIVE, V.NEGATIVE))
     best = by_position(two_sided, per_side, ("question_id", "sentiment"))
-    return attach(best, corpus, ["text"])
+    texts = corpus if chars is None else corpus.withColumn("text", clip(F.col("text"), chars))
+    return attach(best, texts, ["text"])
 
 
 def gated_candidates(candidates: DataFrame, min_side: int = V.MIN_PER_SIDE) -> DataFrame:

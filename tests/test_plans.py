@@ -42,3 +42,21 @@ def test_texts_stay_out_of_the_search_for_copies(spark):
     assert "LeftAnti" in plan and len(moved) == 1
     below = "\n".join(lines[moved[0] + 3 :])
     assert "Exchange hashpartitioning(text" not in below and "sha2" in below
+
+
+def test_prompts_move_cut_texts(spark):
+    """The gate's window holds the characters that a prompt shows, not whole texts."""
+    plan = QUERIES["proscons_prompt"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "substring(text" in plan[plan.index("Window") :]
+
+
+def test_cut_candidates_are_the_same(spark):
+    from pyspark.sql import functions as F
+
+    import opinarium as op
+    from catalog.views import load
+
+    corpus, queries, questions = (load(spark, SF, name) for name in ("corpus", "queries", "questions"))
+    whole = op.topic_candidates(corpus, queries, questions).withColumn("text", F.substring("text", 1, 9))
+    cut = op.topic_candidates(corpus, queries, questions, chars=9)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) != []
