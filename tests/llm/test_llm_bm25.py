@@ -123,3 +123,54 @@ def test_long_shards_stay_small(monkeypatch):
     (want, wide, peak), (got, narrow, lower) = found
     assert got[1].tolist() == want[1].tolist() and got[2] == pytest.approx(want[2])
     assert narrow <= 3000 * 4 * 8 < wide and lower < peak
+
+
+def test_only_documents_near_the_bar_are_scored_in_full():
+    """All documents of a visited block used to be."""
+    import numpy as np
+
+    class Counted(np.ndarray):
+        rows = 0
+
+        def __getitem__(self, at):
+            found = super().__getitem__(at)
+            Counted.rows += len(found)
+            return found
+
+    texts = [bm25.terms_of(prose(i, 50)) for i in range(2000)]
+    shard = bm25.Shard(dict(zip(bm25.SHARD_FIELDS, bm25._shard(list(range(2000)), texts)[3:])), 50.0)
+    terms = np.array(sorted(texts[77]), np.uint64)
+    norm = [1.2 * (0.25 + 0.75 * sum(t.values()) / 50.0) for t in texts]
+    sums = [sum(t[w] * 2.2 / (t[w] + norm[i]) for w in texts[77] if w in t) for i, t in enumerate(texts)]
+    want = sorted((-round(s, 9), i) for i, s in enumerate(sums) if s)[:5]
+    shard.dense = shard.dense.view(Counted)
+    docs, scores = shard.search(terms, np.ones(len(terms)), 5, 0.0)
+    assert sorted(docs.tolist()) == sorted(i for _, i in want) and scores.tolist() == pytest.approx([-s for s, _ in want])
+    assert len(docs) <= Counted.rows < 100
+
+
+def test_postings_take_few_bytes_and_long_counts_stay_whole(spark):
+    """Each posting used to take eight bytes of a row."""
+    rows = [(i, prose(i % 70, 10 + i % 40)) for i in range(300)]
+    name, n, total, *arrays = bm25._shard(*map(list, zip(*((i, bm25.terms_of(t)) for i, t in rows))))
+    shard = dict(zip(bm25.SHARD_FIELDS, arrays))
+    postings = sum(len(bm25.terms_of(t)) for _, t in rows)
+    assert (len(shard["postings"]), len(shard["times"])) == (2 * postings, postings)
+    rows += [(300, "often " * 70_000), (301, "often seldom"), (302, "often " * 300)]
+    compare(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), 5, every=100)
+
+
+def test_queries_of_other_words_find_nothing_and_cost_nothing():
+    import numpy as np
+
+    texts = [bm25.terms_of(prose(i, 50)) for i in range(200)]
+    shard = bm25.Shard(dict(zip(bm25.SHARD_FIELDS, bm25._shard(list(range(200)), texts)[3:])), 50.0)
+    strange = np.array(sorted(bm25.terms_of("qqq xxx zzz")), np.uint64)
+    assert shard.find(strange).tolist() == [-1] * 3
+    own = np.array(sorted(texts[5]), np.uint64)
+    tile = bm25.Tile(np.array([0, 3, 3 + len(own)]), np.r_[strange, own], np.ones(3 + len(own)))
+    query, _, scores = shard.search_tile(tile, 4, np.zeros(2))
+    assert set(query.tolist()) == {1} and (scores > 0).all()
+    numbers = np.arange(3 + len(own))
+    again = shard.search_tile(bm25.Tile(tile.offsets, numbers, tile.weights), 4, np.zeros(2), shard.find(tile.terms)[numbers])
+    assert again[2].tolist() == scores.tolist()
