@@ -116,3 +116,36 @@ def test_the_filter_shuffles_hashes_and_counts_only(spark, monkeypatch):
     assert schemas[0] == "hash bigint, n int"
     # After a: b three times (level 2, 2.5). After b: a, another word and the end, once each. After another word, an end: the end, and a twice.
     assert mass.tolist() == [2.5, 3.0, 1.0, 2.5] and packed.any()
+
+
+@pytest.mark.parametrize("probes, log_bits", [(8, 15), (8, 18), (2, 24)])
+def test_bigrams_that_the_filter_has_no_room_for_are_counted(spark, monkeypatch, probes, log_bits):
+    """They used to be dropped: all of them at 15 bits, the rare ones of most segments at 18, none at 24."""
+    monkeypatch.setattr(lm, "PROBES", probes)
+    monkeypatch.setattr(lm, "LOG_BITS", log_bits)
+    monkeypatch.setattr(lm.train, "__defaults__", (300, log_bits))
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in draw.integers(0, 150, 100)) for _ in range(300)] + ["w1 w2 " * 40, "w3 w3 w3", "", "w5 w6 w5 w6"]
+    rows = [*enumerate(texts), (303, texts[303])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    held_out = F.col("doc_id") % 5 == 0
+    train = [t.encode().split() for i, t in rows if i % 5]
+    single = Counter(w for t in train for w in [*t, b""])
+    pairs = Counter((a, b) for t in train for a, b in zip([b"", *t], [*t, b""]))
+    assert min(single.values()) >= 2
+    held = {p: 1.5 * 2.0 ** (n.bit_length() - 1) - 0.5 for p, n in pairs.items()}
+    mass = Counter()
+    for (a, _), n in held.items():
+        mass[a] += n
+    total = sum(single.values()) + 1  # one for all other words
+
+    def score(text):
+        own = text.encode().split()
+        steps = zip([b"", *own], [*own, b""])
+        return sum(math.log10((held.get((a, b), 0) + 200 * single.get(b, 1) / total) / (mass[a] + 200)) for a, b in steps)
+
+    got = lm.score_documents(docs, held_out).collect()
+    assert len(got) == len(rows)
+    by_id = dict(rows)
+    off = np.array([r.score - score(by_id[r.doc_id]) for r in got])
+    assert off.min() > -1e-6 and np.mean(np.abs(off)) < (0.2 if log_bits == 18 else 1e-6)
