@@ -174,3 +174,19 @@ def test_queries_of_other_words_find_nothing_and_cost_nothing():
     numbers = np.arange(3 + len(own))
     again = shard.search_tile(bm25.Tile(tile.offsets, numbers, tile.weights), 4, np.zeros(2), shard.find(tile.terms)[numbers])
     assert again[2].tolist() == scores.tolist()
+
+
+def test_few_texts_go_to_a_worker_at_once(spark, monkeypatch):
+    """All texts of a partition, up to 10,000, used to come as one batch."""
+    from opinarium.llm.tables import small
+
+    def few(batches, rows=500):
+        for batch in batches:
+            assert batch.num_rows <= 200
+            yield from small([batch], rows)
+
+    monkeypatch.setattr(bm25, "small", few)
+    before = spark.conf.get(bm25.BATCH_ROWS)
+    docs = spark.createDataFrame([(i, prose(i % 90, 10 + i % 40)) for i in range(700)], "doc_id bigint, text string").coalesce(1)
+    compare(docs, 5, every=50)
+    assert spark.conf.get(bm25.BATCH_ROWS) == before
